@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import string_chunks
 
 #: Entries of a cache before it is emptied; results do not depend on it.
-CACHE = 400_000
+CACHE = 150_000
 _NONE = 1 << 60
 #: No byte maps to this character.
 _BETWEEN = chr(0x100)
@@ -62,7 +62,7 @@ class ByteBPE:
     def apart(self, left: int, right: int) -> bool:
         """Whether the merges leave these two neighbours as they are."""
         if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
