@@ -3,9 +3,9 @@
 Texts with the same set of shingles are one vertex.  A vertex has 130 minima of hashes (a x + b) mod 2**32 over its
 shingles, in 26 bands of 5: two sets that share 0.85 of their union miss each other in all bands once in four
 million.  In each bucket every member is compared with the smallest one; vertices so linked join components.
-Buckets that still hold several components are compared across components in blocks of members, by their signatures,
-so that no link between components is lost and no group is expanded into all pairs.  Every candidate whose signature
-is near enough is confirmed on the full sets.
+Buckets that still hold several components are compared across components in blocks of members, so that no link
+between components is lost and no group is expanded into all pairs.  Every candidate whose signature is near enough is
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -120,8 +120,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     if a[i] != last:
                         kept = next(shingle_sets(chunk)[0] for _, chunk in string_chunks(batch.column("text_a").slice(i, 1)))
                         last = a[i]
-                    shared = len(np.intersect1d(kept, own, assume_unique=True))
-                    if 100 * shared >= PERCENT * (len(kept) + len(own) - shared):
+                    if _linked(kept, own):
                         found_a.append(a[i])
                         found_b.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
@@ -176,9 +175,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut(verified(pairs, texts))
     joined = components(links)
 
-    rest = cut(_across(full, joined, vertex))
-    more = verified(rest.join(pairs, ["a", "b"], "left_anti"), texts)
-    more = cut(more)
+    more = cut(_across(full, joined, texts))
     if not more.isEmpty():
         joined = components(links.union(more))
     of = vertex.select("fp", "doc_id", "n").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -188,38 +185,60 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(full: DataFrame, joined: DataFrame, vertex: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose signatures are near.
+def _across(full: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components whose members share a bucket.
 
-    In a bucket of several components, the largest one is not compared with itself.  The others, and it, are
-    dealt over blocks by hash; each pair of blocks is compared as a whole in one task.
+    Buckets of several components are gathered by their largest one.  Its members, and those of all others that meet
+    it, are dealt over blocks by hash; each pair of blocks is compared as a whole in one task, the largest component
+    not with itself.  One link a member and component is enough for what follows, so that the nearest
+    pairs by signature are tried first and the rest only while none is a link.
     """
     members = full.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     sizes = members.groupBy("key", "c").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("parts")).where(F.col("parts") > 1)
+    open_ = sizes.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1).drop("parts")
+    dealt = cut(members.join(open_, "key").select("main", "doc_id", "c").distinct())
+    is_main = F.col("c") == F.col("main")
     # n_main blocks of the largest component, then n_rest blocks of the others.
-    plan = open_.select("key", F.col("top.c").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("n_main"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("n_rest"))
-    dealt = members.join(plan, "key").withColumn("is_main", F.col("c") == F.col("main"))
-    block = F.when(F.col("is_main"), F.pmod(F.xxhash64("doc_id"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("n_rest")) + F.col("n_main")).cast("int")
-    dealt = dealt.withColumn("block", block)
+    plan = dealt.groupBy("main").agg(F.ceil(F.count(F.when(is_main, 1)) / BLOCK).cast("int").alias("n_main"), F.ceil(F.count(F.when(~is_main, 1)) / BLOCK).cast("int").alias("n_rest"))
+    dealt = dealt.join(plan, "main")
+    block = F.when(is_main, F.pmod(F.xxhash64("doc_id"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("n_rest")) + F.col("n_main")).cast("int")
     others = F.sequence(F.col("n_main"), F.col("n_main") + F.col("n_rest") - 1)
     everything = F.sequence(F.lit(0), F.col("n_main") + F.col("n_rest") - 1)
-    dealt = dealt.withColumn("with", F.explode(F.when(F.col("is_main"), others).otherwise(everything)))
-    rows = dealt.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "doc_id", "c", (F.col("block") == F.least("block", "with")).alias("first"))
-    rows = rows.join(vertex.select("doc_id", "sig"), "doc_id")
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, c = table.column("doc_id").to_numpy(), table.column("c").to_numpy()
-        first = np.array(table.column("first").to_pylist(), bool)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+    dealt = dealt.withColumn("block", block).withColumn("with", F.explode(F.when(is_main, others).otherwise(everything)))
+    rows = dealt.select("main", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "doc_id", "c", (F.col("block") == F.least("block", "with")).alias("first"))
+    rows = rows.join(texts, "doc_id")
+
+    def compare(part: pa.Table) -> pa.Table:
+        ids, c = part.column("doc_id").to_numpy(), part.column("c").to_numpy()
+        first = np.array(part.column("first").to_pylist(), bool)
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
         one, two = np.flatnonzero(first), np.flatnonzero(~first)
         if not len(two):
             two = one
+        sets: list[np.ndarray] = []
         found_a, found_b = [], []
-        for i in one:
-            near = two[((sig[two] == sig[i]).mean(axis=1) >= LEAST_ALIKE) & (c[two] != c[i])]
-            found_a += np.minimum(ids[near], ids[i]).tolist()
-            found_b += np.maximum(ids[near], ids[i]).tolist()
+        # The smaller side asks, so that a member of the others looks for one link to each component.
+        for i in two:
+            alike = (sig[one] == sig[i]).mean(axis=1)
+            near = np.flatnonzero((alike >= LEAST_ALIKE) & (c[one] != c[i]))
+            linked: set[int] = set()
+            for j in one[near[np.argsort(-alike[near], kind="stable")]].tolist():
+                if int(c[j]) in linked:
+                    continue
+                if not sets:
+                    sets = [s for _, chunk in string_chunks(part.column("text")) for s in shingle_sets(chunk)]
+                if _linked(sets[i], sets[j]):
+                    linked.add(int(c[j]))
+                    found_a.append(min(int(ids[i]), int(ids[j])))
+                    found_b.append(max(int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    return rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("main", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if 100 * small < PERCENT * large:
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= PERCENT * (small + large - shared)
