@@ -117,3 +117,35 @@ def sql(query: str, *names: str) -> str:
     for name in names:
         add(name)
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in order) + " " + query if order else query
+
+
+def structs(variables_: DataFrame, name=None, field_size=None) -> DataFrame:
+    """V3: one struct a function, its variables the fields; ``func, name, type``."""
+    from codelore.functions import ctypes as C
+
+    size = F.col("size") if field_size is None else field_size
+    part = F.struct(
+        "pos",
+        F.when(F.col("padding"), C.PADDING).otherwise(C.FIELD).alias("tag"),
+        F.when(~F.col("padding"), F.col("old_name")).alias("n"),
+        F.when(~F.col("padding"), F.col("src_type")).alias("t"),
+        F.when(F.col("padding"), F.col("size")).otherwise(size).alias("s"),
+    )
+    label = F.concat(F.lit("s"), "func") if name is None else F.lit(name)
+    rows = variables_.groupBy("func").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    layout = F.transform("parts", lambda p: F.struct(p["tag"].alias("tag"), p["n"].alias("n"), p["t"].alias("t"), p["s"].cast("long").alias("s")))
+    none = F.lit(None)
+    kind = F.struct(F.lit(C.STRUCT).alias("tag"), label.alias("n"), none.cast("long").alias("s"), none.cast("string").alias("t"), layout.alias("l"), none.cast(f"array<{C.PART}>").alias("m"), none.cast(C.PART).alias("p"))
+    return rows.select("func", label.alias("name"), kind.alias("type"))
+
+
+SQL["v3"] = "SELECT func, pos, size, padding, old_name, src_type, CAST(coalesce(sum(size) OVER (PARTITION BY func ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM v2"
+SQL["shown"] = "SELECT func, string_agg(CASE WHEN padding THEN concat('PADDING (', size, ')') ELSE concat(src_type, ' ', old_name) END, '; ' ORDER BY pos) AS body, string_agg(CASE WHEN padding THEN concat('PADDING (', size, ')') ELSE concat(src_type, ' ', old_name) END, ' | ' ORDER BY pos) AS tokens, CAST(sum(size) AS BIGINT) AS size FROM v2 GROUP BY func"
+SQL["bytes"] = "SELECT func, padding, unnest(range(start, start + size)) AS b FROM v3"
+SQL["layouts"] = """SELECT s.func, s.size, coalesce(a.x, []) AS accessible, coalesce(i.x, []) AS inaccessible, coalesce(t.x, []) AS starts FROM shown s
+    LEFT JOIN (SELECT func, list(b ORDER BY b) AS x FROM bytes WHERE NOT padding GROUP BY func) a USING (func)
+    LEFT JOIN (SELECT func, list(b ORDER BY b) AS x FROM bytes WHERE padding GROUP BY func) i USING (func)
+    LEFT JOIN (SELECT func, list(start ORDER BY start) AS x FROM v3 WHERE NOT padding GROUP BY func) t USING (func)"""
+SQL["stack"] = """SELECT func, list_sort(list_distinct(a)) AS accessible, list_sort(list_distinct(s)) AS starts, len(a) <> len(list_distinct(a)) OR len(s) <> len(list_distinct(s)) AS meets FROM (
+    SELECT func, flatten(list(range(8 * pos - size, 8 * pos))) AS a, list(8 * pos - size) AS s FROM v2 WHERE starts_with(loc, 's') GROUP BY func)"""
+_NEEDS |= {"v3": ["v2"], "shown": ["v2"], "bytes": ["v3"], "layouts": ["shown", "bytes"], "stack": ["v2"]}
