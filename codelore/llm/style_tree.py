@@ -204,6 +204,9 @@ def _mark_articles(root: Node) -> bool:
 def main_text(html: str, host: str, importance: dict[int, float]) -> str:
     """The page's text without branches of low importance; elements not given have importance 1."""
     root = parsed(html)
+    # Beside an article nothing else matters, so that its page's other branches need not be weighed.
+    if _mark_articles(root) and (text := _read(root, {}, True)):
+        return text
     name_nodes(root, host)
     branch: dict[int, float] = {}
     order = [root]
@@ -214,8 +217,7 @@ def main_text(html: str, host: str, importance: dict[int, float]) -> str:
         own = importance.get(node.key, 1.0)
         share = GAMMA ** len(inner)
         branch[id(node)] = (1 - share) * own + share * sum(inner) / len(inner) if inner else own
-    text = _read(root, branch, True) if _mark_articles(root) else ""
-    return text or _read(root, branch, False)
+    return _read(root, branch, False)
 
 
 def _read(root: Node, branch: dict[int, float], in_article: bool) -> str:
