@@ -36,6 +36,16 @@ class Index:
     width: float
     probes: int
     scale: float
+    sample: np.ndarray
+    sample_ids: np.ndarray
+
+    def bounds(self, q: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+        """What the k-th best of the sample reaches with each query: no nearest one of all lies under it."""
+        if len(self.sample) <= k:
+            return np.full(len(q), -np.inf)
+        near = q @ self.sample.T
+        near[ids[:, None] == self.sample_ids[None, :]] = -np.inf
+        return np.partition(near, -k, axis=1)[:, -k]
 
     def _cells(self, lifted: np.ndarray, table: int) -> np.ndarray:
         return (lifted @ self.planes[table].T + self.shifts[table]) / self.width
@@ -82,8 +92,11 @@ def fit(rows: DataFrame, k: int = 20, seed: int = 23) -> tuple[Index, int]:
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     n, most = rows.agg(F.count("*"), F.max(norm)).first()
     if n <= ONE_BUCKET:
-        return Index(np.zeros((1, 0, 0)), np.zeros((1, 0)), 1.0, 1, most or 1.0), n
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
+        return Index(np.zeros((1, 0, 0)), np.zeros((1, 0)), 1.0, 1, most or 1.0, np.zeros((0, 1)), np.zeros(0, np.int64)), n
+    first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample, ids = np.array([r["v"] for r in first]), np.array([r["vec_id"] for r in first], np.int64)
+    # Repeated rows of one id are one neighbour.
+    once = np.unique(ids, return_index=True)[1]
     draw = np.random.default_rng(seed)
     queries = sample[:200]
     exact = queries @ sample.T
@@ -95,7 +108,7 @@ def fit(rows: DataFrame, k: int = 20, seed: int = 23) -> tuple[Index, int]:
     spread = draw.random((TABLES, cells))
     chosen, least = None, 2.0
     for width in (0.5, 0.8, 1.2, 1.8, 2.6):
-        index = Index(planes, spread * width, width, 3**cells, most * (1 + 1e-9))
+        index = Index(planes, spread * width, width, 3**cells, most * (1 + 1e-9), sample[once], ids[once])
         places = np.full((TABLES, len(queries), len(sample)), 3**cells)
         for t in range(TABLES):
             keys, probed = index.keys(sample, t), index.probed(queries, t)
@@ -157,23 +170,25 @@ def _nearest(rows: DataFrame, queries: DataFrame, index: Index, n: int, k: int)
             if not batch.num_rows:
                 continue
             q = _matrix(batch.column("v"))
+            bound = own.bounds(q, batch.column("vec_id").to_numpy(), k)
             for t in range(tables):
                 keys = own.probed(q, t)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(np.full(len(q), t, np.int32)), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["vec_id", "v", "t", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(np.full(len(q), t, np.int32)), pa.array(keys.tolist(), pa.list_(pa.int64())), pa.array(bound)], names=["vec_id", "v", "t", "keys", "bound"])
 
     data = rows.mapInArrow(keyed, "vec_id long, v array<double>, t int, key long").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = queries.mapInArrow(probing, "vec_id long, v array<double>, t int, keys array<long>").select("vec_id", "v", "t", F.explode("keys").alias("key")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    asked = queries.mapInArrow(probing, "vec_id long, v array<double>, t int, keys array<long>, bound double").select("vec_id", "v", "t", "bound", F.explode("keys").alias("key")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def best(some: pa.Table, of: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[], [], []]
         if some.num_rows and of.num_rows:
             x, q = _matrix(some.column("v")), _matrix(of.column("v"))
-            ids, asking = some.column("vec_id").to_numpy(), of.column("vec_id").to_numpy()
+            ids, asking, bound = some.column("vec_id").to_numpy(), of.column("vec_id").to_numpy(), of.column("bound").to_numpy()
             part = max(1, (8 << 20) // (8 * len(x)))
             for at in range(0, len(q), part):
                 near = q[at : at + part] @ x.T
                 near[asking[at : at + part, None] == ids[None, :]] = -np.inf
                 least = np.partition(near, -k, axis=1)[:, -k] if len(x) > k else np.full(len(near), -np.inf)
+                least = np.maximum(least, bound[at : at + part])
                 # Ties, and what rounding may have put just below, are told apart by the exact sums.
                 one, two = np.nonzero((near >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None]) & np.isfinite(near))
                 score = np.zeros(len(one))
