@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from codelore.plans import evaluation, stats, text, typelib  # noqa: F401
+from codelore.plans import evaluation, stats, text, typelib, vocab  # noqa: F401
 from codelore.plans.register import ORACLE_SQL, QUERIES  # noqa: F401
