@@ -106,7 +106,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Documents follow each other by descending doc_id, null last, then by text; the first follows the last.  Texts
     are dealt by ranges once; a range's last text meets the next range's first one afterwards, a row a range.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.desc_nulls_last("doc_id"), "text").sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
 
     def run(batches):
         place = TaskContext.get().partitionId()
