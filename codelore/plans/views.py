@@ -149,3 +149,31 @@ SQL["layouts"] = """SELECT s.func, s.size, coalesce(a.x, []) AS accessible, coal
 SQL["stack"] = """SELECT func, list_sort(list_distinct(a)) AS accessible, list_sort(list_distinct(s)) AS starts, len(a) <> len(list_distinct(a)) OR len(s) <> len(list_distinct(s)) AS meets FROM (
     SELECT func, flatten(list(range(8 * pos - size, 8 * pos))) AS a, list(8 * pos - size) AS s FROM v2 WHERE starts_with(loc, 's') GROUP BY func)"""
 _NEEDS |= {"v3": ["v2"], "shown": ["v2"], "bytes": ["v3"], "layouts": ["shown", "bytes"], "stack": ["v2"]}
+
+
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: a customer's orders and their lines as a tree; customers, not regions, so that a tree stays of bounded size.
+
+    Nodes are numbered in preorder; a line's name is its part's brand, an argument where its status is F.
+    """
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = variables(spark, sf_dir).select(F.col("func").alias("o_orderkey"), "pos", "src_type", F.col("user").alias("argument"))
+    none = F.lit(None).cast("long")
+    top = customers.select(F.col("c_custkey").alias("tree"), none.alias("o"), none.alias("p"), F.lit("customer").alias("node_type"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("argument"))
+    middle = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_custkey").alias("tree"), F.col("o_orderkey").alias("o"), none.alias("p"), F.lit("order").alias("node_type"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("argument"))
+    leaves = lines.join(orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi"), "o_orderkey").select(F.col("o_custkey").alias("tree"), F.col("o_orderkey").alias("o"), F.col("pos").alias("p"), F.lit("line").alias("node_type"), F.col("src_type").alias("name"), "argument")
+    rows = top.unionByName(middle).unionByName(leaves)
+    order = Window.partitionBy("tree").orderBy(F.asc_nulls_first("o"), F.asc_nulls_first("p"))
+    rows = rows.withColumn("node_id", (F.row_number().over(order) - 1).cast("long"))
+    above = F.max(F.when(F.col("p").isNull() & F.col("o").isNotNull(), F.col("node_id"))).over(Window.partitionBy("tree", "o"))
+    parent = F.when(F.col("o").isNull(), none).when(F.col("p").isNull(), F.lit(0).cast("long")).otherwise(above)
+    return rows.select("tree", "node_id", parent.alias("parent"), "node_type", "name", "argument")
+
+
+SQL["v5"] = """SELECT tree, node_id, CASE WHEN o IS NULL THEN NULL WHEN p IS NULL THEN 0 ELSE max(CASE WHEN p IS NULL AND o IS NOT NULL THEN node_id END) OVER (PARTITION BY tree, o) END AS parent, node_type, name, argument FROM (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY o NULLS FIRST, p NULLS FIRST) - 1 AS node_id FROM (
+    SELECT c_custkey AS tree, CAST(NULL AS BIGINT) AS o, CAST(NULL AS BIGINT) AS p, 'customer' AS node_type, CAST(NULL AS VARCHAR) AS name, false AS argument FROM customer
+    UNION ALL SELECT o_custkey, o_orderkey, NULL, 'order', NULL, false FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT o_custkey, func, pos, 'line', src_type, "user" FROM v2 JOIN orders ON o_orderkey = func WHERE o_custkey IN (SELECT c_custkey FROM customer)))"""
+_NEEDS["v5"] = ["v2"]
