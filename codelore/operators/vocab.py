@@ -87,7 +87,7 @@ def learn_bpe(words: DataFrame, merges: int) -> DataFrame:
     Each round counts the adjacent pairs in parallel and rewrites the words; the lineage is cut every few rounds.
     """
     spark = words.sparkSession
-    state = words.select(F.filter(F.split("word", ""), lambda c: c != "").alias("p"), "freq")
+    state = cut(words.select(F.filter(F.split("word", ""), lambda c: c != "").alias("p"), "freq"))
     found: list[tuple[int, str, str]] = []
     for k in range(merges):
         best = pair_counts(state).orderBy(F.desc("n"), "left", "right").first()
