@@ -10,7 +10,8 @@ from codelore.plans import views
 from codelore.plans.register import query
 from codelore.plans.views import sql
 
-X = F.col("type")
+def x():
+    return F.col("type")
 
 
 def structs(spark, d, **more):
@@ -35,7 +36,7 @@ _cases = lambda values: "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN {v!r}"
 @query("d1_decode_type", f"SELECT p_partkey, {_cases(KIND_STRINGS)} AS type_str, CAST({_cases(KIND_SIZES)} AS BIGINT) AS size, p_partkey % 9 IN (4, 5) AS has_padding FROM part")
 def d1(spark, d):
     json = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 9 + 1).cast("int"))
-    return views.table(spark, d, "part").select("p_partkey", C.decode_type(json).alias("type")).select("p_partkey", C.type_string(X).alias("type_str"), C.type_size(X).alias("size"), C.has_padding(X).alias("has_padding"))
+    return views.table(spark, d, "part").select("p_partkey", C.decode_type(json).alias("type")).select("p_partkey", C.type_string(x()).alias("type_str"), C.type_size(x()).alias("size"), C.has_padding(x()).alias("has_padding"))
 
 
 NAME = "concat('struct s', func, ' { ', body, '; }')"
@@ -43,42 +44,42 @@ NAME = "concat('struct s', func, ' { ', body, '; }')"
 
 @query("d2_type_string", sql(f"SELECT func, {NAME} AS type_str FROM shown", "shown"))
 def d2(spark, d):
-    return structs(spark, d).select("func", C.type_string(X).alias("type_str"))
+    return structs(spark, d).select("func", C.type_string(x()).alias("type_str"))
 
 
 @query("d3_type_size", sql("SELECT func, size FROM shown", "shown"))
 def d3(spark, d):
-    return structs(spark, d).select("func", C.type_size(X).alias("size"))
+    return structs(spark, d).select("func", C.type_size(x()).alias("size"))
 
 
 @query("d4_accessible_offsets", sql("SELECT func, array_to_string(accessible, ',') AS bytes FROM layouts", "layouts"))
 def d4(spark, d):
-    return structs(spark, d).select("func", joined(C.accessible_offsets(X)).alias("bytes"))
+    return structs(spark, d).select("func", joined(C.accessible_offsets(x())).alias("bytes"))
 
 
 @query("d5_inaccessible_offsets", sql("SELECT func, array_to_string(inaccessible, ',') AS bytes FROM layouts", "layouts"))
 def d5(spark, d):
-    return structs(spark, d).select("func", joined(C.inaccessible_offsets(X)).alias("bytes"))
+    return structs(spark, d).select("func", joined(C.inaccessible_offsets(x())).alias("bytes"))
 
 
 @query("d6_start_offsets", sql("SELECT func, array_to_string(starts, ',') AS starts FROM layouts", "layouts"))
 def d6(spark, d):
-    return structs(spark, d).select("func", joined(C.start_offsets(X)).alias("starts"))
+    return structs(spark, d).select("func", joined(C.start_offsets(x())).alias("starts"))
 
 
 @query("d7_tokenize_type", sql("SELECT func, concat('<struct> | s', func, ' | ', tokens, ' | <eot>') AS tokens FROM shown", "shown"))
 def d7(spark, d):
-    return structs(spark, d).select("func", F.array_join(C.tokenize_type(X), " | ").alias("tokens"))
+    return structs(spark, d).select("func", F.array_join(C.tokenize_type(x()), " | ").alias("tokens"))
 
 
 @query("d8_detokenize_types", sql(f"SELECT func, {NAME} AS type_str FROM shown", "shown"))
 def d8(spark, d):
-    return structs(spark, d).select("func", F.array_join(C.detokenize_types(C.tokenize_type(X)), " & ").alias("type_str"))
+    return structs(spark, d).select("func", F.array_join(C.detokenize_types(C.tokenize_type(x())), " & ").alias("type_str"))
 
 
 @query("d9_type_key", sql("""SELECT min(func) AS first, count(*) AS n FROM (SELECT func, string_agg(CASE WHEN padding THEN concat('P', size) ELSE concat(src_type, ' ', old_name) END, ';' ORDER BY pos) AS k FROM v2 GROUP BY func) GROUP BY k""", "v2"))
 def d9(spark, d):
-    return structs(spark, d, name="s").groupBy(C.type_key(X).alias("key")).agg(F.min("func").alias("first"), F.count("*").alias("n")).drop("key")
+    return structs(spark, d, name="s").groupBy(C.type_key(x()).alias("key")).agg(F.min("func").alias("first"), F.count("*").alias("n")).drop("key")
 
 
 @query("d10_replaceable_with", sql("""SELECT a.func, count(*) AS n, min(b.func) AS first FROM layouts a JOIN layouts b ON a.size = b.size AND a.accessible = b.accessible AND a.inaccessible = b.inaccessible
@@ -155,7 +156,7 @@ def stack_rows(spark, d):
 def d19(spark, d):
     types = structs(spark, d).withColumn("name", F.col("func"))
     index = L.layout_index(types).withColumn("names", F.transform("names", lambda n: n.cast("string")))
-    lib = L.sizes(types.select(C.type_size(X).alias("size")))
+    lib = L.sizes(types.select(C.type_size(x()).alias("size")))
     out = L.next_replacements(stack_rows(spark, d).withColumnRenamed("func", "id"), index, lib)
     first = F.array_min(F.transform("names", lambda n: n.cast("long")))
     return out.select("id", "cut", F.size("names").cast("long").alias("names"), first.alias("first"), joined("rest_accessible").alias("rest"))
@@ -200,7 +201,7 @@ def d23(spark, d):
 
 def members(spark, d):
     v = views.variables(spark, d)
-    x = structs(spark, d).select("func", C.placed(X["l"]).alias("p"), C.type_size(X).alias("total"))
+    x = structs(spark, d).select("func", C.placed(x()["l"]).alias("p"), C.type_size(x()).alias("total"))
     return v, x.select(F.col("func").alias("id"), "total", F.explode("p").alias("p")).where(F.col("p.tag") == C.FIELD).select("id", F.col("p.at").alias("offset"), F.col("p.s").alias("size"), "total")
 
 
@@ -227,7 +228,7 @@ def d26(spark, d):
 
 @query("d27_has_padding", sql("SELECT func, bool_or(padding) AS has_padding FROM v2 GROUP BY func", "v2"))
 def d27(spark, d):
-    return structs(spark, d).select("func", C.has_padding(X).alias("has_padding"))
+    return structs(spark, d).select("func", C.has_padding(x()).alias("has_padding"))
 
 
 @query("d28_type_pieces", sql("SELECT DISTINCT concat('struct s { ', body, '; }') AS type_str, concat('<struct> | s | ', tokens) AS pieces FROM shown UNION ALL SELECT '<unk>', '<unk>'", "shown"))
