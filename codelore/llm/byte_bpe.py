@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import string_chunks
 
 #: Entries of a cache before it is emptied; results do not depend on it.
-CACHE = 150_000
+CACHE = 200_000
 _NONE = 1 << 60
 #: No byte maps to this character.
 _BETWEEN = chr(0x100)
