@@ -201,8 +201,8 @@ def d23(spark, d):
 
 def members(spark, d):
     v = views.variables(spark, d)
-    x = structs(spark, d).select("func", C.placed(x()["l"]).alias("p"), C.type_size(x()).alias("total"))
-    return v, x.select(F.col("func").alias("id"), "total", F.explode("p").alias("p")).where(F.col("p.tag") == C.FIELD).select("id", F.col("p.at").alias("offset"), F.col("p.s").alias("size"), "total")
+    placed = structs(spark, d).select("func", C.placed(x()["l"]).alias("p"), C.type_size(x()).alias("total"))
+    return v, placed.select(F.col("func").alias("id"), "total", F.explode("p").alias("p")).where(F.col("p.tag") == C.FIELD).select("id", F.col("p.at").alias("offset"), F.col("p.s").alias("size"), "total")
 
 
 @query("d24_insert_padding", sql("""WITH m AS (SELECT func AS id, start AS "offset", size FROM v3 WHERE NOT padding), t AS (SELECT func AS id, size AS total FROM shown)
