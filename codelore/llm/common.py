@@ -114,7 +114,7 @@ class Rolling:
             have = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
             have[0] = 1
             have = np.cumprod(have, dtype=np.uint64)
-            if n <= 4 * CHUNK_BYTES:
+            if n <= CHUNK_BYTES + 1:
                 cls._powers[name] = have
         return have
 

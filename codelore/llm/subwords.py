@@ -21,7 +21,9 @@ from .common import Rolling, Texts, held_out, string_chunks
 GRAMS = (3, 4, 5)
 BITS = 17
 #: Most labelled rows of each class that a model is fitted on.
-SAMPLE = (1500, 1500)
+SAMPLE = (1000, 1000)
+#: Bytes of text that are turned into features at once; an n-gram takes some 150 bytes meanwhile.
+CHUNK = 1 << 18
 
 
 def features(chunk: Texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int] =
     def run(batches):
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
-            for _, chunk in string_chunks(batch.column("text")):
+            for _, chunk in string_chunks(batch.column("text"), CHUNK):
                 buckets, texts = features(chunk)
                 for i in range(len(chunk)):
                     ids, n = np.unique(buckets[texts == i], return_counts=True)
@@ -139,7 +141,7 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
     def run(batches):
         own = shared.value
         for batch in batches:
-            parts = [own.scores(chunk) for _, chunk in string_chunks(batch.column(text))]
+            parts = [own.scores(chunk) for _, chunk in string_chunks(batch.column(text), CHUNK)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=[*keep, "score"])
 
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])

@@ -25,8 +25,8 @@ from .subwords import labelled_sample
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
 #: Most labelled rows of the clean and of the toxic class that a model is fitted on, and words in a training segment.
-SAMPLE, SEGMENT = (4000, 1500), 60
-CHUNK = 1 << 21
+SAMPLE, SEGMENT = (3000, 1500), 60
+CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _EDGE = np.zeros(256, bool)
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
     def run(batches):
         for batch in batches:
             out: list[bytes] = []
-            for _, chunk in string_chunks(batch.column("text")):
+            for _, chunk in string_chunks(batch.column("text"), CHUNK >> 1):
                 _, _, of, own = word_features(chunk)
                 at = np.searchsorted(of, np.arange(len(chunk) + 1))
                 out += [own[:, a:b].astype("<i4").tobytes() for a, b in zip(at, at[1:])]
