@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from .common import Rolling, Texts, string_chunks
 from .subwords import labelled_sample
 
-BITS = 18
+#: Words are many; with fewer buckets clean ones would share those of toxic ones.
+BITS = 22
 PREFIXES = (3, 4, 5, 6)
 #: Most labelled rows of the clean and of the toxic class that a model is fitted on, and words in a training segment.
 SAMPLE, SEGMENT = (3000, 1500), 60
@@ -109,7 +110,7 @@ class Field:
     def words(self, chunk: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, end, text number and marginal of every word."""
         starts, ends, of, own = word_features(chunk)
-        logits = np.full(len(of), self.weights[-1])
+        logits = np.full(len(of), float(self.weights[-1]))
         for buckets in own:
             logits += self.weights[buckets]
         return starts, ends, of, marginals(logits, np.bincount(of, minlength=len(chunk)), self.step)
@@ -123,30 +124,55 @@ def _segments(rows: list, most: int = SEGMENT) -> Iterator[tuple[np.ndarray, int
             yield own[:, k : k + most], r["label"]
 
 
+def without_copies(rows: list) -> list:
+    """One of each label's sampled documents that share most runs of five words: a copy is no new evidence.
+
+    Documents are copies if they agree in one of 8 pairs of minima over their runs' hashes.
+    """
+    draw = np.random.default_rng(29)
+    a, b = (draw.integers(1, 1 << 62, (16, 1), dtype=np.uint64) | np.uint64(1) for _ in range(2))
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+    seen: set[tuple] = set()
+    kept = []
+    for r in rows:
+        words = np.frombuffer(r["own"], "<i4").reshape(1 + len(PREFIXES), -1)[0].astype(np.uint64)
+        n = max(1, len(words) - 4)
+        runs = sum((words[k : k + n] * odd[k] for k in range(min(5, len(words)))), np.zeros(1, np.uint64))
+        least = (runs[None, :] * a + b >> np.uint64(20)).min(axis=1)
+        keys = {(r["label"], k, int(least[2 * k]), int(least[2 * k + 1])) for k in range(8)}
+        if not keys & seen:
+            kept.append(r)
+        seen |= keys
+    return kept
+
+
 def label_words(rows: list) -> tuple[np.ndarray, np.ndarray]:
     """Which buckets label words of toxic documents as toxic, and which are common enough to have a weight.
 
     A bucket labels if its share of toxic documents is 12 times the share of clean ones, and if the bound
     exp(-N KL(share, chance)) on so many toxic ones among its N documents stays under 0.05 over all buckets.
     """
-    toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for r in rows:
-        (toxic if r["label"] else clean)[np.unique(np.frombuffer(r["own"], "<i4"))] += 1
     n = sum(r["label"] for r in rows)
     m = len(rows) - n
-    found, common = np.zeros(1 << BITS, bool), toxic + clean >= min(4, 1 + 0.01 * len(rows))
+    found, common = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
     if n and m:
-        both, chance = np.maximum(toxic + clean, 1), n / len(rows)
-        share = toxic / both
+        once = {k: np.concatenate([np.unique(np.frombuffer(r["own"], "<i4")) for r in rows if r["label"] == k]) for k in (0, 1)}
+        seen, both = np.unique(np.concatenate([once[0], once[1]]), return_counts=True)
+        hit, count = np.unique(once[1], return_counts=True)
+        toxic = np.zeros(len(seen))
+        toxic[np.searchsorted(seen, hit)] = count
+        share, chance = toxic / both, n / len(rows)
         with np.errstate(divide="ignore", invalid="ignore"):
             far = np.nan_to_num(share * np.log(share / chance)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - chance)))
-        least = np.log((toxic + clean > 0).sum() / 0.05)
+        least = np.log(len(seen) / 0.05)
         likely = share > chance
-        found = (both * far >= least) & likely
-        if not found.any():  # a few dozen labels can't give that much; half of it then has to do
-            found = (both * far >= least / 2) & likely
-        found &= ((toxic + 0.5) / (n + 1)) / ((clean + 0.5) / (m + 1)) >= 12 if n > 100 else share >= 0.8
-    found[0] = common[0] = False
+        likely &= ((toxic + 0.5) / (n + 1)) / ((both - toxic + 0.5) / (m + 1)) >= 12 if n > 100 else share >= 0.8
+        speaks = (both * far >= least) & likely
+        if not speaks.any():  # a few dozen labels can't give that much; half of it then has to do
+            speaks = (both * far >= least / 2) & likely
+        found[seen[speaks]] = True
+        common[seen[both >= min(4, 1 + 0.01 * len(rows))]] = True
+        found[0] = common[0] = False
     return found, common
 
 
@@ -165,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
 
     rows = sample.mapInArrow(run, "doc_id long, label int, own binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["own"]))
-    weights = np.zeros((1 << BITS) + 1)
+    rows = without_copies(rows)
+    weights = np.zeros((1 << BITS) + 1, np.float32)
     weights[-1] = -9.0
     step = np.array([[0.98, 0.02], [0.6, 0.4]])
     speaks, common = label_words(rows)
@@ -177,9 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
         # In toxic documents the words between labelled ones may be toxic too: only segments with a label teach.
         if tags.any() or not toxic:
             kept.append((np.where(common[own], own, 0), tags.astype(np.float64)))
-    weights[-1] = -5.0
+    # What a word without known features gets stays: learnt, it would rise while the known clean words fall.
+    weights[-1] = -6.0
     draw = np.random.default_rng(seed)
-    seen, moved = np.full(len(weights), 1e-3), np.log(step)
+    seen, moved = np.full(len(weights), 1e-3, np.float32), np.log(step)
     for _ in range(epochs):
         order = draw.permutation(len(kept))
         for k in range(0, len(order), 512):
@@ -189,13 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
             of = np.repeat(np.arange(len(part)), sizes)
             step = np.exp(moved)
             step /= step.sum(axis=1, keepdims=True)
-            p = marginals(weights[-1] + weights[buckets].sum(axis=0), sizes, step)
+            p = marginals(weights[-1] + weights[buckets].sum(axis=0, dtype=np.float64), sizes, step)
             slope = tags - p
-            change = np.bincount(buckets.ravel(), np.tile(slope, len(buckets)), len(weights))
-            change[0], change[-1] = 0, slope.sum()
-            change -= 1e-3 * weights
-            seen += change**2
-            weights += rate * change / np.sqrt(seen)
+            used, place = np.unique(buckets, return_inverse=True)
+            change = np.bincount(place.ravel(), np.tile(slope, len(buckets)))
+            change[used == 0] = 0
+            change -= 1e-3 * weights[used]
+            seen[used] += change**2
+            weights[used] += rate * change / np.sqrt(seen[used])
             # Steps follow the tagged pairs and the pairs that the marginals expect.
             inner = of[1:] == of[:-1]
             for i, (a, pa_) in enumerate(((1 - tags, 1 - p), (tags, p))):
