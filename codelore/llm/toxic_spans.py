@@ -208,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
     weights[-1] = -6.0
     draw = np.random.default_rng(seed)
     seen, moved = np.full(len(weights), 1e-3, np.float32), np.log(step)
-    for _ in range(epochs):
+    # A small sample gives few steps an epoch: at least 120 in all.
+    for _ in range(max(epochs, -(-120 * 512 // len(kept)))):
         order = draw.permutation(len(kept))
         for k in range(0, len(order), 512):
             part = [kept[i] for i in order[k : k + 512]]
