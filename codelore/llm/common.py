@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import sys
 import tempfile
 from collections.abc import Iterator
 
@@ -72,6 +75,7 @@ class Texts:
         return starts, ends, np.searchsorted(self.at[1:], starts, "right")
 
 
+_LIBC = ctypes.CDLL(name) if sys.platform == "linux" and (name := ctypes.util.find_library("c")) else None
 _SOLID = np.ones(256, bool)
 _SOLID[list(BLANKS)] = False
 
@@ -91,6 +95,14 @@ def string_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[i
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield i, Texts(raw[at[i] : at[j]], at[i : j + 1] - at[i])
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which a worker that outlives many tasks would else keep."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 class Rolling:
