@@ -5,9 +5,10 @@ tags, classes and sequences of children; it counts the sequences of its own chil
 links and images right inside it.  An element whose styles or contents vary between pages is important,
 one that repeats is not: its importance is the entropy of its styles, or one less the mean entropy of its contents over
 the pages, in units of the logarithm of its number of pages.  A branch's importance mixes its root's with its
-children's.  What markup says of a branch bounds the importance: navigation, notices, adverts, forms, comments
-and the like have none, an article keeps its own, and beside an article nothing else matters.  Branches
-under the threshold are cut from each page.
+children's.  A branch is cut from a page if neither it nor any branch with text in it reaches the threshold, inside
+articles too.  Markup is a prior: navigation, adverts, forms, comments and the like have no importance; an article
+counts as one more page on which its elements vary; beside an article a branch needs a higher importance, and more
+text outside links than inside.
 
 A branch is judged along the page's own styles, so that no host has to be gathered: counts are summed by
 element over all pages, and each page looks up its own elements.
@@ -27,8 +28,8 @@ from xxhash import xxh3_64_intdigest
 
 from .common import salted_lookup
 
-#: Least importance of a branch that stays, and the weight of children by depth.
-THRESHOLD, GAMMA = 0.2, 0.9
+#: Least importance of a branch that stays, the same beside an article, and the weight of children by depth.
+THRESHOLD, BESIDE, GAMMA = 0.2, 0.5, 0.9
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85   -     　]+")
@@ -53,13 +54,13 @@ ARTICLE_WORDS = frozenset("article articlebody".split())
 
 
 class Node:
-    __slots__ = ("article", "children", "chrome", "holds", "key", "links", "mark", "parent", "tag")
+    __slots__ = ("article", "children", "chrome", "holds", "inside", "key", "links", "mark", "parent", "tag")
 
     def __init__(self, tag: str, mark: str, parent: Node | None):
         self.tag, self.mark, self.parent = tag, mark, parent
         self.children: list[Node | str] = []
         self.links: list[str] = []
-        self.chrome = self.article = self.holds = False
+        self.chrome = self.article = self.holds = self.inside = False
         self.key = 0
 
 
@@ -152,8 +153,11 @@ def _hash(*parts: object) -> int:
     return xxh3_64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "replace")) - (1 << 63)
 
 
-def name_nodes(root: Node, host: str) -> list[tuple[Node, int, list[int]]]:
-    """Give every element its key in the style tree; the element, its style and its contents, parents first."""
+def name_nodes(root: Node, host: str, with_contents: bool = True) -> list[tuple[Node, int, list[int]]]:
+    """Give every element outside chrome its key in the style tree; the element, its style and its contents, parents first.
+
+    Contents are the links, then the texts.
+    """
     out = []
     root.key = _hash(host, "#page")
     todo = [root]
@@ -161,10 +165,10 @@ def name_nodes(root: Node, host: str) -> list[tuple[Node, int, list[int]]]:
         node = todo.pop()
         runs: list[str] = []
         members: list[tuple[Node, int]] = []
-        contents = [_hash("link", x) for x in node.links]
+        contents = [_hash("link", x) for x in node.links] if with_contents else []
         for child in node.children:
             if isinstance(child, str):
-                if text := _SPACE.sub(" ", child).strip():
+                if with_contents and (text := " ".join(child.split())):
                     contents.append(_hash("text", text))
                 continue
             kind = f"{child.tag}.{child.mark}"
@@ -172,10 +176,13 @@ def name_nodes(root: Node, host: str) -> list[tuple[Node, int, list[int]]]:
                 runs.append(kind)
             members.append((child, len(runs)))
         style = _hash(node.key, *runs)
-        for child, place in members:
-            child.key = _hash(style, place)
+        place, key = 0, 0
+        for child, at in members:
+            if at != place:
+                place, key = at, _hash(style, at)
+            child.key = key
         out.append((node, style, contents))
-        todo += [c for c, _ in reversed(members) if c.tag not in RAW]
+        todo += [c for c, _ in reversed(members) if not c.chrome]
     return out
 
 
@@ -198,55 +205,74 @@ def _mark_articles(root: Node) -> bool:
         while node is not None and not node.holds:
             node.holds, node.chrome = True, False
             node = node.parent
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for c in node.children:
+            if not isinstance(c, str) and not c.chrome:
+                c.inside = node.inside or (c.article and c.holds)
+                todo.append(c)
     return bool(clear or hidden)
 
 
-def main_text(html: str, host: str, importance: dict[int, float]) -> str:
-    """The page's text without branches of low importance; elements not given have importance 1."""
+def main_text(html: str, host: str, importance: dict[int, tuple[float, float]]) -> str:
+    """The page's text without branches of low importance.
+
+    ``importance`` has the importance of elements and the pages it was taken from; elements not given have importance 1.
+    """
     root = parsed(html)
-    # Beside an article nothing else matters, so that its page's other branches need not be weighed.
-    if _mark_articles(root) and (text := _read(root, {}, True)):
-        return text
-    name_nodes(root, host)
+    articles = _mark_articles(root)
+    order = [node for node, _, _ in name_nodes(root, host, False)]
     branch: dict[int, float] = {}
-    order = [root]
-    for node in order:
-        order += [c for c in node.children if not isinstance(c, str)]
+    peak: dict[int, float] = {}
+    size: dict[int, tuple[int, int]] = {}
+    cut: set[int] = set()
     for node in reversed(order):
-        inner = [branch[id(c)] for c in node.children if not isinstance(c, str)]
-        own = importance.get(node.key, 1.0)
+        own, pages = importance.get(node.key, (1.0, 0.0))
+        if node.inside:
+            own = (own * pages + 1) / (pages + 1)
+        inner = [c for c in node.children if not isinstance(c, str) and not c.chrome]
         share = GAMMA ** len(inner)
-        branch[id(node)] = (1 - share) * own + share * sum(inner) / len(inner) if inner else own
-    return _read(root, branch, False)
+        me = id(node)
+        branch[me] = (1 - share) * own + share * sum(branch[id(c)] for c in inner) / len(inner) if inner else own
+        text = sum(len(x.strip()) for x in node.children if isinstance(x, str))
+        linked = 0
+        for c in inner:
+            more = size[id(c)]
+            text, linked = text + more[0], linked + more[1]
+        size[me] = text, text if node.tag == "a" else linked
+        peak[me] = max([branch[me], *(peak[id(c)] for c in inner)]) if text else 0.0
+        beside = articles and not node.inside
+        if node.holds or node.tag in ("#page", "html", "body"):
+            # Text right inside what holds the article is beside it.
+            if beside and own < BESIDE:
+                node.children = [c for c in node.children if not isinstance(c, str)]
+            if not node.article:
+                continue
+        if peak[me] < (BESIDE if beside else THRESHOLD) or (beside and 2 * size[me][1] > text):
+            cut.add(me)
+    return _read(root, cut)
 
 
-def _read(root: Node, branch: dict[int, float], in_article: bool) -> str:
+def _read(root: Node, cut: set[int]) -> str:
     pieces: list[str] = []
-    stack: list[tuple[Node | str | None, bool]] = [(root, not in_article)]
+    stack: list[Node | str | None] = [root]
     while stack:
-        item, inside = stack.pop()
+        item = stack.pop()
         if item is None:
             pieces.append(" ")
             continue
         if isinstance(item, str):
-            if inside:
-                pieces.append(unescape(item))
+            pieces.append(unescape(item))
             continue
-        inside = inside or item.article
-        if item.chrome:
-            weight = 0.0
-        elif in_article:
-            weight = float(inside or item.holds)
-        else:
-            weight = branch[id(item)]
         spaced = item.tag in BLOCK or item.tag == "br"
         if spaced:
             pieces.append(" ")
-        if weight < THRESHOLD and item.tag not in ("#page", "html", "body"):
+        if item.chrome or id(item) in cut:
             continue
         if spaced:
-            stack.append((None, False))
-        stack += [(c, inside) for c in reversed(item.children)]
+            stack.append(None)
+        stack += reversed(item.children)
     return _SPACE.sub(" ", "".join(pieces)).strip(" ")
 
 
@@ -256,7 +282,7 @@ def host_of(url: str | None) -> str:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """Importance of every element of every host's style tree that isn't fully important: ``key, importance``."""
+    """Importance of every element of every host's style tree that isn't fully important: ``key, importance, pages``."""
 
     def run(batches):
         for batch in batches:
@@ -265,7 +291,9 @@ def style_counts(pages: DataFrame) -> DataFrame:
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 if html and (host := host_of(url)):
                     page: Counter = Counter()
-                    for node, style, contents in name_nodes(parsed(html), host):
+                    root = parsed(html)
+                    _mark_articles(root)
+                    for node, style, contents in name_nodes(root, host):
                         page[node.key, 0, style] = 1  # a run of alike elements is one
                         for x in contents:
                             page[node.key, 1, x] += 1
@@ -290,7 +318,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
     size = F.log("pages")
     by_style = (size - F.col("styles") / F.col("pages")) / size
     found = F.when(F.col("contents").isNotNull(), 1 - F.least(F.lit(1.0), F.col("contents") / size)).otherwise(by_style)
-    return node.where(F.col("pages") > 1).select("key", F.round(found, 9).alias("importance")).where(F.col("importance") < 1)
+    return node.where(F.col("pages") > 1).select("key", F.round(found, 9).alias("importance"), F.col("pages").cast("double").alias("pages")).where(F.col("importance") < 1)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -306,12 +334,17 @@ def extract(pages: DataFrame) -> DataFrame:
             out = []
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 host = host_of(url)
-                out.append(sorted({n.key for n, _, _ in name_nodes(parsed(html), host)}) if html and host else [])
+                keys: set[int] = set()
+                if html and host:
+                    root = parsed(html)
+                    _mark_articles(root)
+                    keys = {n.key for n, _, _ in name_nodes(root, host, False)}
+                out.append(sorted(keys))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.list_(pa.int64()))], names=["page_id", "keys"])
 
     elements = pages.select("page_id", "url", "html").where(F.col("page_id").isNotNull()).mapInArrow(named, f"page_id long, keys {keys}").select("page_id", F.explode("keys").alias("key"))
     found = salted_lookup(elements, style_counts(pages), "key", F.col("page_id")).where(F.col("importance").isNotNull())
-    page = found.groupBy("page_id").agg(F.collect_set(F.struct("key", "importance")).alias("_found"))
+    page = found.groupBy("page_id").agg(F.collect_set(F.struct("key", "importance", "pages")).alias("_found"))
     joined = pages.join(page, "page_id", "left")
     keep = [c for c in joined.columns if c not in ("text", "_found", "html")]
 
@@ -319,7 +352,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for url, html, found in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), batch.column("_found").to_pylist()):
-                texts.append(main_text(html, host_of(url), {x["key"]: x["importance"] for x in found or ()}) if html else "")
+                texts.append(main_text(html, host_of(url), {x["key"]: (x["importance"], x["pages"]) for x in found or ()}) if html else "")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*keep).schema.fields)

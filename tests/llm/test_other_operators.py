@@ -49,6 +49,23 @@ def test_repeated_branches_of_a_site_go(spark):
     assert "A single page." in alone["text"] and "always" in alone["text"]  # nothing to compare it with
 
 
+def test_the_tree_decides_inside_and_beside_articles(spark):
+    """Repeats inside an article go, text beside it that varies stays; teasers of links don't."""
+    def page(i):
+        return f"<body><div class='y1'>Only on this site.</div><div class='y2'>Lead {i} of the story.</div><div class='y3'>Also <a href='/{i}'>another long story {i * 3}</a></div><article><div class='z1'>Written by our staff.</div><p>Story {i} begins.</p><p>Story {i} ends.</p></article></body>"
+
+    got = style_tree.extract(spark.createDataFrame([(i, f"http://one.example/{i}", page(i)) for i in range(30)], PAGES)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Lead {i} of the story. Story {i} begins. Story {i} ends." for i in range(30)}
+
+
+def test_long_bodies_stay(spark):
+    """A container that all pages have alike stays for the sake of the texts in it."""
+    for tag in ("div", "article"):
+        rows = [(i, f"http://one.example/{i}", f"<body><{tag}>" + "".join(f"<h2>h {i} {k}</h2><p>text {i} {k}</p>" for k in range(20)) + f"</{tag}><div class='x3'>Always the same.</div></body>") for i in range(8)]
+        got = style_tree.extract(spark.createDataFrame(rows, PAGES)).collect()
+        assert {r["page_id"]: r["text"] for r in got} == {i: " ".join(f"h {i} {k} text {i} {k}" for k in range(20)) for i in range(8)}
+
+
 def test_importance_by_hand(spark):
     """Two pages of three share the only text of an element: H = (ln 2 + 0) / 2 over ln 3."""
     html = ["<p>same</p>", "<p>same</p>", "<p>other</p>"]
