@@ -11,12 +11,12 @@ counts as one more page on which its elements vary; beside an article a branch n
 text outside links than inside.
 
 A branch is judged along the page's own styles, so that no host has to be gathered: counts are summed by
-element over all pages, and each page looks up its own elements.
+element over all pages, copies of a page on a host as one, and each page looks up its own elements.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
 from collections import Counter
 from html import unescape
@@ -281,33 +281,56 @@ def host_of(url: str | None) -> str:
     return found[1].rpartition("@")[2].lower() if found else ""
 
 
-def style_counts(pages: DataFrame) -> DataFrame:
-    """Importance of every element of every host's style tree that isn't fully important: ``key, importance, pages``."""
+def _payload(host: str, html: str, named: list[tuple[Node, int, list[int]]]) -> int:
+    """What copies of a page have alike: the host and the texts of its articles, or all texts if most are beside them."""
+    inside: list[int] = []
+    every: list[int] = []
+    long = short = 0
+    for node, _, contents in named:
+        texts = contents[len(node.links) :]
+        every += texts
+        size = sum(len(x) for x in node.children if isinstance(x, str))
+        if node.inside:
+            inside += texts
+            long += size
+        else:
+            short += size
+    return _hash("payload", host, *(inside if inside and long >= short else every or [html]))
+
+
+def style_counts(pages: DataFrame, once: bool = False) -> DataFrame:
+    """Importance of every element of every host's style tree that isn't fully important: ``key, importance, pages``.
+
+    ``once``: copies of a page on a host count as one page, for what repeats only in copies is no boilerplate.
+    """
 
     def run(batches):
         for batch in batches:
-            counts: Counter = Counter()
-            logs: Counter = Counter()
+            found: dict[int, list[tuple[int, int, int, int]]] = {}
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 if html and (host := host_of(url)):
-                    page: Counter = Counter()
                     root = parsed(html)
                     _mark_articles(root)
-                    for node, style, contents in name_nodes(root, host):
+                    named = name_nodes(root, host)
+                    page: Counter = Counter()
+                    for node, style, contents in named:
                         page[node.key, 0, style] = 1  # a run of alike elements is one
                         for x in contents:
                             page[node.key, 1, x] += 1
-                    for k, n in page.items():
-                        counts[k] += n
-                        if n > 1:
-                            logs[k] += n * math.log(n)
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))] + [pa.array([counts[k] for k in keys], pa.int64()), pa.array([float(logs[k]) for k in keys], pa.float64())], names=["key", "kind", "what", "n", "n_log_n"]
-            )
-
-    rows = pages.select("url", "html").mapInArrow(run, "key long, kind int, what long, n long, n_log_n double")
-    each = rows.groupBy("key", "kind", "what").agg(F.sum("n").alias("n"), F.sum("n_log_n").alias("n_log_n"))
+                    rows = sorted((*k, n) for k, n in page.items())
+                    payload = _payload(host, html, named) if once else len(found)
+                    found[payload] = min(rows, found.get(payload, rows))  # no matter which copy comes first
+            flat = [r for rows in found.values() for r in rows]
+            kinds = {"key": pa.int64(), "kind": pa.int32(), "what": pa.int64(), "n": pa.int64()}
+            counts = pa.StructArray.from_arrays([pa.array([r[i] for r in flat], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+            ends = [0, *itertools.accumulate(map(len, found.values()))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counts)], names=["payload", "counts"])
+
+    rows = pages.select("url", "html").mapInArrow(run, "payload long, counts array<struct<key: long, kind: int, what: long, n: long>>")
+    if once:
+        rows = rows.groupBy("payload").agg(F.min("counts").alias("counts"))
+    rows = rows.select(F.explode("counts").alias("c")).select("c.*")
+    each = rows.groupBy("key", "kind", "what").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
     style, content = F.col("kind") == 0, F.col("kind") == 1
     entropy = F.log("n") - F.col("n_log_n") / F.col("n")
     node = each.groupBy("key").agg(
@@ -343,7 +366,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.list_(pa.int64()))], names=["page_id", "keys"])
 
     elements = pages.select("page_id", "url", "html").where(F.col("page_id").isNotNull()).mapInArrow(named, f"page_id long, keys {keys}").select("page_id", F.explode("keys").alias("key"))
-    found = salted_lookup(elements, style_counts(pages), "key", F.col("page_id")).where(F.col("importance").isNotNull())
+    found = salted_lookup(elements, style_counts(pages, once=True), "key", F.col("page_id")).where(F.col("importance").isNotNull())
     page = found.groupBy("page_id").agg(F.collect_set(F.struct("key", "importance", "pages")).alias("_found"))
     joined = pages.join(page, "page_id", "left")
     keep = [c for c in joined.columns if c not in ("text", "_found", "html")]

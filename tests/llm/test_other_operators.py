@@ -66,6 +66,20 @@ def test_long_bodies_stay(spark):
         assert {r["page_id"]: r["text"] for r in got} == {i: " ".join(f"h {i} {k} text {i} {k}" for k in range(20)) for i in range(8)}
 
 
+@pytest.mark.parametrize("copies", [2, 1000])
+def test_copies_of_a_page_stay(spark, copies):
+    """Copies count as one page, with or without other pages on the host, and whatever their chrome says."""
+    body = "<h1>Head</h1><p>one</p><ul><li>two</li></ul><p>three</p><h2>four</h2><p>five</p>"
+    rows = [(i, f"http://copies.example/{i}", f"<body>{body}</body>") for i in range(copies)]
+    rows += [(2000 + i, f"http://mixed.example/{i}", f"<body><nav>{i}</nav>{body}</body>") for i in range(copies)]
+    rows += [(4000 + i, f"http://mixed.example/o{i}", chrome(i, f"Story {i}.")) for i in range(10)]
+    rows += [(5000 + i, f"http://article.example/{i}", f"<body><div class='x1'>{i}</div><article>{body}</article></body>") for i in range(copies)]
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(t == "Head one two three four five" for i, t in got.items() if i < 4000)
+    assert all(t.endswith("Head one two three four five") for i, t in got.items() if i >= 5000)
+    assert all(got[4000 + i] == f"Story {i}." for i in range(10))
+
+
 def test_importance_by_hand(spark):
     """Two pages of three share the only text of an element: H = (ln 2 + 0) / 2 over ln 3."""
     html = ["<p>same</p>", "<p>same</p>", "<p>other</p>"]
