@@ -16,6 +16,7 @@ element over all pages, copies of a page on a host as one, and each page looks u
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections import Counter
@@ -50,20 +51,41 @@ ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead header comments comment commentlist disqus replies reply respond cookie cookies notice notices consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager toolbar search tags skip contentinfo complementary".split()
 )
-ARTICLE_WORDS = frozenset("article articlebody".split())
+#: Those of them that name readers' remarks, and words that only say which part of a branch a name means.
+REMARK_WORDS = frozenset("comments comment commentlist disqus replies reply respond".split())
+PART_WORDS = frozenset(
+    "left right top bottom upper lower middle center first last primary secondary main global site page mobile desktop small large fixed sticky list lists item items area areas box boxes block blocks bar bars container wrapper wrap inner outer section row col column content body text title heading head label link links button buttons btn icon icons form field input post posts article articles story stories unit slot panel group set toggle tree thread author meta count image img".split()
+)
 
 
 class Node:
-    __slots__ = ("article", "children", "chrome", "holds", "inside", "key", "links", "mark", "parent", "tag")
+    __slots__ = ("article", "children", "chrome", "doubtful", "holds", "inside", "key", "links", "mark", "named", "parent", "remark", "tag")
 
     def __init__(self, tag: str, mark: str, parent: Node | None):
         self.tag, self.mark, self.parent = tag, mark, parent
         self.children: list[Node | str] = []
         self.links: list[str] = []
-        self.chrome = self.article = self.holds = self.inside = False
+        self.chrome = self.article = self.holds = self.inside = self.named = self.doubtful = self.remark = False
         self.key = 0
 
 
+@functools.lru_cache(4096)
+def _names(mark: str) -> tuple[bool, bool, bool]:
+    """Whether classes and ids name chrome for certain, only perhaps, and readers' remarks.
+
+    A word counts as a whole class or as its leading part; it is certain if the rest only says which part is meant.
+    """
+    certain = perhaps = remark = False
+    for name in mark.split():
+        parts = _PARTS.findall(name)
+        if parts and (first := parts[0].rstrip("0123456789")) in CHROME_WORDS:
+            if all(x in CHROME_WORDS or x in PART_WORDS or x.isdigit() or len(x) < 3 for x in parts[1:]):
+                certain, remark = True, remark or first in REMARK_WORDS
+            else:
+                perhaps = True
+    return certain, perhaps and not certain, remark
+
+
 def parsed(html: str) -> Node:
     """The tree of a page; unclosed and stray tags are taken as browsers mostly take them."""
     root = here = Node("#page", "", None)
@@ -122,13 +144,13 @@ def parsed(html: str) -> Node:
         if attributes:
             if link := attributes.get("href") or attributes.get("src"):
                 here.links.append(link)
-            named = set(_PARTS.findall(f"{node.mark} {attributes.get('role', '').lower()}"))
-            node.chrome = bool(named & CHROME_WORDS) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+            node.named, node.doubtful, node.remark = _names(f"{node.mark} {attributes.get('role', '').lower()}")
+            node.chrome = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
             node.article = attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody"
         if name in UNSEEN or name in CHROME:
             node.chrome = True
         elif name in ("html", "body"):
-            node.chrome = False
+            node.chrome = node.named = node.doubtful = node.remark = False
         elif name in ("article", "main"):
             node.article = not node.chrome
         elif name == "header":
@@ -136,6 +158,10 @@ def parsed(html: str) -> Node:
             while up is not None and up.tag not in ("article", "main"):
                 up = up.parent
             node.chrome |= up is None
+            # The head of an article holds its title.
+            node.doubtful, node.named = node.doubtful or node.named, False
+        if node.article and not node.remark:
+            node.named = node.doubtful = False  # never by name alone
         here.children.append(node)
         if name in RAW:
             close = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
@@ -186,22 +212,42 @@ def name_nodes(root: Node, host: str, with_contents: bool = True) -> list[tuple[
     return out
 
 
+def _has_text(root: Node) -> bool:
+    """Whether the page has text outside chrome."""
+    todo: list[Node | str] = [root]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            if item.strip():
+                return True
+        elif not item.chrome:
+            todo += item.children
+    return False
+
+
 def _mark_articles(root: Node) -> bool:
-    """Mark the containers of the page's articles; whether it has any.
+    """Mark what is chrome by its name, and the containers of the page's articles; whether it has any.
 
     Articles inside chrome count only if there is none outside; then containers that are chrome by their
-    names alone are freed.
+    names alone are freed.  Readers' remarks are no articles, unless a single one outside a block of remarks is all the page has.
     """
     clear: list[Node] = []
     hidden: list[Node] = []
+    remarks: list[Node] = []
     todo = [(root, 0)]
     while todo:
         node, under = todo.pop()
-        under = max(under, 2 if node.tag in UNSEEN or node.tag in ("nav", "footer", "aside") else int(node.chrome))
+        if node.article and node.remark and not under:
+            remarks.append(node)
+        under = max(under, 2 if node.tag in UNSEEN or node.tag in ("nav", "footer", "aside") or node.remark else int(node.chrome or node.named))
         if node.article and under < 2:
             (hidden if under else clear).append(node)
+        node.chrome = node.chrome or node.named
         todo += [(c, under) for c in node.children if not isinstance(c, str)]
-    for node in clear or hidden:
+    chosen = clear or hidden
+    if not chosen and len(remarks) == 1 and not _has_text(root):
+        chosen = remarks
+    for node in chosen:
         while node is not None and not node.holds:
             node.holds, node.chrome = True, False
             node = node.parent
@@ -212,7 +258,7 @@ def _mark_articles(root: Node) -> bool:
             if not isinstance(c, str) and not c.chrome:
                 c.inside = node.inside or (c.article and c.holds)
                 todo.append(c)
-    return bool(clear or hidden)
+    return bool(chosen)
 
 
 def main_text(html: str, host: str, importance: dict[int, tuple[float, float]]) -> str:
@@ -249,7 +295,8 @@ def main_text(html: str, host: str, importance: dict[int, tuple[float, float]])
                 node.children = [c for c in node.children if not isinstance(c, str)]
             if not node.article:
                 continue
-        if peak[me] < (BESIDE if beside else THRESHOLD) or (beside and 2 * size[me][1] > text):
+        # So does a name that may mean chrome.
+        if peak[me] < (BESIDE if beside or node.doubtful else THRESHOLD) or (beside and 2 * size[me][1] > text):
             cut.add(me)
     return _read(root, cut)
 

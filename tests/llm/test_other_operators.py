@@ -80,6 +80,25 @@ def test_copies_of_a_page_stay(spark, copies):
     assert all(got[4000 + i] == f"Story {i}." for i in range(10))
 
 
+def test_names_alone_cut_no_article(spark):
+    """Words count as a whole class or its leading part; a doubtful name goes only where it repeats over the site."""
+    cases = [
+        ("<article class='post category-social tag-search has-comments'><p>a b</p></article>", "a b"),
+        ("<main class='search'>a</main>", "a"), ("<article class='comment'>alone</article>", "alone"),
+        ("<div id='search-results-study'><p>a b</p></div>", "a b"),
+        ("<div class='has-sidebar'>a<div class='sidebar-left'>b</div><div class='ad-banner top'>c</div><ul class='nav2'>d</ul></div>", "a"),
+        ("<article>a</article><ol class='comment-list'><article class='comment'>b</article></ol><article class='comment'>c</article>", "a"),
+        ("<div><p>story</p></div><article class='comment'>c</article>", "story"),
+        ("<div class='comments'><article>g</article></div>", ""),
+        ("<article class='post'><header class='header'><h1>t</h1></header>a</article>", "t a"),
+    ]
+    rows = [(i, f"http://h{i}/", html) for i, (html, _) in enumerate(cases)]
+    rows += [(100 + i, f"http://notes.example/{i}", f"<body><div class='notice-of-meeting'>Meeting {i}.</div><div class='share-price-ticker'>Prices <b>here</b>.</div></body>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    assert [got[100 + i] for i in range(9)] == [f"Meeting {i}." for i in range(9)]
+
+
 def test_importance_by_hand(spark):
     """Two pages of three share the only text of an element: H = (ln 2 + 0) / 2 over ln 3."""
     html = ["<p>same</p>", "<p>same</p>", "<p>other</p>"]
