@@ -80,11 +80,14 @@ def _joined(cells: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v, doubles; without rows that take no part, and those of another length than most."""
+    """vec_id and v, doubles, a row a vec_id; without rows that take no part, and those of another length than most.
+
+    Of several vectors of one vec_id the smallest counts, compared number by number.
+    """
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (common["n"] if common else 0))
+    common = rows.groupBy(F.size("v").alias("n")).agg(F.count_distinct("vec_id").alias("count")).orderBy(F.desc("count"), "n").first()
+    return rows.where(F.size("v") == (common["n"] if common else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def fit(rows: DataFrame, k: int = 20, seed: int = 23) -> tuple[Index, int]:
@@ -95,8 +98,6 @@ def fit(rows: DataFrame, k: int = 20, seed: int = 23) -> tuple[Index, int]:
         return Index(np.zeros((1, 0, 0)), np.zeros((1, 0)), 1.0, 1, most or 1.0, np.zeros((0, 1)), np.zeros(0, np.int64)), n
     first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     sample, ids = np.array([r["v"] for r in first]), np.array([r["vec_id"] for r in first], np.int64)
-    # Repeated rows of one id are one neighbour.
-    once = np.unique(ids, return_index=True)[1]
     draw = np.random.default_rng(seed)
     queries = sample[:200]
     exact = queries @ sample.T
@@ -108,7 +109,7 @@ def fit(rows: DataFrame, k: int = 20, seed: int = 23) -> tuple[Index, int]:
     spread = draw.random((TABLES, cells))
     chosen, least = None, 2.0
     for width in (0.5, 0.8, 1.2, 1.8, 2.6):
-        index = Index(planes, spread * width, width, 3**cells, most * (1 + 1e-9), sample[once], ids[once])
+        index = Index(planes, spread * width, width, 3**cells, most * (1 + 1e-9), sample, ids)
         places = np.full((TABLES, len(queries), len(sample)), 3**cells)
         for t in range(TABLES):
             keys, probed = index.keys(sample, t), index.probed(queries, t)
@@ -134,7 +135,8 @@ def fit(rows: DataFrame, k: int = 20, seed: int = 23) -> tuple[Index, int]:
 def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k nearest of each query, the rows whose vec_id divides by ``every``.
 
-    Rows of a query's own vec_id are no candidates.  An empty table, or one with a single vector, gives no rows.
+    Repeated rows of a vec_id are one candidate and one query, with the vector that ``usable`` takes.  A query's own
+    vec_id is no candidate.  An empty table, or one with a single vector, gives no rows.
     """
     rows = usable(vectors)
     index, n = fit(rows, k)

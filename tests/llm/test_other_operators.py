@@ -195,6 +195,28 @@ def test_neighbours(spark):
     assert multiprobe.search(e.where("vec_id < 6")).count() == 5
 
 
+@pytest.mark.parametrize("one_bucket", [4096, 100])
+def test_repeated_vectors_are_one_neighbour(spark, monkeypatch, one_bucket):
+    """Repeated candidates and queries, against brute force over the smallest vector of each id."""
+    monkeypatch.setattr(multiprobe, "ONE_BUCKET", one_bucket)
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(300, 8))
+    x[:, 0] = np.abs(x[:, 0]) + 4  # all in one region, so that the index finds all
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(i, x[i].tolist()) for i in range(0, 40) for _ in range(30)] + [(100, x[100].tolist())] * 3 + [(200, (x[200] + 9).tolist())]
+    got = multiprobe.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    hits = 0
+    for q in range(0, 300, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [r for r, _ in mine] == list(range(1, 21)) and len({v for _, v in mine}) == 20
+        want = np.argsort(-s)[:20].tolist()
+        assert one_bucket == 100 or [v for _, v in mine] == want
+        hits += len(set(want) & {v for _, v in mine})
+    assert hits >= 0.9 * 20 * 15
+
+
 def test_hashed_neighbours(spark, monkeypatch):
     """With many vectors the index hashes; neighbours in groups are found, ties go to the smaller id."""
     monkeypatch.setattr(multiprobe, "ONE_BUCKET", 500)
