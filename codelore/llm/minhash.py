@@ -94,10 +94,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                     sigs.append(least.astype(np.uint8).tobytes())
                     keys.append(_band_keys(least))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "sig", "bands"]
+                [batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "n_shingles", "fp", "sig", "bands"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n_shingles long, fp binary, sig binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -160,29 +160,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of docs(doc_id, text).
 
     Rows without a doc_id take no part: they have no component and are kept.  Texts without words stand alone.
-    Repeated rows of one doc_id share its component.  An empty table gives an empty one.
+    Rows of one doc_id with different texts are documents of their own, with one name.  An empty table gives an empty one.
     """
+    return labelled(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``fp`` and ``h``, the fingerprint of the shingles and the hash of the text."""
     rows = cut(sketches(docs))
     linked = rows.where(F.col("doc_id").isNotNull() & F.col("fp").isNotNull())
-    vertex = cut(linked.groupBy("fp").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x"), F.count("*").alias("n")).select("fp", "n", "x.*"))
-    bands = vertex.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key"))
+    # A vertex has an id of its own, since rows of one doc_id may differ, and the text of its first row.
+    vertex = linked.groupBy("fp").agg(F.min(F.struct("doc_id", "h", "sig", "bands")).alias("x"), F.count("*").alias("n"))
+    vertex = cut(vertex.select("fp", "n", F.xxhash64("fp").alias("id"), F.col("x.doc_id").alias("first"), "x.h", "x.sig", "x.bands"))
+    bands = vertex.select(F.col("id").alias("doc_id"), F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
     full = cut(bands.join(hubs, "key"))
     pairs = full.where(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     ids = full.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(vertex.join(ids, "doc_id", "left_semi").select("doc_id", "sig"), "doc_id").dropDuplicates(["doc_id"])
-    texts = cut(texts)
+    own = vertex.select("id", F.col("first").alias("doc_id"), "h", "sig").join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(own, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    texts = cut(texts.select(F.col("id").alias("doc_id"), "text", "sig"))
     links = cut(verified(pairs, texts))
     joined = components(links)
 
     more = cut(_across(full, joined, texts))
     if not more.isEmpty():
         joined = components(links.union(more))
-    of = vertex.select("fp", "doc_id", "n").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    labels = of.select("fp", F.coalesce("component", "doc_id").alias("component_id")).where((F.col("n") > 1) | F.col("component").isNotNull())
-    out = salted_lookup(rows.select("doc_id", "n_shingles", "fp"), labels, "fp", F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    joined = joined.union(joined.select(F.col("component").alias("id"), "component").distinct())
+    of = vertex.select("fp", "id", "first", "n").join(joined, "id", "left").where((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("c", F.coalesce("component", "id"))
+    # A component's name is its smallest doc_id; of several vertices with that doc_id one stays.
+    names = of.groupBy("c").agg(F.min(F.struct("first", "fp")).alias("name"))
+    labels = salted_lookup(of, names, "c", F.col("id")).select("fp", F.col("name.first").alias("component_id"), (F.col("fp") == F.col("name.fp")).alias("stays"))
+    out = salted_lookup(rows.select("doc_id", "h", "n_shingles", "fp"), labels, "fp", F.col("doc_id"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    kept = (F.col("doc_id") == F.col("component_id")) & F.coalesce("stays", F.lit(True))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(kept, F.lit(True)).alias("kept"), "fp", "h")
 
 
 def _across(full: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:

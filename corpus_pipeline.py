@@ -27,10 +27,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    kept = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group stays; rows of one doc_id are one only if their sets of shingles are equal."""
+    kept = minhash.labelled(docs.select("doc_id", "text")).where(F.col("kept") & F.col("doc_id").isNotNull())
+    kept = kept.groupBy("doc_id", "fp").agg(F.min("h").alias("_h")).select("doc_id", "_h")
+    rows = docs.where(F.col("doc_id").isNotNull()).withColumn("_h", F.xxhash64("text")).join(kept, ["doc_id", "_h"], "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = rows.groupBy("doc_id", "_h").agg(F.min(F.struct(*rest, "text")).alias("_r")).select("doc_id", "_r.*")
+    return first.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,6 +132,22 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    """Each text is a document of its own: only what is near another goes, and the same rows on every run."""
+    import corpus_pipeline
+
+    draw = np.random.default_rng(5)
+    one, two, three, four = (" ".join(draw.choice([f"w{i}" for i in range(400)], 120)) for _ in range(4))
+    texts = [(1, one, "s"), (3, two, "s"), (3, one + " edit", "s"), (5, three, "b"), (5, three, "a"), (5, three.upper(), "c"), (5, four, "s"), (5, four + " edit", "s"), (7, four, "s"), (None, two, "s")]
+    for order in (texts, texts[::-1]):
+        rows = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        got = minhash.near_duplicates(rows).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(1, 1), (3, 1), (3, 3), (5, 5), (5, 5), (5, 5), (5, 5), (5, 5), (7, 5)]
+        kept = {(r["doc_id"], r["text"].lower().removesuffix(" edit"), r["source"]) for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()}
+        assert {k for k in kept if k[0] != 5} == {(1, one, "s"), (3, two, "s"), (None, two, "s")}
+        assert {k[1] for k in kept if k[0] == 5} == {three, four} and len(kept) == 5
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["id"]: r["component"] for r in minhash.components(links).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
