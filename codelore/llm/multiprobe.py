@@ -195,14 +195,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     vec_id is no candidate.  Ties go to the smaller vec_id.  Null vectors, zero ones, and those with null or non-finite
     numbers take no part.  An empty table, or one with a single vector, gives no rows.
     """
-    rows = cut(usable(vectors).withColumn("h", F.xxhash64("v")))
-    order = Window.partitionBy("h", "v").orderBy("vec_id")
-    points = cut(rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1))
+    # Two 64-bit hashes name a vector from here on.
+    rows = cut(usable(vectors).withColumn("same", F.struct(F.xxhash64("v").alias("one"), F.xxhash64(F.lit(1), "v").alias("two"))))
+    order = Window.partitionBy("same").orderBy("vec_id")
+    points = cut(rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("vec_id", "v", "r"))
     index, n = fit(points.where("r = 1").select("vec_id", "v"), k, every)
     data = points.select("vec_id", "v")
     # Equal queries ask once, by their smallest id, for one more than k, as each of them is to be left out of its own.
     asking = rows.where(F.col("vec_id") % every == 0)
-    queries = cut(asking.groupBy("h", "v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v", "h"))
+    queries = cut(asking.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.min("v").alias("v")))
     found = cut(_nearest(data, queries.select("vec_id", "v"), index, k + 1))
     # A query in so thin a region that its buckets hold fewer than there are is compared with all.
     enough = found.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= min(k + 1, data.count()))
@@ -210,9 +211,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     if not short.isEmpty():
         found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_nearest(data, short, None, k + 1))
     lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
-    lists = queries.join(lists, F.col("vec_id") == F.col("query_id")).select("h", "v", "near")
-    many = asking.select("vec_id", F.struct("h", "v").alias("same"))
-    each = salted_lookup(many, lists.select(F.struct("h", "v").alias("same"), "near"), "same", F.col("vec_id")).where(F.col("near").isNotNull())
+    lists = queries.join(lists, F.col("vec_id") == F.col("query_id")).select("same", "near")
+    each = salted_lookup(asking.select("vec_id", "same"), lists, "same", F.col("vec_id")).where(F.col("near").isNotNull())
     each = each.select(F.col("vec_id").alias("query_id"), F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("near"))
     each = each.select("query_id", F.posexplode("near").alias("at", "x"))
     return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
