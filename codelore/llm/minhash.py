@@ -1,11 +1,11 @@
 """Near duplicates: universal hash minima, banding, verified links, and components by large-star and small-star.
 
-Texts with the same set of shingles are one vertex.  A vertex has 130 minima of hashes (a x + b) mod 2**32 over its
-shingles, in 26 bands of 5: two sets that share 0.85 of their union miss each other in all bands once in four
-million.  In each bucket every member is compared with the smallest one; vertices so linked join components.
+Texts with the same set of shingles are one vertex.  A vertex has 130 minima of hashes over its shingles, the upper
+halves of a x + b mod 2**64, in 26 bands of 5: two sets that share 0.85 of their union miss each other in all bands once
+in four million.  In each bucket every member is compared with the smallest one; vertices so linked join components.
 Buckets that still hold several components are compared across components in blocks of members, so that no link
-between components is lost and no group is expanded into all pairs.  Every candidate whose signature is near enough is
-confirmed on the full sets.
+between components is lost and no group is expanded into all pairs.  Signatures are compared first; texts are sent only
+for pairs that are near by them, and every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from .common import Rolling, Texts, cut, mixed, salted_lookup, string_chunks
 SHINGLE, BANDS, ROWS = 5, 26, 5
 #: Links share so many hundredths of their union.
 PERCENT = 85
-#: Share of equal minima from which a pair is confirmed on full sets: 4.8 standard deviations below 0.85.
-LEAST_ALIKE = 0.70
-BLOCK = 96
+#: Share of equal minima from which a pair is confirmed on full sets; at 0.85 a pair has fewer once in 130 million.
+LEAST_ALIKE = 0.65
+#: Members of a bucket in a block that is compared as a whole, and pairs of a hub that meet its text in one task.
+BLOCK, SPLIT = 96, 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -33,8 +34,7 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 @lru_cache(maxsize=1)
 def _hashes() -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(17)
-    n = BANDS * ROWS
-    return (draw.integers(0, 1 << 32, n, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None], draw.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)[:, None]
+    return tuple(draw.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
 
 
 def shingle_sets(chunk: Texts) -> list[np.ndarray]:
@@ -58,13 +58,13 @@ def shingle_sets(chunk: Texts) -> list[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minima of all hash functions, in blocks of shingles that bound the memory."""
+    """The minima of all hash functions over the shingles' upper halves, in blocks that bound the memory."""
     a, b = _hashes()
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(x), 4096):
-        np.minimum(least, (x[None, k : k + 4096] * a + b).min(axis=1), out=least)
-    return least
+    x = shingles >> np.uint64(32)
+    least = np.full(len(a), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(0, len(x), 2048):
+        np.minimum(least, (x[None, k : k + 2048] * a + b).min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def _band_keys(least: np.ndarray) -> np.ndarray:
@@ -101,22 +101,35 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links among pairs(a, b): those whose full sets share enough.  ``docs`` has a row an id of (doc_id, text, sig)."""
-    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.col("sig").alias("sig_a"))
-    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.col("sig").alias("sig_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b", "text_a", "text_b")
+    """The links among pairs(a, b, n): those whose full sets share enough.
+
+    ``docs`` has a row an id of (doc_id, text, sig); ``n`` is how many partners ``a`` has at most in a bucket of the pair, so that
+    one with many partners is dealt over tasks.
+    """
+    parts = F.ceil(F.col("n") / SPLIT).cast("int")
+    spread = pairs.groupBy("a").agg(F.max(parts).alias("parts"))
+    sides = docs.join(spread, docs["doc_id"] == spread["a"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sides = sides.select("a", "part", F.col("sig").alias("sig_a"), F.col("text").alias("text_a"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    signed = dealt.join(docs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sides.drop("text_a"), ["a", "part"])
+
+    def near(batches):
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+            alike = pa.array((one == two).mean(axis=1) >= LEAST_ALIKE) if batch.num_rows else pa.array([], pa.bool_())
+            yield batch.select(["a", "b", "part"]).filter(alike)
+
+    close = signed.select("a", "b", "part", "sig_a", "sig_b").mapInArrow(near, "a long, b long, part int")
+    both = close.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(sides.drop("sig_a"), ["a", "part"])
 
     def run(batches):
         last, kept = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            alike = [np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= LEAST_ALIKE for x, y in zip(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist())]
-            at = np.flatnonzero(alike)
             found_a, found_b = [], []
-            for k in range(0, len(at), 256):
-                part = pa.array(at[k : k + 256])
-                sets = [s for _, chunk in string_chunks(batch.column("text_b").take(part)) for s in shingle_sets(chunk)]
-                for i, own in zip(at[k : k + 256].tolist(), sets):
+            for k in range(0, len(a), 256):
+                sets = [s for _, chunk in string_chunks(batch.column("text_b").slice(k, 256)) for s in shingle_sets(chunk)]
+                for i, own in enumerate(sets, k):
                     if a[i] != last:
                         kept = next(shingle_sets(chunk)[0] for _, chunk in string_chunks(batch.column("text_a").slice(i, 1)))
                         last = a[i]
@@ -125,33 +138,33 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                         found_b.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``id, component`` of every vertex of links(a, b), the component named by its smallest vertex.
+    """``id, component`` of every vertex of links(a, b) but the smallest of its component, which names it.
 
     Large-star links the larger neighbours of each vertex to its smallest, small-star the smaller ones and itself,
-    in turn until the links no longer change.
+    in turn until every vertex has a single edge, to one that has none above it.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         ways = edges.union(edges.select("v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = ways.join(least, "u")
+        # A vertex may have a third of all edges.
+        joined = salted_lookup(ways, least, "u", F.col("v"), 8)
         if large:
             out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         return out.where(F.col("u") != F.col("v")).distinct()
 
+    def settled(edges: DataFrame) -> bool:
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
+
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
-    mark = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == mark or now[0] == 0:
-            break
-        mark = now
+    while not settled(edges):
         edges = cut(star(star(edges, True), False))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
@@ -173,9 +186,9 @@ def labelled(docs: DataFrame) -> DataFrame:
     vertex = linked.groupBy("fp").agg(F.min(F.struct("doc_id", "h", "sig", "bands")).alias("x"), F.count("*").alias("n"))
     vertex = cut(vertex.select("fp", "n", F.xxhash64("fp").alias("id"), F.col("x.doc_id").alias("first"), "x.h", "x.sig", "x.bands"))
     bands = vertex.select(F.col("id").alias("doc_id"), F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    full = cut(bands.join(hubs, "key"))
-    pairs = full.where(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
+    full = cut(salted_lookup(bands, hubs, "key", F.col("doc_id"), 8).where(F.col("hub").isNotNull()))
+    pairs = cut(full.where(F.col("doc_id") != F.col("hub")).groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n")))
     ids = full.select("doc_id").distinct()
     own = vertex.select("id", F.col("first").alias("doc_id"), "h", "sig").join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(own, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
@@ -202,31 +215,41 @@ def _across(full: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
 
     Buckets of several components are gathered by their largest one.  Its members, and those of all others that meet
     it, are dealt over blocks by hash; each pair of blocks is compared as a whole in one task, the largest component
-    not with itself.  One link a member and component is enough for what follows, so that the nearest
+    not with itself.  The signatures are compared first, and texts are sent to a pair of blocks only for members that
+    are near another component's there.  One link a member and component is enough for what follows, so that the nearest
     pairs by signature are tried first and the rest only while none is a link.
     """
     members = full.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     sizes = members.groupBy("key", "c").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1).drop("parts")
-    dealt = cut(members.join(open_, "key").select("main", "doc_id", "c").distinct())
+    dealt = cut(salted_lookup(members, open_, "key", F.col("doc_id"), 8).where(F.col("main").isNotNull()).select("main", "doc_id", "c").distinct())
     is_main = F.col("c") == F.col("main")
     # n_main blocks of the largest component, then n_rest blocks of the others.
     plan = dealt.groupBy("main").agg(F.ceil(F.count(F.when(is_main, 1)) / BLOCK).cast("int").alias("n_main"), F.ceil(F.count(F.when(~is_main, 1)) / BLOCK).cast("int").alias("n_rest"))
-    dealt = dealt.join(plan, "main")
+    dealt = salted_lookup(dealt, plan, "main", F.col("doc_id"))
     block = F.when(is_main, F.pmod(F.xxhash64("doc_id"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("n_rest")) + F.col("n_main")).cast("int")
     others = F.sequence(F.col("n_main"), F.col("n_main") + F.col("n_rest") - 1)
     everything = F.sequence(F.lit(0), F.col("n_main") + F.col("n_rest") - 1)
-    dealt = dealt.withColumn("block", block).withColumn("with", F.explode(F.when(is_main, others).otherwise(everything)))
-    rows = dealt.select("main", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "doc_id", "c", (F.col("block") == F.least("block", "with")).alias("first"))
-    rows = rows.join(texts, "doc_id")
+    signed = dealt.withColumn("block", block).join(texts.select("doc_id", "sig"), "doc_id").withColumn("with", F.explode(F.when(is_main, others).otherwise(everything)))
+    rows = signed.select("main", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "doc_id", "c", (F.col("block") == F.least("block", "with")).alias("first"), "sig")
 
-    def compare(part: pa.Table) -> pa.Table:
-        ids, c = part.column("doc_id").to_numpy(), part.column("c").to_numpy()
+    def sides(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         first = np.array(part.column("first").to_pylist(), bool)
-        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
         one, two = np.flatnonzero(first), np.flatnonzero(~first)
-        if not len(two):
-            two = one
+        return np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(first), -1), part.column("c").to_numpy(), one, two if len(two) else one
+
+    def near(part: pa.Table) -> pa.Table:
+        sig, c, one, two = sides(part)
+        close = np.zeros(part.num_rows, bool)
+        for i in two:
+            hits = one[((sig[one] == sig[i]).mean(axis=1) >= LEAST_ALIKE) & (c[one] != c[i])]
+            close[hits] = True
+            close[i] |= len(hits) > 0
+        return part.filter(pa.array(close))
+
+    def compare(part: pa.Table) -> pa.Table:
+        sig, c, one, two = sides(part)
+        ids = part.column("doc_id").to_numpy()
         sets: list[np.ndarray] = []
         found_a, found_b = [], []
         # The smaller side asks, so that a member of the others looks for one link to each component.
@@ -245,7 +268,9 @@ def _across(full: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
                     found_b.append(max(int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    return rows.groupBy("main", "low", "high").applyInArrow(compare, "a long, b long")
+    pair = ("main", "low", "high")
+    close = rows.groupBy(*pair).applyInArrow(near, rows.schema)
+    return close.join(texts.select("doc_id", "text"), "doc_id").groupBy(*pair).applyInArrow(compare, "a long, b long")
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:

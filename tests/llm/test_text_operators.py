@@ -151,6 +151,34 @@ def test_rows_of_one_doc_id_with_different_texts(spark):
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["id"]: r["component"] for r in minhash.components(links).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
+    assert minhash.components(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("members", [60, 600])
+def test_a_common_bucket_of_unlinked_members(spark, monkeypatch, members):
+    """Texts that share 0.6 of their union meet in common buckets without links; the links among them are found all the same."""
+    if members < 100:  # many blocks and parts
+        monkeypatch.setattr(minhash, "BLOCK", 8)
+        monkeypatch.setattr(minhash, "SPLIT", 4)
+    draw = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(90)]
+    texts = [" ".join(base + [f"x{i}y{k}" for k in range(30)]) for i in range(members)]
+    texts += [" ".join([*draw.choice([f"c{i}" for i in range(300)], 100), "end"]) for _ in range(5)]
+    for i in range(0, 40, 2):  # an edited copy, and one edited from that
+        texts += [texts[i] + " more", texts[i] + " more of the same words again and again here now then still on"]
+    ids = draw.permutation(len(texts)).tolist()
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    want = plain_components(ids, plain_sets(texts))
+    assert got == want and len(set(want.values())) == members + 5
+
+
+def test_hash_functions_are_alike():
+    """Shares of equal minima estimate the likeness of sets of neighbouring numbers too."""
+    x = np.arange(1, 401, dtype=np.uint64) << np.uint64(32)
+    for shared in (100, 300, 380):
+        a, b = x[: 200 + shared // 2], x[200 - shared // 2 :]
+        alike = (minhash.signature(a) == minhash.signature(b)).mean()
+        assert abs(alike - shared / 400) < 0.15
 
 
 def test_held_out(spark):
