@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, Texts, held_out, string_chunks
+from .common import Rolling, Texts, held_out, mixed, string_chunks
 
 GRAMS = (3, 4, 5)
 BITS = 17
 #: Most labelled rows of each class that a model is fitted on.
 SAMPLE = (1000, 1000)
+#: Distinct features of a sampled row that take part in the fit, those of the least hashes; scoring takes all.
+LEARNT = 8192
 #: Bytes of text that are turned into features at once; an n-gram takes some 150 bytes meanwhile.
 CHUNK = 1 << 18
 
@@ -71,9 +73,10 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> tuple[DataFrame, dict[int, int]]:
-    """At most so many labelled ids of class 0 and 1, in the order of a hash, joined to their texts; and the class counts.
+    """At most so many labelled ids of class 0 and 1, in the order of a hash, with a text each; and the class counts.
 
     Held-out rows never take part.  The sampled ids are at most ``sum(most)`` rows, so that their broadcast is bounded.
+    Of several rows of one doc_id the text with the smallest hash counts; null counts as empty.
     """
     open_ = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     counts = {int(r["label"]): r["count"] for r in open_.groupBy("label").count().collect()}
@@ -81,7 +84,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[
     for value in (0, 1):
         part = open_.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[value])
         ids = part if ids is None else ids.union(part)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), counts
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int] = SAMPLE, dim: int = 10, epochs: int = 5, rate: float = 0.3, layer_rate: float = 0.1, seed: int = 11) -> Model:
@@ -95,6 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int] =
                 buckets, texts = features(chunk)
                 for i in range(len(chunk)):
                     ids, n = np.unique(buckets[texts == i], return_counts=True)
+                    if len(ids) > LEARNT:
+                        least = np.sort(np.argsort(mixed(ids.astype(np.uint64)), kind="stable")[:LEARNT])
+                        ids, n = ids[least], n[least]
                     out.append((ids.astype("<i4").tobytes(), (n / max(n.sum(), 1)).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["doc_id", "label", "ids", "share"])
 
