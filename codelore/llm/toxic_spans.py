@@ -4,13 +4,12 @@ The states of a word are clean and toxic.  Its features are the hash of the lowe
 punctuation and of its first 3 to 6 bytes; the neighbours count through the chain.  The weights of features and of steps between states
 are learnt by gradient ascent from labelled words.  Labels come with documents, so that words are labelled first: in a
 toxic document those with a feature that is far commoner in toxic than in clean documents, by more than
-chance gives among so many features; all others are clean.  Forward and backward passes give each word's marginal; the largest is the document's score, and runs of
+chance gives among so many features (a step-up test over all of them); all others are clean.  Forward and backward passes give each word's marginal; the largest is the document's score, and runs of
 words of at least one half are the offending spans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,14 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, Texts, string_chunks
+from .common import Rolling, Texts, cut, mixed, string_chunks
 from .subwords import labelled_sample
 
 #: Words are many; with fewer buckets clean ones would share those of toxic ones.
 BITS = 22
 PREFIXES = (3, 4, 5, 6)
-#: Most labelled rows of the clean and of the toxic class that a model is fitted on, and words in a training segment.
-SAMPLE, SEGMENT = (3000, 1500), 60
+#: Most labelled rows of the clean and of the toxic class that a model is fitted on, words in a training segment, and
+#: segments that a document gives at most, evenly spaced.
+SAMPLE, SEGMENT, SEGMENTS = (3000, 1500), 60, 24
+#: How much commoner in toxic documents a feature that labels is, and the share of chance finds among such features.
+RATIO, RATE = 12, 0.01
 CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -116,94 +118,124 @@ class Field:
         return starts, ends, of, marginals(logits, np.bincount(of, minlength=len(chunk)), self.step)
 
 
-def _segments(rows: list, most: int = SEGMENT) -> Iterator[tuple[np.ndarray, int]]:
-    """Runs of ``most`` words of the sampled documents with the document's label."""
-    for r in rows:
-        own = np.frombuffer(r["own"], "<i4").reshape(1 + len(PREFIXES), -1)
-        for k in range(0, own.shape[1], most):
-            yield own[:, k : k + most], r["label"]
+def copy_keys(own: np.ndarray) -> list[int]:
+    """8 keys of a document's words; documents that share most runs of five words most likely agree in one of them.
 
-
-def without_copies(rows: list) -> list:
-    """One of each label's sampled documents that share most runs of five words: a copy is no new evidence.
-
-    Documents are copies if they agree in one of 8 pairs of minima over their runs' hashes.
+    A key joins a pair of minima over the runs' hashes.
     """
     draw = np.random.default_rng(29)
     a, b = (draw.integers(1, 1 << 62, (16, 1), dtype=np.uint64) | np.uint64(1) for _ in range(2))
     odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+    words = own[0].astype(np.uint64)
+    n = max(1, len(words) - 4)
+    runs = sum((words[k : k + n] * odd[k] for k in range(min(5, len(words)))), np.zeros(1, np.uint64))
+    least = np.full(16, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(0, len(runs), 4096):
+        np.minimum(least, (runs[None, k : k + 4096] * a + b >> np.uint64(20)).min(axis=1), out=least)
+    return mixed(least[0::2] * odd[0] + least[1::2] + np.arange(8, dtype=np.uint64)).astype(np.int64).tolist()
+
+
+def without_copies(heads: list) -> list[int]:
+    """The doc_ids of one of each label's sampled documents that share a key: a copy is no new evidence."""
     seen: set[tuple] = set()
     kept = []
-    for r in rows:
-        words = np.frombuffer(r["own"], "<i4").reshape(1 + len(PREFIXES), -1)[0].astype(np.uint64)
-        n = max(1, len(words) - 4)
-        runs = sum((words[k : k + n] * odd[k] for k in range(min(5, len(words)))), np.zeros(1, np.uint64))
-        least = (runs[None, :] * a + b >> np.uint64(20)).min(axis=1)
-        keys = {(r["label"], k, int(least[2 * k]), int(least[2 * k + 1])) for k in range(8)}
+    for r in sorted(heads, key=lambda r: r["doc_id"]):
+        keys = {(r["label"], k) for k in r["keys"]}
         if not keys & seen:
-            kept.append(r)
+            kept.append(r["doc_id"])
         seen |= keys
     return kept
 
 
-def label_words(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Which buckets label words of toxic documents as toxic, and which are common enough to have a weight.
+def speaking(toxic: np.ndarray, both: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Which features label words of toxic documents as toxic, by the n toxic and m clean documents that have them.
 
-    A bucket labels if its share of toxic documents is 12 times the share of clean ones, and if the bound
-    exp(-N KL(share, chance)) on so many toxic ones among its N documents stays under 0.05 over all buckets.
+    The share of toxic documents is 12 times that of clean ones, and the bound exp(-N KL(share, chance)) on so many
+    toxic ones among its N documents passes the step-up test at a false discovery rate of one in a hundred over all features.
     """
-    n = sum(r["label"] for r in rows)
-    m = len(rows) - n
-    found, common = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
-    if n and m:
-        once = {k: np.concatenate([np.unique(np.frombuffer(r["own"], "<i4")) for r in rows if r["label"] == k]) for k in (0, 1)}
-        seen, both = np.unique(np.concatenate([once[0], once[1]]), return_counts=True)
-        hit, count = np.unique(once[1], return_counts=True)
-        toxic = np.zeros(len(seen))
-        toxic[np.searchsorted(seen, hit)] = count
-        share, chance = toxic / both, n / len(rows)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            far = np.nan_to_num(share * np.log(share / chance)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - chance)))
-        least = np.log(len(seen) / 0.05)
-        likely = share > chance
-        likely &= ((toxic + 0.5) / (n + 1)) / ((both - toxic + 0.5) / (m + 1)) >= 12 if n > 100 else share >= 0.8
-        speaks = (both * far >= least) & likely
-        if not speaks.any():  # a few dozen labels can't give that much; half of it then has to do
-            speaks = (both * far >= least / 2) & likely
-        found[seen[speaks]] = True
-        common[seen[both >= min(4, 1 + 0.01 * len(rows))]] = True
-        found[0] = common[0] = False
-    return found, common
+    share, chance = toxic / both, n / (n + m)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.nan_to_num(share * np.log(share / chance)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - chance)))
+    likely = ((toxic + 0.5) / (n + 1)) / ((both - toxic + 0.5) / (m + 1)) >= RATIO
+    weight = np.where(share > chance, both * far, 0.0)
+    steps = np.sort(weight)[::-1] >= np.log(len(weight) / (RATE * np.arange(1, len(weight) + 1)))
+    least = np.sort(weight)[::-1][np.flatnonzero(steps)[-1]] if steps.any() else np.inf
+    return (weight >= least) & likely
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[int, int] = SAMPLE, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> Field:
-    """Fit on at most ``most`` labelled rows, by class.  Without a toxic one, every word gets odds near nought."""
+    """Fit on at most ``most`` labelled rows, by class.  Without words that speak, every word gets odds near nought.
+
+    What reaches the driver is bounded: the sampled ids with 8 keys each, the common features, of 2**BITS at most, and
+    at most SEGMENTS segments a sampled document.
+    """
     sample, _ = labelled_sample(docs, labels, label, most)
 
     def run(batches):
         for batch in batches:
             out: list[bytes] = []
+            keys: list[list[int]] = []
             for _, chunk in string_chunks(batch.column("text"), CHUNK >> 1):
                 _, _, of, own = word_features(chunk)
                 at = np.searchsorted(of, np.arange(len(chunk) + 1))
                 out += [own[:, a:b].astype("<i4").tobytes() for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "own"])
-
-    rows = sample.mapInArrow(run, "doc_id long, label int, own binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["own"]))
-    rows = without_copies(rows)
+                keys += [copy_keys(own[:, a:b]) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(keys, pa.list_(pa.int64())), pa.array(out, pa.binary())], names=["doc_id", "label", "keys", "own"])
+
+    rows = cut(sample.mapInArrow(run, "doc_id long, label int, keys array<long>, own binary"))
+    heads = rows.select("doc_id", "label", "keys").collect()
+    alone = set(without_copies(heads))
+    n = sum(r["label"] for r in heads if r["doc_id"] in alone)
+    m = len(alone) - n
     weights = np.zeros((1 << BITS) + 1, np.float32)
     weights[-1] = -9.0
     step = np.array([[0.98, 0.02], [0.6, 0.4]])
-    speaks, common = label_words(rows)
+    if not n or not m:
+        return Field(weights, step)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(alone)], "doc_id long")
+    rows = rows.join(F.broadcast(ids), "doc_id")
+
+    def once(batches):
+        for batch in batches:
+            found = [np.unique(np.frombuffer(x, "<i4")) for x in batch.column("own").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "buckets"])
+
+    counts = rows.select("label", "own").mapInArrow(once, "label int, buckets array<int>").select("label", F.explode("buckets").alias("bucket"))
+    counts = counts.groupBy("bucket").agg(F.sum("label").alias("toxic"), F.count("*").alias("both")).toArrow()
+    bucket, toxic, both = (counts.column(c).to_numpy() for c in ("bucket", "toxic", "both"))
+    speaks, common = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
+    if len(bucket):
+        speaks[bucket[speaking(toxic, both, n, m)]] = True
+        common[bucket[both >= min(4, 1 + 0.01 * (n + m))]] = True
+    speaks[0] = common[0] = False
     if not speaks.any():
         return Field(weights, step)
-    kept = []
-    for own, toxic in _segments(rows):
-        tags = speaks[own].any(axis=0) & bool(toxic)
-        # In toxic documents the words between labelled ones may be toxic too: only segments with a label teach.
-        if tags.any() or not toxic:
-            kept.append((np.where(common[own], own, 0), tags.astype(np.float64)))
+    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(np.stack([speaks, common])))
+
+    def cut_up(batches):
+        speaks, common = np.unpackbits(marks.value).reshape(2, -1).astype(bool)
+        for batch in batches:
+            found: list[tuple] = []
+            for i, is_toxic, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "own"))):
+                own = np.frombuffer(raw, "<i4").reshape(1 + len(PREFIXES), -1)
+                tags = speaks[own].any(axis=0) & bool(is_toxic)
+                # In toxic documents the words between labelled ones may be toxic too: only segments with a label teach.
+                at = [k for k in range(0, own.shape[1], SEGMENT) if not is_toxic or tags[k : k + SEGMENT].any()]
+                for k in at[:: -(-len(at) // SEGMENTS)] if at else ():
+                    part = own[:, k : k + SEGMENT]
+                    found.append((i, k, np.where(common[part], part, 0).astype("<i4").tobytes(), tags[k : k + SEGMENT].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "at", "own", "tags"])
+
+    segments = rows.select("doc_id", "label", "own").mapInArrow(cut_up, "doc_id long, at int, own binary, tags binary").collect()
+    segments.sort(key=lambda r: (r["doc_id"], r["at"]))
+    kept = [(np.frombuffer(r["own"], "<i4").reshape(1 + len(PREFIXES), -1), np.frombuffer(r["tags"], bool).astype(np.float64)) for r in segments]
+    return trained(kept, common, epochs, rate, seed)
+
+
+def trained(kept: list[tuple[np.ndarray, np.ndarray]], common: np.ndarray, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> Field:
+    """Gradient ascent on segments (buckets, tags); only ``common`` features have a weight."""
+    weights = np.zeros((1 << BITS) + 1, np.float32)
+    step = np.array([[0.98, 0.02], [0.6, 0.4]])
     # What a word without known features gets stays: learnt, it would rise while the known clean words fall.
     weights[-1] = -6.0
     draw = np.random.default_rng(seed)
