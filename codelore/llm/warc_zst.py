@@ -15,10 +15,11 @@ from hashlib import blake2b, sha256
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_lookup
+from .common import cut, salted_lookup
 
 # Fixed values of the formats.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -34,7 +35,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """Add payload, payload_bytes, payload_digest, record_type and refers_to to pages(page_id, url, html).
 
     Of rows with equal payloads of at least 100 bytes, those with the smallest page_id are responses and the
-    others refer to it.  Rows without a page_id are responses.
+    others refer to it.  Rows without a page_id are responses.  Repeated rows are records of their own; an
+    empty table stays empty.
     """
     rows = pages.withColumn("payload", F.coalesce(F.col("html"), F.lit("")).cast("binary")).drop("html")
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
@@ -86,7 +88,10 @@ def pack_archive(records: list[bytes]) -> bytes:
 
 
 def write_archives(records: DataFrame) -> DataFrame:
-    """Archives, rows of (archive, content), of records(page_id, url, payload, payload_digest, refers_to)."""
+    """Archives, rows of (archive, content), of records(page_id, url, payload, payload_digest, refers_to).
+
+    A record may be longer than an archive is to be; it is then the last of its own.  An empty table gives no archives.
+    """
 
     def run(batches):
         kept: list[bytes] = []
@@ -98,8 +103,8 @@ def write_archives(records: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["archive", "content"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "refers_to"))):
-                kept.append(record(*row))
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "payload_digest", "refers_to"))):
+                kept.append(record(*(x.as_py() for x in row)))
                 size += len(kept[-1])
                 if size >= ARCHIVE_BYTES:
                     yield packed()
@@ -110,6 +115,31 @@ def write_archives(records: DataFrame) -> DataFrame:
     return records.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "archive string, content binary")
 
 
+def save_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Write each archive to a file of its name; ``archive, bytes`` of every file.
+
+    ``folder`` is a path or address that pyarrow.fs opens and that all executors and the driver share.  A file
+    appears by a rename, and its name is a digest of its content, so that a task that runs again leaves the same files.
+    ``spark.read.format("binaryFile")`` reads them for ``read_archives(files, "path")``.
+    """
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, content in zip(batch.column("archive"), batch.column("content")):
+                raw, path = content.as_py(), f"{base}/{name.as_py()}"
+                part = f"{base}/.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(raw)
+                store.move(part, path)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([batch.column("archive"), pa.array(sizes, pa.int64())], names=["archive", "bytes"])
+
+    return cut(archives.select("archive", "content").mapInArrow(run, "archive string, bytes long"))
+
+
 def frames(content: bytes) -> Iterator[tuple[bytes, str]]:
     """Each frame's bytes and what is wrong with it, empty if nothing; a broken frame ends the archive."""
     data = memoryview(content)
@@ -122,9 +152,12 @@ def frames(content: bytes) -> Iterator[tuple[bytes, str]]:
             yield b"", "dictionary cut short"
             return
         if raw[:4] == struct.pack("<I", FRAME):
+            unpacked = zstandard.ZstdDecompressor().decompressobj()
             try:
-                raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 24)
+                raw = unpacked.decompress(raw)
             except zstandard.ZstdError:
+                raw = None
+            if raw is None or not unpacked.eof:
                 yield b"", "broken dictionary"
                 return
         dictionary = zstandard.ZstdCompressionDict(raw) if raw else None
@@ -188,7 +221,10 @@ def read_record(raw: bytes) -> dict:
 
 
 def read_archives(archives: DataFrame, name: str = "archive", payloads: bool = True) -> DataFrame:
-    """Records of archives: archive, page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, error."""
+    """Records of archives: archive, page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, error.
+
+    A task holds one archive at a time.  What is broken gives a row that says so; a null or empty content gives none.
+    """
 
     def run(batches):
         for batch in batches:
