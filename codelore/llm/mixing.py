@@ -18,8 +18,9 @@ from .common import WORD, cut
 
 #: Most copies of a document, and how many times its size a source's target may be.
 MOST = 3
-#: Rounds of Newton steps at most, and the relative error that ends them; rounding to copies takes care of the rest.
-ROUNDS, CLOSE = 40, 1e-3
+#: Rounds of Newton steps at most, far more than halving takes, and the relative error that ends them; rounding to
+#: copies takes care of the rest.
+ROUNDS, CLOSE = 80, 1e-3
 SALTS, BINS, FILLS = 32, 2048, 3
 
 
@@ -48,7 +49,8 @@ def multipliers(histogram: DataFrame, goal: DataFrame, rounds: int = ROUNDS) ->
     """Add ``unit`` and ``multiplier`` to goal(source, source_size, target, least, docs), from histogram(source, size, n).
 
     The sizes enter in units of their source's mean, so that multipliers are of the order of one.
-    A source without words, and one whose target is all it can give, needs no multiplier: null.
+    A source without words, and one whose target is all it can give, needs no multiplier: null.  It is an error
+    if the words of a source are not near its target after so many rounds.
     """
     unit, ratio = F.col("source_size") / F.col("docs"), F.col("target") / F.col("source_size")
     solvable = (F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < MOST * F.col("source_size") * (1 - 1e-12))
@@ -63,6 +65,8 @@ def multipliers(histogram: DataFrame, goal: DataFrame, rounds: int = ROUNDS) ->
         state = cut(_step(histogram, state))
         if state.where(F.col("off") > CLOSE).isEmpty():
             break
+    else:
+        raise RuntimeError(f"no multipliers after {rounds} rounds for {state.where(F.col('off') > CLOSE).count()} sources")
     return state.select("source", "source_size", "target", "unit", "multiplier")
 
 
