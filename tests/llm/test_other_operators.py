@@ -125,6 +125,34 @@ def test_archives(spark):
     assert warc_zst.write_archives(warc_zst.with_revisits(pages.limit(0))).count() == 0
 
 
+def test_archive_files(spark, tmp_path):
+    """Archives as files, read again by Spark; columns of clashing names don't matter, nor does writing twice."""
+    rows = [(i, f"http://a/{i}", f"<p>page {i % 40} " + "word " * (i % 40 + 30)) for i in range(120)] + [(200, "http://a/200", "é" * 100_000)]
+    pages = spark.createDataFrame(rows, PAGES).withColumns({c: F.lit("x") for c in ("payload", "archive", "content", "error", "_digest", "record_type")}).repartition(3)
+    archives = warc_zst.write_archives(warc_zst.with_revisits(pages))
+    for _ in range(2):
+        sizes = {r["archive"]: r["bytes"] for r in warc_zst.save_archives(archives, str(tmp_path / "warc")).collect()}
+    names = sorted(p.name for p in (tmp_path / "warc").iterdir() if not p.name.startswith("."))
+    assert names == sorted(sizes) and all((tmp_path / "warc" / n).stat().st_size == sizes[n] for n in names)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "warc"))
+    got = warc_zst.read_archives(files, "path").collect()
+    assert sorted((r["page_id"], r["payload_digest"], r["error"]) for r in got) == sorted((i, hashlib.sha256(h.encode()).hexdigest(), None) for i, _, h in rows)
+    assert sum(r["record_type"] == "revisit" for r in got) == 80
+    assert {bytes(r["payload"]) for r in got if r["record_type"] == "response"} == {h.encode() for _, _, h in rows}
+
+
+def test_a_large_dictionary_is_read():
+    import struct
+
+    import zstandard
+
+    raw = b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(600_000))  # 19 MB, as they are
+    held = zstandard.ZstdCompressor().compress(raw)
+    frame = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw)).compress(b"record")
+    assert list(warc_zst.frames(struct.pack("<II", warc_zst.SKIPPABLE, len(held)) + held + frame)) == [(b"record", "")]
+    assert [e for _, e in warc_zst.frames(struct.pack("<II", warc_zst.SKIPPABLE, 100) + held[:100])] == ["broken dictionary"]
+
+
 def test_bad_records_are_told():
     good = warc_zst.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     assert warc_zst.read_record(good)["error"] == ""
@@ -180,6 +208,13 @@ def test_rates_are_exponential(spark):
         assert abs(words / target - 1) < 2e-3
 
 
+def test_no_convergence_is_an_error(spark):
+    histogram = spark.createDataFrame([("a", s, 10) for s in (1, 5, 40)], "source string, size long, n long")
+    goal = spark.createDataFrame([("a", 460, 900.0, 1, 30)], "source string, source_size long, target double, least long, docs long")
+    with pytest.raises(RuntimeError, match="no multipliers after 1 rounds for 1 sources"):
+        mixing.multipliers(histogram, goal, 1)
+
+
 def nearest(ids, x, q, k=20):
     """Brute force over distinct ids: the k best of query q, ties to the smaller id."""
     s = x @ x[ids == q][0]
