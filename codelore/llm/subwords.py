@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, Texts, held_out, mixed, string_chunks
+from .common import Rolling, Texts, give_back, held_out, mixed, string_chunks
 
 GRAMS = (3, 4, 5)
 BITS = 17
@@ -133,6 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int] =
             bias -= now * layer_rate * 0.1 * p
             # A mean spreads its gradient over many vectors; scaled so that each text moves its own mean alike.
             vectors[ids] -= (now * rate / max(float(part @ part), 1e-6)) * np.outer(part, back)
+    del rows, x
+    give_back()
     # The sample is balanced by weights: the classes' own shares shift the constant.
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0] + prior))
 

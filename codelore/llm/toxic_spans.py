@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, Texts, cut, mixed, string_chunks
+from .common import Rolling, Texts, cut, give_back, mixed, string_chunks
 from .subwords import labelled_sample
 
 #: Words are many; with fewer buckets clean ones would share those of toxic ones.
@@ -147,9 +147,10 @@ def without_copies(heads: list) -> list[int]:
     return kept
 
 
-def speaking(toxic: np.ndarray, both: np.ndarray, n: int, m: int) -> np.ndarray:
+def speaking(toxic: np.ndarray, both: np.ndarray, n: int, m: int, features: int) -> np.ndarray:
     """Which features label words of toxic documents as toxic, by the n toxic and m clean documents that have them.
 
+    ``features`` is the number of all, of which rare ones may be left out.
     The share of toxic documents is 12 times that of clean ones, and the bound exp(-N KL(share, chance)) on so many
     toxic ones among its N documents passes the step-up test at a false discovery rate of one in a hundred over all features.
     """
@@ -158,8 +159,9 @@ def speaking(toxic: np.ndarray, both: np.ndarray, n: int, m: int) -> np.ndarray:
         far = np.nan_to_num(share * np.log(share / chance)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - chance)))
     likely = ((toxic + 0.5) / (n + 1)) / ((both - toxic + 0.5) / (m + 1)) >= RATIO
     weight = np.where(share > chance, both * far, 0.0)
-    steps = np.sort(weight)[::-1] >= np.log(len(weight) / (RATE * np.arange(1, len(weight) + 1)))
-    least = np.sort(weight)[::-1][np.flatnonzero(steps)[-1]] if steps.any() else np.inf
+    ranked = np.sort(weight)[::-1]
+    steps = np.flatnonzero(ranked >= np.log(features / (RATE * np.arange(1, len(weight) + 1))))
+    least = ranked[steps[-1]] if len(steps) else np.inf
     return (weight >= least) & likely
 
 
@@ -201,13 +203,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "buckets"])
 
     counts = rows.select("label", "own").mapInArrow(once, "label int, buckets array<int>").select("label", F.explode("buckets").alias("bucket"))
-    counts = counts.groupBy("bucket").agg(F.sum("label").alias("toxic"), F.count("*").alias("both")).toArrow()
-    bucket, toxic, both = (counts.column(c).to_numpy() for c in ("bucket", "toxic", "both"))
+    counts = cut(counts.groupBy("bucket").agg(F.sum("label").alias("toxic"), F.count("*").alias("both")))
+    # A feature of one document says nothing, however many there are.
+    least = min(4, 1 + 0.01 * (n + m))
+    known = counts.where((F.col("both") >= least) | (F.col("toxic") > 1)).toArrow()
+    bucket, toxic, both = (known.column(c).to_numpy() for c in ("bucket", "toxic", "both"))
     speaks, common = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
     if len(bucket):
-        speaks[bucket[speaking(toxic, both, n, m)]] = True
-        common[bucket[both >= min(4, 1 + 0.01 * (n + m))]] = True
+        speaks[bucket[speaking(toxic, both, n, m, counts.count())]] = True
+        common[bucket[both >= least]] = True
     speaks[0] = common[0] = False
+    del known, bucket, toxic, both
+    give_back()
     if not speaks.any():
         return Field(weights, step)
     marks = docs.sparkSession.sparkContext.broadcast(np.packbits(np.stack([speaks, common])))
@@ -229,7 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
     segments = rows.select("doc_id", "label", "own").mapInArrow(cut_up, "doc_id long, at int, own binary, tags binary").collect()
     segments.sort(key=lambda r: (r["doc_id"], r["at"]))
     kept = [(np.frombuffer(r["own"], "<i4").reshape(1 + len(PREFIXES), -1), np.frombuffer(r["tags"], bool).astype(np.float64)) for r in segments]
-    return trained(kept, common, epochs, rate, seed)
+    field = trained(kept, common, epochs, rate, seed)
+    del segments, kept
+    give_back()
+    return field
 
 
 def trained(kept: list[tuple[np.ndarray, np.ndarray]], common: np.ndarray, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> Field:
