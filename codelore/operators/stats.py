@@ -30,11 +30,12 @@ def _log_factorial(n: Column) -> Column:
     return series - F.log(product)
 
 
-def mutual_information(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """MI in nats, normalised by the mean entropy, and adjusted for chance.
+def mutual_information(rows: DataFrame, x: str, y: str, adjusted: bool = True) -> DataFrame:
+    """MI in nats, normalised by the mean entropy, and adjusted for chance unless ``adjusted`` is false.
 
     The expectation sums over pairs of distinct marginals, each taken as often as it occurs; of the counts that a pair can
-    have only those within 12 deviations of their mean, beyond which the terms vanish in double precision.
+    have only those within 12 deviations of their mean, beyond which the terms vanish in double precision.  Its cost grows with
+    the product of the numbers of distinct marginals; without it, one join a side is all.
     """
     table = rows.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
     a = table.groupBy("x").agg(F.sum("n").alias("a"))
@@ -43,6 +44,9 @@ def mutual_information(rows: DataFrame, x: str, y: str) -> DataFrame:
     entropy = lambda side, c: side.crossJoin(F.broadcast(total)).agg((-F.sum(F.col(c) / F.col("total") * F.log(F.col(c) / F.col("total")))).alias(f"h_{c}"))
     joint = table.join(a, "x").join(b, "y").crossJoin(F.broadcast(total))
     mi = joint.agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("a") * F.col("b")))).alias("mi"))
+    if not adjusted:
+        one = mi.crossJoin(F.broadcast(entropy(a, "a"))).crossJoin(F.broadcast(entropy(b, "b")))
+        return one.select(F.round("mi", 6).alias("mi"), F.round(2 * F.col("mi") / (F.col("h_a") + F.col("h_b")), 6).alias("nmi"))
     sides = a.groupBy("a").agg(F.count("*").alias("na")).join(b.groupBy("b").agg(F.count("*").alias("nb"))).crossJoin(F.broadcast(total))
     mean = F.col("a") * F.col("b") / F.col("total")
     spread = F.sqrt(mean * (1 - F.col("a") / F.col("total")) * (1 - F.col("b") / F.col("total"))) * 12 + 12

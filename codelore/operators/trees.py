@@ -51,15 +51,26 @@ def parent_child_edges(nodes: DataFrame, both_ways: bool = False) -> DataFrame:
     return edges.unionByName(edges.select("tree", F.col("dst").alias("src"), F.col("src").alias("dst"))) if both_ways else edges
 
 
-def subtree_size(nodes: DataFrame, depth: int) -> DataFrame:
-    """``tree, node_id, size``: every node counts for itself and for its ancestors, a join a level up."""
-    up = nodes.select("tree", F.col("node_id").alias("_child"), F.col("parent").alias("_up"))
-    level = nodes.select("tree", "node_id")
-    counted = level
-    for _ in range(depth - 1):
-        level = level.join(up, (level["tree"] == up["tree"]) & (level["node_id"] == up["_child"])).where("_up is not null").select(level["tree"], F.col("_up").alias("node_id"))
+def subtree_size(nodes: DataFrame) -> DataFrame:
+    """``tree, node_id, size``: every node counts for itself and for its ancestors.
+
+    A join a level up, of nodes that count together already, as long as any node has one above it; parents that
+    go in a circle are an error.
+    """
+    from codelore.operators.lineage import cut
+
+    up = cut(nodes.select("tree", F.col("node_id").alias("_child"), F.col("parent").alias("_up")))
+    level = up.groupBy("tree", F.col("_child").alias("node_id")).agg(F.count("*").alias("size"))
+    most, counted = up.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, level
+    for _ in range(most):
+        above = level.withColumnRenamed("node_id", "_child").join(up, ["tree", "_child"]).where("_up is not null")
+        level = cut(above.groupBy("tree", F.col("_up").alias("node_id")).agg(F.sum("size").alias("size")))
+        if level.isEmpty():
+            return counted.groupBy("tree", "node_id").agg(F.sum("size").alias("size"))
         counted = counted.unionByName(level)
-    return counted.groupBy("tree", "node_id").agg(F.count("*").alias("size"))
+    if most:
+        raise ValueError("parents go in a circle")
+    return counted
 
 
 def terminal_nodes(nodes: DataFrame) -> DataFrame:

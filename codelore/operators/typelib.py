@@ -86,11 +86,14 @@ def next_replacements(stack: DataFrame, index: DataFrame, typelib_sizes: DataFra
     return parts.join(found, ["accessible", "starts"], "left").select("id", "cut", F.coalesce("names", F.array().cast("array<string>")).alias("names"), "rest_accessible", "rest_starts")
 
 
-def valid_layout(stack: DataFrame, wanted: DataFrame, index: DataFrame, lib: DataFrame, longest: int) -> DataFrame:
+def valid_layout(stack: DataFrame, wanted: DataFrame, index: DataFrame, lib: DataFrame) -> DataFrame:
     """Whether the types of wanted(id, names) can be taken in turn from each layout; bytes left over are allowed.
 
-    One join a place of the list, which is short.
+    One join a place of the longest list.
     """
+    from codelore.operators.lineage import cut
+
+    longest = wanted.agg(F.max(F.size("names"))).first()[0] or 0
     state = stack.join(wanted, "id").withColumn("at", F.lit(0))
     done = state.where(F.size("names") == 0).select("id")
     for k in range(longest):
@@ -98,6 +101,7 @@ def valid_layout(stack: DataFrame, wanted: DataFrame, index: DataFrame, lib: Dat
         step = next_replacements(open_.select("id", "accessible", "starts"), index, lib.select("size").distinct())
         hit = step.withColumnRenamed("names", "found").join(open_.select("id", "names"), "id").where(F.array_contains("found", F.get("names", F.lit(k))))
         state = hit.groupBy("id").agg(F.min_by(F.struct("rest_accessible", "rest_starts", "names"), "cut").alias("x")).select("id", F.col("x.rest_accessible").alias("accessible"), F.col("x.rest_starts").alias("starts"), F.col("x.names").alias("names"))
+        state = cut(state) if k + 1 < longest else state
         done = done.union(state.where(F.size("names") == k + 1).select("id"))
     return wanted.select("id").join(done.distinct().withColumn("valid", F.lit(True)), "id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 

@@ -81,24 +81,50 @@ def layout_vector(code: Column, size: Column, starts: Column) -> Column:
     return F.concat(F.array(code), encode_memory(values))
 
 
+#: Pairs that a round looks at, and merges that it makes, at most.
+BATCH, ROUND = 64, 8
+
+
 def learn_bpe(words: DataFrame, merges: int) -> DataFrame:
     """``rank, left, right`` of the merges learnt from words(word, freq): the commonest pair, then by text.
 
-    Each round counts the adjacent pairs in parallel and rewrites the words; the lineage is cut every few rounds.
+    Each round counts the adjacent pairs in parallel, takes as many merges as are sure, and rewrites the words.
     """
     spark = words.sparkSession
     state = cut(words.select(F.filter(F.split("word", ""), lambda c: c != "").alias("p"), "freq"))
-    found: list[tuple[int, str, str]] = []
-    for k in range(merges):
-        best = pair_counts(state).orderBy(F.desc("n"), "left", "right").first()
-        if best is None:
+    found: list[tuple[str, str]] = []
+    while len(found) < merges:
+        ranked = pair_counts(state).orderBy(F.desc("n"), "left", "right").limit(BATCH).collect()
+        sure = _sure(ranked, {a + b for a, b in found})[: merges - len(found)]
+        if not sure:
             break
-        left, right = best["left"], best["right"]
-        found.append((k, left, right))
-        state = state.withColumn("p", _merged(F.col("p"), F.lit(left), F.lit(right)))
-        if k % 4 == 3:
-            state = cut(state)
-    return spark.createDataFrame(found, "rank long, left string, right string")
+        found += sure
+        parts = F.col("p")
+        for left, right in sure:
+            parts = _merged(parts, F.lit(left), F.lit(right))
+        state = cut(state.withColumn("p", parts))
+    return spark.createDataFrame([(k, *pair) for k, pair in enumerate(found)], "rank long, left string, right string")
+
+
+def _sure(ranked: list, made: set[str]) -> list[tuple[str, str]]:
+    """The next merges, of pairs in their order, as merging one after the other would choose them.
+
+    Pairs without a part in common leave each other's counts alone.  A pair that a merge brings about is no commoner than
+    one before it that shares a part with the merge, unless it brings about a part ``made`` before: while pairs
+    are commoner than the first of these, the order holds.
+    """
+    taken: list = []
+    parts: set[str] = set()
+    for r in ranked:
+        if taken and ({r["left"], r["right"]} & parts or r["left"] + r["right"] in made or len(taken) == ROUND):
+            break
+        if r["left"] + r["right"] in made:
+            return [(r["left"], r["right"])]
+        made = made | {r["left"] + r["right"]}
+        taken.append(r)
+        parts |= {r["left"], r["right"]}
+    after = ranked[len(taken)]["n"] if len(taken) < len(ranked) else ranked[-1]["n"] if len(ranked) == BATCH else 0
+    return [(r["left"], r["right"]) for i, r in enumerate(taken) if i == 0 or r["n"] > after]
 
 
 def pair_counts(state: DataFrame) -> DataFrame:
@@ -119,7 +145,10 @@ def _merged(parts: Column, left: Column, right: Column) -> Column:
 
 
 def apply_bpe(rows: DataFrame, column: str, merges: list[tuple[str, str]], into: str = "pieces") -> DataFrame:
-    """The pieces of each word under a list of merges, of bounded length, in order."""
+    """The pieces of each word under a list of merges, of bounded length, in order; a null word has none.
+
+    Each distinct word is merged once.
+    """
     from pyspark.sql import types as T
 
     order = {pair: i for i, pair in enumerate(merges)}
@@ -145,7 +174,9 @@ def apply_bpe(rows: DataFrame, column: str, merges: list[tuple[str, str]], into:
 
         return words.map(one)
 
-    return rows.withColumn(into, pieces(F.col(column)))
+    words = rows.select(F.col(column).alias("_word")).where("_word is not null").distinct()
+    joined = rows.join(words.withColumn("_pieces", pieces("_word")), F.col(column) == F.col("_word"), "left")
+    return joined.withColumn(into, F.coalesce("_pieces", F.array().cast("array<string>"))).drop("_word", "_pieces")
 
 
 def truncate_wrap(pieces: Column, most: int = 510) -> Column:

@@ -89,7 +89,7 @@ def part_typelib(spark, d):
     SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS size, coalesce(lib.type_str, '') AS pred_type FROM lineitem LEFT JOIN lib ON lib.size = CAST(l_quantity AS BIGINT) AND rn = 1""")
 def j2(spark, d):
     test = views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("size"))
-    return baselines.most_common_for_size(part_typelib(spark, d), test)
+    return baselines.most_common_for_size(part_typelib(spark, d), test).select("l_orderkey", "l_linenumber", "l_partkey", "size", "pred_type")
 
 
 @query("j3_most_common_for_source", sql("SELECT bin, func, pos, coalesce(j3.tgt_type, test.src_type) AS pred_type FROM test LEFT JOIN j3 USING (src_type)", "test", "j3"))

@@ -60,7 +60,7 @@ def g5(spark, d):
     return out.select("batch", "key", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.size(F.filter("mask", lambda m: m)).cast("long").alias("unmasked"))
 
 
-@query("g6_prediction_targets", sql("""SELECT func, pos, changed, CASE WHEN changed THEN 1.0 ELSE 0.1 END AS weight, i - 1 AS piece_pos, p[i] AS piece FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (
+@query("g6_prediction_targets", sql("""SELECT func, pos, changed, CAST(CASE WHEN changed THEN 1.0 ELSE 0.1 END AS DOUBLE) AS weight, i - 1 AS piece_pos, p[i] AS piece FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (
     SELECT func, pos, old_name <> new_name AS changed, CASE WHEN old_name = new_name THEN ['<IDENTITY>', '</s>'] ELSE list_append(string_split(new_name, '_'), '</s>') END AS p FROM v2))""", "v2"))
 def g6(spark, d):
     return X.prediction_targets(views.variables(spark, d), 0.1).withColumn("piece_pos", F.col("piece_pos").cast("long"))

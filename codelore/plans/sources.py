@@ -26,8 +26,9 @@ def folder(spark, name):
 @query("a1_scan_functions", "SELECT source AS bin, doc_id, sha256(text) AS digest FROM documents")
 def a1(spark, d):
     path = folder(spark, "functions")
-    rows = views.table(spark, d, "documents").select("source", F.to_json(F.struct("doc_id", "text")).alias("value"))
-    rows.repartition("source").write.partitionBy("source").option("compression", "gzip").text(path)
+    rows = views.table(spark, d, "documents").select("source", "doc_id", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    # By ranges, so that a source with many rows is written and read by several tasks.
+    rows.repartitionByRange("source", "doc_id").drop("doc_id").write.partitionBy("source").option("compression", "gzip").text(path)
     lines = S.scan_functions(spark, path)
     x = F.from_json("json", "doc_id long, text string")
     return lines.select(F.regexp_extract("file", "source=([^/]+)/", 1).alias("bin"), x.alias("x")).select("bin", "x.doc_id", F.sha2("x.text", 256).alias("digest"))
@@ -67,12 +68,16 @@ def a5(spark, d):
     return views.table(spark, d, "customer").select("c_custkey", S.binary_key(file).alias("prefix"), S.binary_key(F.concat("c_name", F.repeat(F.lit("x"), 80)), "hash").alias("hash"), S.binary_key(F.concat("c_name", F.lit(".gz")), "name").alias("bare"))
 
 
+#: Members of an archive.
+MEMBERS = 64
+
+
 def shards(spark, d):
-    lines = views.table(spark, d, "documents").select((F.col("doc_id") % 97).alias("shard"), F.concat("doc_id", F.lit(".jsonl")).alias("member"), F.concat(F.to_json(F.struct("doc_id", "n_chars")), F.lit("\n\n"), F.to_json(F.struct("lang"))).alias("text"))
+    lines = views.table(spark, d, "documents").select(F.floor(F.col("doc_id") / MEMBERS).alias("shard"), F.concat("doc_id", F.lit(".jsonl")).alias("member"), F.concat(F.to_json(F.struct("doc_id", "n_chars", "text")), F.lit("\n\n"), F.to_json(F.struct("lang"))).alias("text"))
     return S.pack_shards(lines)
 
 
-SHARD_LINES = "SELECT CAST(doc_id AS VARCHAR) AS member, 0 AS line_no, concat('{\"doc_id\":', doc_id, ',\"n_chars\":', n_chars, '}') AS json FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, concat('{\"lang\":\"', lang, '\"}') FROM documents"
+SHARD_LINES = "SELECT CAST(doc_id AS VARCHAR) AS member, 0 AS line_no, concat('{\"doc_id\":', doc_id, ',\"n_chars\":', n_chars, ',\"text\":', to_json(text), '}') AS json FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, concat('{\"lang\":\"', lang, '\"}') FROM documents"
 
 
 @query("a6_scan_shards", SHARD_LINES)
@@ -145,7 +150,7 @@ def a15(spark, d):
     p, path = views.table(spark, d, "part"), folder(spark, "vocab")
     count = lambda name, c: p.groupBy(F.lit(name).alias("vocab"), F.col(c).alias("word")).agg(F.count("*").alias("freq"))
     S.save_vocab(count("types", "p_type").unionByName(count("brands", "p_brand")), path)
-    return S.load_vocab(spark, path)
+    return S.load_vocab(spark, path).select("vocab", "word", "freq")
 
 
 @query("a16_list_elf64", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
@@ -188,10 +193,10 @@ def a22(spark, d):
     return S.export_names(v, v.select(F.col("func_name").alias("identifier")).distinct())
 
 
-@query("a23_json_archive_to_lines", "SELECT concat(doc_id, '.json') AS member, concat('{\"id\":', doc_id, ',\"lang\":\"', lang, '\"}') AS json FROM documents")
+@query("a23_json_archive_to_lines", "SELECT concat(doc_id, '.json') AS member, concat('{\"id\":', doc_id, ',\"lang\":\"', lang, '\",\"text\":', to_json(text), '}') AS json FROM documents")
 def a23(spark, d):
-    text = F.concat(F.lit('{ "id": '), "doc_id", F.lit(',\n  "lang": "'), "lang", F.lit('"\n}'))
-    return S.json_archive_to_lines(S.pack_shards(views.table(spark, d, "documents").select((F.col("doc_id") % 97).alias("shard"), F.concat("doc_id", F.lit(".json")).alias("member"), text.alias("text"))))
+    text = F.concat(F.lit('{ "id": '), "doc_id", F.lit(',\n  "lang": "'), "lang", F.lit('",\n  "text": '), F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1), F.lit("\n}"))
+    return S.json_archive_to_lines(S.pack_shards(views.table(spark, d, "documents").select(F.floor(F.col("doc_id") / MEMBERS).alias("shard"), F.concat("doc_id", F.lit(".json")).alias("member"), text.alias("text"))))
 
 
 @query("a24_subsample_binaries", "SELECT bin FROM (SELECT bin, row_number() OVER (ORDER BY sha256(concat('9:', bin)), bin) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT source AS bin FROM documents)) WHERE rn <= floor(n * 0.3)")

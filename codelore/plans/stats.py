@@ -20,7 +20,7 @@ from codelore.plans.views import sql
 def l1(spark, d):
     tokens = views.functions(spark, d).select(F.size(T.tokenize_code(F.col("body"))).alias("n"))
     variables = views.variables(spark, d).groupBy("func").agg(F.count("*").alias("n"))
-    return S.length_stats(tokens, "n").withColumn("what", F.lit("tokens")).unionByName(S.length_stats(variables, "n").withColumn("what", F.lit("variables")))
+    return S.length_stats(tokens, "n").withColumn("what", F.lit("tokens")).unionByName(S.length_stats(variables, "n").withColumn("what", F.lit("variables"))).select("what", "n", "mean", "median")
 
 
 @query("l2_unique_functions", f"SELECT count(DISTINCT concat(name, chr(1), array_to_string(t, ' '))) AS unique_functions FROM ({tokens_sql(DOCS)}) JOIN (SELECT doc_id AS id, CASE WHEN n_chars % 5 = 0 THEN concat('u', doc_id) ELSE lang END AS name FROM documents) USING (id)")

@@ -12,7 +12,7 @@ from codelore.plans.vocab import vocab_sql
 from codelore.plans.views import sql
 
 EDGES = "SELECT tree, parent AS src, node_id AS dst FROM v5 WHERE parent IS NOT NULL"
-LEAVES = "SELECT tree, node_id FROM v5 WHERE (tree, node_id) NOT IN (SELECT (tree, parent) FROM v5 WHERE parent IS NOT NULL)"
+LEAVES = "SELECT tree, node_id FROM v5 ANTI JOIN (SELECT tree, parent AS node_id FROM v5 WHERE parent IS NOT NULL) USING (tree, node_id)"
 MENTIONS = "SELECT user_id AS tree, event_type AS variable, ts, event_id AS node_id FROM events"
 
 
@@ -40,7 +40,7 @@ def h2(spark, d):
 @query("h3_subtree_size", sql("""SELECT tree, node_id, count(*) AS size FROM (SELECT tree, node_id FROM v5 UNION ALL SELECT tree, parent FROM v5 WHERE parent IS NOT NULL
     UNION ALL SELECT a.tree, b.parent FROM v5 a JOIN v5 b ON a.tree = b.tree AND a.parent = b.node_id WHERE b.parent IS NOT NULL) GROUP BY ALL""", "v5"))
 def h3(spark, d):
-    return H.subtree_size(views.trees(spark, d), 3)
+    return H.subtree_size(views.trees(spark, d))
 
 
 @query("h4_terminal_nodes", sql(LEAVES, "v5"))
@@ -99,7 +99,7 @@ def h11(spark, d):
     return H.canonicalize_constants(views.table(spark, d, "part").select("p_partkey", opcode.alias("opcode"), F.col("p_name").alias("payload")))
 
 
-@query("h12_annotate_arguments", sql("SELECT tree, node_id, name IS NOT NULL AND EXISTS (SELECT 1 FROM v5 a WHERE a.tree = v5.tree AND a.name = v5.name AND a.argument) AS argument FROM v5", "v5"))
+@query("h12_annotate_arguments", sql("SELECT tree, node_id, coalesce(named, false) AS argument FROM v5 LEFT JOIN (SELECT DISTINCT tree, name, true AS named FROM v5 WHERE argument) a USING (tree, name)", "v5"))
 def h12(spark, d):
     nodes = views.trees(spark, d).withColumnRenamed("name", "variable")
     return H.annotate_arguments(nodes.drop("argument"), nodes.where("argument")).select("tree", "node_id", "argument")
@@ -139,7 +139,7 @@ def h17(spark, d):
     return H.node_features(nodes, kinds, words)
 
 
-@query("h18_restore_by_tree", sql(f"SELECT tree, string_agg(CAST(packed_id AS VARCHAR), ',' ORDER BY packed_id) AS nodes, coalesce(string_agg(CASE WHEN leaf THEN CAST(packed_id AS VARCHAR) END, ',' ORDER BY packed_id), '') AS terminals FROM (SELECT p.*, (tree, node_id) IN ({LEAVES.replace('tree, node_id FROM v5 WHERE', '(tree, node_id) FROM v5 WHERE', 1)}) AS leaf FROM ({PACKED}) p WHERE kind = 0) GROUP BY tree", "v5"))
+@query("h18_restore_by_tree", sql(f"SELECT tree, string_agg(CAST(packed_id AS VARCHAR), ',' ORDER BY packed_id) AS nodes, coalesce(string_agg(CASE WHEN leaf THEN CAST(packed_id AS VARCHAR) END, ',' ORDER BY packed_id), '') AS terminals FROM (SELECT p.*, (tree, node_id) IN ({LEAVES.replace('tree, node_id FROM v5 ANTI', '(tree, node_id) FROM v5 ANTI', 1)}) AS leaf FROM ({PACKED}) p WHERE kind = 0) GROUP BY tree", "v5"))
 def h18(spark, d):
     nodes, all_ = packed(spark, d)
     out = H.restore_by_tree(all_.where("kind = 0"), H.terminal_nodes(nodes))

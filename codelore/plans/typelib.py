@@ -125,7 +125,7 @@ def d15(spark, d):
 @query("d16_type_frequency", f"SELECT p_partkey, p.size, p.type_str, freq FROM (SELECT p_partkey, p_size AS size, CASE WHEN p_partkey % 3 = 0 THEN 'nowhere' ELSE p_type END AS type_str FROM part) p LEFT JOIN ({LIB}) l USING (size, type_str)")
 def d16(spark, d):
     asked = views.table(spark, d, "part").select("p_partkey", F.col("p_size").alias("size"), F.when(F.col("p_partkey") % 3 == 0, "nowhere").otherwise(F.col("p_type")).alias("type_str"))
-    return L.type_frequency(asked, library(spark, d))
+    return L.type_frequency(asked, library(spark, d)).select("p_partkey", "size", "type_str", "freq")
 
 
 @query("d17_fix_bits", sql("""SELECT size, count(*) AS freq, min(concat('struct s { ', body, '; }')) AS type_str FROM shown
@@ -175,7 +175,7 @@ def d20(spark, d):
     index = L.layout_index(types).withColumn("names", F.transform("names", lambda n: n.cast("string")))
     stack = stack_rows(spark, d).select(F.col("func").alias("id"), "accessible", "starts")
     wanted = stack.select("id").crossJoin(F.broadcast(one)).select("id", F.array(F.col("name").cast("string")).alias("names"))
-    return L.valid_layout(stack, wanted, index, rows.select("size"), 1)
+    return L.valid_layout(stack, wanted, index, rows.select("size"))
 
 
 @query("d21_stack_layout", sql("SELECT func, array_to_string(accessible, ',') AS accessible, array_to_string(starts, ',') AS starts, meets FROM stack", "stack"))
@@ -192,11 +192,12 @@ def d22(spark, d):
     return out.select("id", joined("accessible").alias("accessible"), joined("starts").alias("starts"))
 
 
-@query("d23_type_closure", "WITH RECURSIVE c AS (SELECT n_nationkey AS name FROM nation WHERE n_nationkey IN (3, 10) UNION SELECT (name * 7) % 25 FROM c WHERE name % 11 <> 5) SELECT name FROM c")
+@query("d23_type_closure", """WITH RECURSIVE m AS (SELECT count(*) AS m FROM part), c AS (SELECT p_partkey AS name FROM part WHERE p_size = 4
+    UNION SELECT p_partkey * 7 % m + 1 FROM c JOIN part ON p_partkey = name, m WHERE p_size % 2 = 0) SELECT name FROM c""")
 def d23(spark, d):
-    n = views.table(spark, d, "nation")
-    refs = n.select(F.col("n_nationkey").alias("name"), F.when(F.col("n_nationkey") % 11 != 5, (F.col("n_nationkey") * 7) % 25).alias("target"))
-    return L.type_closure(n.where(F.col("n_nationkey").isin(3, 10)).select(F.col("n_nationkey").alias("name")), refs)
+    p = views.table(spark, d, "part")
+    refs = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") * 7 % F.lit(p.count()) + 1).alias("target"))
+    return L.type_closure(p.where("p_size = 4").select(F.col("p_partkey").alias("name")), refs)
 
 
 def members(spark, d):

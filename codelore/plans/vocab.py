@@ -53,7 +53,7 @@ def f5(spark, d):
 def f6(spark, d):
     v = views.variables(spark, d).select("func", "pos", "new_name")
     words = V.vocab_from_counts(V.count_names(v), 12, 1)
-    return V.decode(V.encode(v, "new_name", words), "id", words)
+    return V.decode(V.encode(v, "new_name", words), "id", words).select("func", "pos", "new_name", "id", "word")
 
 
 @query("f7_lookup_decompiler_type", sql(f"""SELECT func, pos, tgt_type, coalesce(v.id, w.id, 3) AS id FROM v2 LEFT JOIN ({vocab_sql("SELECT src_type AS word, count(*) AS freq FROM v2 GROUP BY 1", 50, 1)}) v ON v.word = tgt_type
@@ -92,14 +92,17 @@ def f11(spark, d):
     return V.pair_counts(word_counts(spark, d).select(F.filter(F.split("word", ""), lambda c: c != "").alias("p"), "freq"))
 
 
+MERGES = 100
+
+
 @query("f11_learn_bpe")
 def f11_loop(spark, d):
-    return V.learn_bpe(word_counts(spark, d), 12)
+    return V.learn_bpe(word_counts(spark, d), MERGES)
 
 
 @query("f12_apply_bpe")
 def f12(spark, d):
-    merges = [(r["left"], r["right"]) for r in V.learn_bpe(word_counts(spark, d), 6).orderBy("rank").collect()]
+    merges = [(r["left"], r["right"]) for r in V.learn_bpe(word_counts(spark, d), MERGES).orderBy("rank").collect()]
     return V.apply_bpe(word_counts(spark, d), "word", merges).select("word", F.array_join("pieces", "|").alias("pieces"))
 
 
@@ -121,7 +124,7 @@ def f14(spark, d):
 def f15(spark, d):
     nodes = views.table(spark, d, "events").select(F.col("event_type").alias("node_type"))
     types = views.table(spark, d, "part").groupBy(F.col("p_type").alias("word")).agg(F.count("*").alias("freq"))
-    return V.build_grammar(nodes, types, 30)
+    return V.build_grammar(nodes, types, 30).select("kind", "word", "id")
 
 
 SUBTYPES = "SELECT CASE WHEN padding THEN concat('PADDING (', size, ')') ELSE concat(src_type, ' ', old_name) END AS word, count(*) AS freq FROM v2 GROUP BY 1"

@@ -5,9 +5,12 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +18,54 @@ from pyspark.sql import functions as F
 def scan_functions(spark: SparkSession, path: str, corrupt: bool = False) -> DataFrame:
     """``file, line_no, json`` of gzip JSON lines, a file a binary; blank lines are left out but count.
 
-    A gzip file is read by one task in order, so that a line's number is its distance from the file's first row; no
-    window over a file is needed.  With ``corrupt``, broken files give the lines before the break.
+    A gzip file is read by one task in order, which numbers its lines as they pass.  With ``corrupt``, broken files
+    give the lines before the break.
     """
     reader = spark.read.option("ignoreCorruptFiles", str(corrupt).lower()).option("recursiveFileLookup", "true")
-    lines = reader.text(path).select(F.regexp_replace(F.col("_metadata.file_path"), r"\.gz$", "").alias("file"), F.col("value").alias("json"), F.monotonically_increasing_id().alias("_id"))
-    first = lines.groupBy("file").agg(F.min("_id").alias("_first"))
-    return lines.join(first, "file").where(F.trim("json") != "").select("file", (F.col("_id") - F.col("_first")).alias("line_no"), "json")
+    lines = reader.text(path).select(F.regexp_replace(F.col("_metadata.file_path"), r"\.gz$", "").alias("file"), F.col("value").alias("json"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            files = batch.column("file").to_pylist()
+            numbers = np.empty(len(files), np.int64)
+            starts = [i for i in range(len(files)) if i == 0 or files[i] != files[i - 1]]
+            for i, j in zip(starts, [*starts[1:], len(files)]):
+                if files[i] != last:
+                    last, n = files[i], 0
+                numbers[i:j] = np.arange(n, n + j - i)
+                n += j - i
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(numbers), batch.column("json")], names=["file", "line_no", "json"])
+
+    return lines.mapInArrow(number, "file string, line_no long, json string").where(F.trim("json") != "")
 
 
 def skip_corrupt_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The lines that can be read, and the files that gave none."""
-    lines = scan_functions(spark, path, corrupt=True)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_replace("path", r"\.gz$", "").alias("file"))
-    return lines, listed.join(lines.select("file").distinct(), "file", "left_anti")
+    """The lines that can be read, those before a break too, and every file that doesn't decompress to its end."""
+
+    def broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = [not _whole_gzip(content.as_buffer()) for content in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("file").filter(pa.array(bad, pa.bool_()))], names=["file"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_replace("path", r"\.gz$", "").alias("file"), "content")
+    return scan_functions(spark, path, corrupt=True), files.mapInArrow(broken, "file string")
+
+
+def _whole_gzip(content: pa.Buffer) -> bool:
+    """Whether all members decompress, a part at a time; a file without content is whole."""
+    data, step = memoryview(content), zlib.decompressobj(31)
+    try:
+        for at in range(0, len(data), 1 << 20):
+            rest = data[at : at + (1 << 20)]
+            while len(rest):
+                if step.eof:
+                    step = zlib.decompressobj(31)
+                step.decompress(rest)
+                rest = step.unused_data
+    except zlib.error:
+        return False
+    return step.eof or not len(data)
 
 
 def select_inputs(files: DataFrame, listed: DataFrame, most: int) -> DataFrame:

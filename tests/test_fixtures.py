@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import gzip
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from codelore.functions import ctypes as C
 from codelore.functions import text as T
-from codelore.operators import examples, features, splits, trees, typelib, vocab
+from codelore.operators import examples, features, splits, stats, trees, typelib, vocab
 from codelore.sources import scans
 
 
@@ -96,6 +98,31 @@ def test_bpe_merges_what_it_learnt(spark):
     merges = [(r["left"], r["right"]) for r in vocab.learn_bpe(words, 3).orderBy("rank").collect()]
     assert merges[:2] == [("a", "a"), ("aa", "b")]
     assert vocab.apply_bpe(words, "word", merges[:2]).where("word = 'aabaab'").first()["pieces"] == ["aab", "aab"]
+    assert vocab.apply_bpe(spark.createDataFrame([(None,), ("ab",), ("ab",)], "word string"), "word", merges).orderBy("word").collect()[0]["pieces"] == []
+
+
+def test_merges_are_learnt_as_one_after_the_other(spark):
+    draw = random.Random(4)
+    counts = {"".join(draw.choices("abcdef", (8, 5, 3, 2, 1, 1), k=draw.randint(1, 9))): draw.randint(1, 50) for _ in range(150)}
+    state, want = {w: list(w) for w in counts}, []
+    for _ in range(60):
+        pairs = Counter()
+        for w, parts in state.items():
+            for pair in zip(parts, parts[1:]):
+                pairs[pair] += counts[w]
+        left, right = min(pairs, key=lambda p: (-pairs[p], p))
+        want.append((left, right))
+        for w, parts in state.items():
+            out, joined = [], False
+            for p in parts:
+                if out and out[-1] == left and p == right and not joined:
+                    out[-1], joined = left + right, True
+                else:
+                    out.append(p)
+                    joined = False
+            state[w] = out
+    rows = spark.createDataFrame(list(counts.items()), "word string, freq long")
+    assert [(r["left"], r["right"]) for r in vocab.learn_bpe(rows, 60).orderBy("rank").collect()] == want
 
 
 def test_trees(spark):
@@ -104,7 +131,7 @@ def test_trees(spark):
     assert {(r["src"], r["dst"]) for r in trees.parent_child_edges(nodes).collect()} == {(0, 1), (1, 2), (2, 3), (2, 4), (0, 5), (5, 6)}
     assert {r["node_id"] for r in trees.terminal_nodes(nodes).collect()} == {3, 4, 6}
     assert {(r["src"], r["dst"]) for r in trees.terminal_chain(nodes).collect()} == {(3, 4), (4, 6), (4, 3), (6, 4)}
-    assert {r["node_id"]: r["size"] for r in trees.subtree_size(nodes, 4).collect()}[0] == 7
+    assert {r["node_id"]: r["size"] for r in trees.subtree_size(nodes).collect()}[0] == 7
 
 
 def test_lined_up_variables(spark):
@@ -140,3 +167,35 @@ def test_broken_files(spark, tmp_path):
     lines, broken = scans.skip_corrupt_files(spark, str(tmp_path))
     assert [(r["line_no"], r["json"]) for r in lines.orderBy("line_no").collect()] == [(0, '{"a":1}'), (2, '{"a":2}')]
     assert [r["file"].rpartition("/")[2] for r in broken.collect()] == ["b2_x.jsonl"]
+    long = gzip.compress("".join(f'{{"a":{random.Random(i).random()}}}\n' for i in range(20_000)).encode())
+    (tmp_path / "b3_x.jsonl.gz").write_bytes(long[:-2000])
+    (tmp_path / "b4_x.jsonl.gz").write_bytes(whole + whole)
+    (tmp_path / "b5_x.jsonl.gz").write_bytes(b"")
+    lines, broken = scans.skip_corrupt_files(spark, str(tmp_path))
+    assert sorted(r["file"].rpartition("/")[2] for r in broken.collect()) == ["b2_x.jsonl", "b3_x.jsonl"]
+    counts = Counter(r["file"].rpartition("/")[2] for r in lines.collect())
+    assert counts["b4_x.jsonl"] == 4 and 1000 < counts["b3_x.jsonl"] < 20_000
+
+
+def test_deep_trees_and_circles(spark):
+    chain = [(1, i, i - 1 if i else None) for i in range(30)] + [(2, 0, None)]
+    got = {(r["tree"], r["node_id"]): r["size"] for r in trees.subtree_size(spark.createDataFrame(chain, "tree long, node_id long, parent long")).collect()}
+    assert got == {(1, i): 30 - i for i in range(30)} | {(2, 0): 1}
+    assert trees.subtree_size(spark.createDataFrame([], "tree long, node_id long, parent long")).count() == 0
+    with pytest.raises(ValueError, match="circle"):
+        trees.subtree_size(spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "tree long, node_id long, parent long"))
+
+
+def test_layouts_against_lists_of_any_length(spark):
+    index = spark.createDataFrame([(list(range(4)), [0], 4, ["int"]), (list(range(8)), [0], 8, ["long"])], "accessible array<long>, starts array<long>, size long, names array<string>")
+    cases = [(["int", "int", "long"], True), (["long", "int"], False), ([], True), (["int", "int"], True), (["int", "int", "long", "int"], False), (["int", "long"], False)]
+    stack = spark.createDataFrame([(i, list(range(16)), [0, 4, 8]) for i in range(len(cases))], "id long, accessible array<long>, starts array<long>")
+    wanted = spark.createDataFrame([(i, names) for i, (names, _) in enumerate(cases)], "id long, names array<string>")
+    got = {r["id"]: r["valid"] for r in typelib.valid_layout(stack, wanted, index, index.select("size")).collect()}
+    assert got == {i: valid for i, (_, valid) in enumerate(cases)}
+
+
+def test_information_without_chance(spark):
+    rows = spark.createDataFrame([(i % 3, i % 4 // 2) for i in range(60)], "x int, y int")
+    both, plain = stats.mutual_information(rows, "x", "y").first(), stats.mutual_information(rows, "x", "y", adjusted=False).first()
+    assert plain.asDict() == {k: both[k] for k in ("mi", "nmi")}
