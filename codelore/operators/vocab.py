@@ -81,8 +81,15 @@ def layout_vector(code: Column, size: Column, starts: Column) -> Column:
     return F.concat(F.array(code), encode_memory(values))
 
 
-#: Pairs that a round looks at, and merges that it makes, at most.
-BATCH, ROUND = 64, 8
+#: Pairs that a round looks at, merges that it makes, at most, and merges after which the lineage is cut.
+BATCH, ROUND, CUT = 64, 8, 24
+#: Around each part of a word: code points that stand for no character and are not for interchange.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+
+
+def parted(word: Column) -> Column:
+    """A word as its characters, each between the marks."""
+    return F.array_join(F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.concat(F.lit(OPEN), c, F.lit(CLOSE))), "")
 
 
 def learn_bpe(words: DataFrame, merges: int) -> DataFrame:
@@ -91,18 +98,21 @@ def learn_bpe(words: DataFrame, merges: int) -> DataFrame:
     Each round counts the adjacent pairs in parallel, takes as many merges as are sure, and rewrites the words.
     """
     spark = words.sparkSession
-    state = cut(words.select(F.filter(F.split("word", ""), lambda c: c != "").alias("p"), "freq"))
+    state, since = cut(words.select(parted(F.col("word")).alias("p"), "freq")), 0
     found: list[tuple[str, str]] = []
     while len(found) < merges:
         ranked = pair_counts(state).orderBy(F.desc("n"), "left", "right").limit(BATCH).collect()
         sure = _sure(ranked, {a + b for a, b in found})[: merges - len(found)]
         if not sure:
             break
-        found += sure
+        found, since = found + sure, since + len(sure)
         parts = F.col("p")
         for left, right in sure:
-            parts = _merged(parts, F.lit(left), F.lit(right))
-        state = cut(state.withColumn("p", parts))
+            # Each part has marks of its own, so that the replacement goes on right after the last one.
+            parts = F.replace(parts, F.lit(f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}"), F.lit(f"{OPEN}{left}{right}{CLOSE}"))
+        state = state.withColumn("p", parts)
+        if since >= CUT:
+            state, since = cut(state), 0
     return spark.createDataFrame([(k, *pair) for k, pair in enumerate(found)], "rank long, left string, right string")
 
 
@@ -128,20 +138,10 @@ def _sure(ranked: list, made: set[str]) -> list[tuple[str, str]]:
 
 
 def pair_counts(state: DataFrame) -> DataFrame:
-    pairs = F.arrays_zip(F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))).alias("left"), F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))).alias("right"))
-    return state.where(F.size("p") > 1).select(F.explode(pairs).alias("x"), "freq").groupBy("x.left", "x.right").agg(F.sum("freq").alias("n"))
-
-
-def _merged(parts: Column, left: Column, right: Column) -> Column:
-    """Every pair left, right joined, from the left on."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-
-    def step(a: Column, t: Column) -> Column:
-        joins = (a["held"] == left) & (t == right)
-        keep = F.when(a["held"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["held"])))
-        return F.when(joins, F.struct(F.concat(a["done"], F.array(F.concat(left, right))).alias("done"), F.lit("").alias("held"))).otherwise(F.struct(keep.alias("done"), t.alias("held")))
-
-    return F.aggregate(parts, start, step, lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["held"]))))
+    """``left, right, n`` of the adjacent parts of state(p, freq)."""
+    parts = state.where(F.col("p") != "").select(F.split(F.substring("p", F.lit(2), F.length("p") - 2), CLOSE + OPEN).alias("p"), "freq").where(F.size("p") > 1)
+    pairs = F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("left"), F.slice("p", F.lit(2), F.size("p") - 1).alias("right"))
+    return parts.select(F.explode(pairs).alias("x"), "freq").groupBy("x.left", "x.right").agg(F.sum("freq").alias("n"))
 
 
 def apply_bpe(rows: DataFrame, column: str, merges: list[tuple[str, str]], into: str = "pieces") -> DataFrame:

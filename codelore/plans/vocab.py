@@ -89,10 +89,11 @@ def f10(spark, d):
 
 @query("f11_bpe_pair_counts", f"SELECT c AS \"left\", n2 AS \"right\", CAST(sum(freq) AS BIGINT) AS n FROM (SELECT freq, word[i] AS c, word[i + 1] AS n2 FROM (SELECT word, freq, unnest(range(1, length(word))) AS i FROM ({WORDS}))) GROUP BY ALL")
 def f11(spark, d):
-    return V.pair_counts(word_counts(spark, d).select(F.filter(F.split("word", ""), lambda c: c != "").alias("p"), "freq"))
+    return V.pair_counts(word_counts(spark, d).select(V.parted(F.col("word")).alias("p"), "freq"))
 
 
-MERGES = 100
+#: Merges that are learnt; each round of them is a job over all words.
+MERGES = 24
 
 
 @query("f11_learn_bpe")
