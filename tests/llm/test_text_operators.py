@@ -61,6 +61,68 @@ def test_piece_counts(docs, empty):
     assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got) and piece_counts.count_tokens(empty, path).count() == 0
 
 
+def fuzzed(n, seed):
+    """Texts of words, digits, marks, blanks and letters of many scripts, in runs and alone."""
+    draw = np.random.default_rng(seed)
+    words = ["the", "Token", "ing", "don't", "日本", "語", "Ünïcode", "été", "ß", "\u0301", "😀", "👩‍👩‍👧", "Привет", "مرحبا", "한국어", "<s>", "<0x0A>", "▁", "\u00a0", "\u200b", "\u3000", "ﬁ", "ⅷ", "12", "3.14", "//", "!!!", "\n", "\n\n", "\t", "  ", " ", " ", " ", "aaaa", "xyzzy", "\x01", "|<|"]
+    for _ in range(n):
+        parts = [words[i] for i in draw.integers(0, len(words), int(draw.integers(0, 40)))]
+        parts += ["".join(chr(int(c)) for c in draw.integers(32, 0x2FFF, int(draw.integers(0, 12))))]
+        yield "".join(draw.permutation(parts)) if draw.random() < 0.7 else " ".join(draw.permutation(parts))
+
+
+def test_fuzzed_texts_against_the_libraries(spark):
+    """Tokens and counts of 3000 made texts, and of the 200 documents of the smallest table, as the libraries give them."""
+    texts = list(fuzzed(3000, 8)) + [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = P.path(queries.BPE_RANKS)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    both = byte_bpe.decode(byte_bpe.encode(rows, path, P.PATTERN), path, P.PATTERN).collect()
+    assert all(np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(texts[r["doc_id"]]) and bytes(r["decoded"]) == texts[r["doc_id"]].encode() for r in both)
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path(queries.PIECES))
+    got = piece_counts.count_tokens(rows, P.path(queries.PIECES)).collect()
+    assert len(got) == len(both) == len(texts) and all(r["n_tokens"] == len(model.encode(texts[r["doc_id"]])) for r in got)
+
+
+def plain_digest(text):
+    """A fingerprint by loops: triplets of neighbours and with a skip, 128 buckets, quartiles."""
+    raw, m = text.encode(), (1 << 32) - 1
+    counts = [0] * 128
+    for k, (i, j) in enumerate(((1, 2), (1, 3), (2, 3))):
+        for a in range(len(raw) - j):
+            h = (raw[a] * 0x9E3779B1 + raw[a + i] * 0x85EBCA77 + raw[a + j] * 0xC2B2AE3D + k * 0x27D4EB2F) & m
+            h = (h ^ h >> 15) * 0x2C1B3C6D & m
+            counts[h >> 16 & 127] += 1
+    ranked = sorted(counts)
+    q1, q2, q3 = ranked[31], ranked[63], ranked[95]
+    codes = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+    body = [sum(codes[i + k] << 2 * k for k in range(4)) for i in range(0, 128, 4)]
+    return bytes([min(255, int(8 * np.log2(1 + len(raw)))), (15 * q1 // max(q3, 1)) * 16 + 15 * q2 // max(q3, 1), *body])
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    steps = {(0, 3): 6, (3, 0): 6}
+    pairs = [(x >> s & 3, y >> s & 3) for x, y in zip(a[2:], b[2:]) for s in (0, 2, 4, 6)]
+    body = sum(steps.get(p, abs(p[0] - p[1])) for p in pairs)
+    ratios = abs((a[1] >> 4) - (b[1] >> 4)) + abs((a[1] & 15) - (b[1] & 15))
+    return 1 - min(300, body + 2 * min(abs(a[0] - b[0]), 32) + min(ratios, 16)) / 300
+
+
+def test_fingerprints_by_loops(spark):
+    texts = [t or "" for t in TEXTS] + list(fuzzed(20, 5))
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string")
+    assert {r["doc_id"]: r["fingerprint"] for r in quartile_digest.fingerprint(rows).collect()} == {i: plain_digest(t).hex() for i, t in enumerate(texts)}
+    for r in quartile_digest.edited_fingerprints(rows).collect():
+        own, after = texts[r["doc_id"]], texts[r["doc_id"] - 1]
+        edited = own[: len(own) - len(own) // 3] + after[: len(own) // 3]
+        want = plain_digest(own), plain_digest(edited), plain_digest(after)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (want[0].hex(), want[1].hex())
+        assert abs(r["near_edited"] - plain_likeness(want[0], want[1])) < 1e-12 and abs(r["near_next"] - plain_likeness(want[0], want[2])) < 1e-12
+
+
 def test_edited_fingerprints(docs, empty, spark):
     got = {}
     for r in quartile_digest.edited_fingerprints(docs).collect():
@@ -224,6 +286,63 @@ def test_toxic_spans(spark, docs, empty):
     assert toxic_spans.tag(empty, toxic_spans.fit(empty, labels.where("false"))).count() == 0
 
 
+def rolled(raw, seed):
+    """The hash of a byte range by its definition."""
+    from codelore.llm.common import Rolling, mixed
+
+    tabled = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64).tolist()
+    total = sum(tabled[b] * pow(int(Rolling.STEP), i, 1 << 64) for i, b in enumerate(raw)) % (1 << 64)
+    return int(mixed(np.array([total], np.uint64))[0])
+
+
+def split_words(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+
+
+def test_toxic_scores_by_loops(spark):
+    """Each text's score is the largest marginal of a word, by forward and backward sums in plain Python."""
+    draw = np.random.default_rng(3)
+    weights = np.append(draw.normal(size=1 << toxic_spans.BITS) * 2, -3.0).astype(np.float32)
+    weights[0] = 0
+    step = np.array([[0.9, 0.1], [0.3, 0.7]])
+    texts = ["", "One, two; THREE four-five ... é日本!", "a", "!!! x", " ".join(fuzzed(3, 9))]
+    rows = spark.createDataFrame([(i, t, 9.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    for r in toxic_spans.tag(rows, toxic_spans.Field(weights, step)).collect():
+        odds = []
+        for raw in split_words(texts[r["doc_id"]]):
+            core = bytes(b + 32 if 65 <= b <= 90 else b for b in raw).strip(bytes([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+            buckets = [rolled(core, 5) >> 64 - toxic_spans.BITS] if core else []
+            buckets += [(rolled(core[:n], 5) ^ n * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - toxic_spans.BITS for n in toxic_spans.PREFIXES if len(core) >= n]
+            odds.append(np.exp(float(weights[-1]) + sum(float(weights[b]) for b in buckets)))
+        own = [np.array([1.0, x]) for x in odds]
+        forward = [own[0] * step.sum(axis=0)] if own else []
+        for x in own[1:]:
+            forward.append(x * (forward[-1] @ step))
+        backward = [step.sum(axis=1)] if own else []
+        for x in own[:0:-1]:
+            backward.insert(0, step @ (x * backward[0]))
+        marginals = [f[1] * b[1] / (f @ b) for f, b in zip(forward, backward)]
+        assert abs(r["score"] - max(marginals, default=0)) < 1e-6
+
+
+def test_quality_scores_by_loops(spark):
+    draw = np.random.default_rng(4)
+    model = subwords.Model(draw.normal(size=1 << subwords.BITS), 0.3)
+    texts = ["", "one two two THREE", "日本語 é ab", " ".join(fuzzed(3, 6))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in subwords.score(rows, model).collect():
+        found, last = [], None
+        for raw in split_words(texts[r["doc_id"]]):
+            found.append(rolled(raw, 7) >> 64 - subwords.BITS)
+            found += [1] if raw == last else []
+            last = raw
+        whole = texts[r["doc_id"]].encode()
+        # A run may begin or end with the blank beside a word.
+        found += [(rolled(whole[i : i + n], 7) + n) % (1 << 64) >> 64 - subwords.BITS for n in subwords.GRAMS for i in range(len(whole) - n + 1) if not set(whole[i + 1 : i + n - 1]) & set(b"\x20\t\n\v\f\r")]
+        logit = 0.3 + (np.mean([model.weights[b] for b in found]) if found else 0)
+        assert abs(r["score"] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
 def test_marginals_by_all_paths():
     draw = np.random.default_rng(1)
     step = np.array([[0.7, 0.3], [0.4, 0.6]])
