@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
+import re
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codelore.llm import mixing, multiprobe, queries, style_tree, warc_zst
 from codelore.llm.common import table
+from test_text_operators import plain_components, plain_sets
 
 DATA = "/root/testdata/sf0.001"
 PAGES = "page_id long, url string, html string"
@@ -108,6 +114,45 @@ def test_importance_by_hand(spark):
     assert math.isclose(got[node.key], 1 - math.log(2) / 2 / math.log(3), abs_tol=1e-8)
 
 
+def plain_importance(pages):
+    """Importance of the elements of these (url, html), by counting in plain Python; copies on a host count once."""
+    seen, styles, contents = {}, {}, {}
+    for url, html in pages:
+        root = style_tree.parsed(html)
+        style_tree._mark_articles(root)
+        named = style_tree.name_nodes(root, style_tree.host_of(url))
+        seen.setdefault(style_tree._payload(style_tree.host_of(url), html, named), named)
+    for named in seen.values():
+        for key, style in {(n.key, s) for n, s, _ in named}:
+            styles.setdefault(key, Counter())[style] += 1
+        for (key, x), n in Counter((n.key, x) for n, _, c in named for x in c).items():
+            contents.setdefault(key, {}).setdefault(x, []).append(n)
+    out = {}
+    for key, kinds in styles.items():
+        n = sum(kinds.values())
+        if n > 1:
+            entropy = lambda c: -sum(x / sum(c) * math.log(x / sum(c)) for x in c)
+            own = [entropy(c) for c in contents.get(key, {}).values()]
+            value = round(1 - min(1, sum(own) / len(own) / math.log(n)) if own else entropy(list(kinds.values())) / math.log(n), 9)
+            if value < 1:
+                out[key] = value, float(n)
+    return out
+
+
+def test_supplied_pages_by_a_plain_tree(spark):
+    """The texts of the supplied pages, from importances counted in plain Python; without the tree some differ."""
+    pages = table(spark, DATA, "pages")
+    rows = pages.collect()
+    weigh = plain_importance([(r["url"], r["html"]) for r in rows if r["html"] and style_tree.host_of(r["url"])])
+    host = {r["page_id"]: style_tree.host_of(r["url"]) for r in rows}
+    want = {r["page_id"]: style_tree.main_text(r["html"], host[r["page_id"]], weigh) if r["html"] else "" for r in rows}
+    assert {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()} == want
+    site = [(i, f"http://one.example/{i}", f"<body><div class='y1'>Only on this site.</div><article><div class='z1'>Written by our staff.</div><p>Story {i}.</p></article></body>") for i in range(30)]
+    weigh = plain_importance([(u, h) for _, u, h in site])
+    assert {style_tree.main_text(h, "one.example", weigh) for _, _, h in site} == {f"Story {i}." for i in range(30)}
+    assert all(style_tree.main_text(h, "one.example", {}) != style_tree.main_text(h, "one.example", weigh) for _, _, h in site)
+
+
 def test_archives(spark):
     big = "<html>" + "y" * 200_000
     rows = [(5, "http://a/5", "<p>" + "z" * 200), (2, "http://a/2", "<p>" + "z" * 200), (9, None, "<p>" + "z" * 200), (1, "http://a/1", "short"), (3, "http://a/3", "short"), (4, "http://a/ 4", None), (6, "u", big), (None, "n", big), (2, "http://a/2", "<p>" + "z" * 200)]
@@ -322,5 +367,29 @@ def test_pipeline(spark):
         assert stage(spark, none, DATA).count() == 0
 
 
+def test_pipeline_by_plain_stages(spark):
+    """The rows of run() against brute force over what the two classifiers keep, which have tests of their own."""
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    good = docs.join(queries.quality(docs, labels).where("predicted = 1").select("doc_id"), "doc_id", "left_semi")
+    clean = queries.toxicity(good, labels).where("predicted = 0").select("doc_id", "text", "source").collect()
+    ids = [r["doc_id"] for r in clean]
+    first = plain_components(ids, plain_sets([r["text"] for r in clean]))
+    kept = {r["doc_id"]: r for r in clean if first[r["doc_id"]] == r["doc_id"]}
+    out = corpus_pipeline.run(spark, DATA).collect()
+    copies = Counter(r["doc_id"] for r in out)
+    assert set(copies) <= set(kept) and max(copies.values()) <= 3
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for i, r in kept.items()}
+    names = sorted({r["source"] for r in kept.values()}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(size[i] for i, r in kept.items() if r["source"] == s) for s in names]
+    for s, n, goal in zip(names, sizes, water(sizes, [i % 3 + 1 for i in range(len(names))])):
+        longest = max(size[i] for i, r in kept.items() if r["source"] == s)
+        assert abs(sum(copies[i] * size[i] for i, r in kept.items() if r["source"] == s) - goal) <= max(0.02 * goal, longest), s
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(queries.BPE_RANKS), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in out:
+        own = library.encode_ordinary(kept[r["doc_id"]]["text"] or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest())
+
+
 def test_queries_are_registered():
     assert len(queries.QUERIES) == 10 and all(n.startswith(f"op{i}_") for i, n in enumerate(queries.QUERIES, 1))
