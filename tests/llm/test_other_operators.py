@@ -141,12 +141,13 @@ def plain_importance(pages):
 
 def test_supplied_pages_by_a_plain_tree(spark):
     """The texts of the supplied pages, from importances counted in plain Python; without the tree some differ."""
-    pages = table(spark, DATA, "pages")
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
     rows = pages.collect()
     weigh = plain_importance([(r["url"], r["html"]) for r in rows if r["html"] and style_tree.host_of(r["url"])])
     host = {r["page_id"]: style_tree.host_of(r["url"]) for r in rows}
     want = {r["page_id"]: style_tree.main_text(r["html"], host[r["page_id"]], weigh) if r["html"] else "" for r in rows}
     assert {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()} == want
+    assert any(style_tree.main_text(r["html"], host[r["page_id"]], {}) != want[r["page_id"]] for r in rows if r["html"])
     site = [(i, f"http://one.example/{i}", f"<body><div class='y1'>Only on this site.</div><article><div class='z1'>Written by our staff.</div><p>Story {i}.</p></article></body>") for i in range(30)]
     weigh = plain_importance([(u, h) for _, u, h in site])
     assert {style_tree.main_text(h, "one.example", weigh) for _, _, h in site} == {f"Story {i}." for i in range(30)}
