@@ -61,16 +61,17 @@ def subtree_size(nodes: DataFrame) -> DataFrame:
 
     up = cut(nodes.select("tree", F.col("node_id").alias("_child"), F.col("parent").alias("_up")))
     level = up.groupBy("tree", F.col("_child").alias("node_id")).agg(F.count("*").alias("size"))
-    most, counted = up.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, level
-    for _ in range(most):
+    counted, most, levels = level, None, 0
+    while True:
         above = level.withColumnRenamed("node_id", "_child").join(up, ["tree", "_child"]).where("_up is not null")
         level = cut(above.groupBy("tree", F.col("_up").alias("node_id")).agg(F.sum("size").alias("size")))
         if level.isEmpty():
             return counted.groupBy("tree", "node_id").agg(F.sum("size").alias("size"))
-        counted = counted.unionByName(level)
-    if most:
-        raise ValueError("parents go in a circle")
-    return counted
+        counted, levels = counted.unionByName(level), levels + 1
+        if levels == 16:  # deep trees only are worth the count
+            most = up.groupBy("tree").count().agg(F.max("count")).first()[0]
+        if most is not None and levels >= most:
+            raise ValueError("parents go in a circle")
 
 
 def terminal_nodes(nodes: DataFrame) -> DataFrame:
