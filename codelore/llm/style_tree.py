@@ -4,11 +4,12 @@ The pages of a host are merged: an element of the tree stands for all elements t
 tags, classes and sequences of children; it counts the sequences of its own children (its styles) and the texts,
 links and images right inside it.  An element whose styles or contents vary between pages is important,
 one that repeats is not: its importance is the entropy of its styles, or one less the mean entropy of its contents over
-the pages, in units of the logarithm of its number of pages.  A branch's importance mixes its root's with its
-children's.  A branch is cut from a page if neither it nor any branch with text in it reaches the threshold, inside
-articles too.  Markup is a prior: navigation, adverts, forms, comments and the like have no importance; an article
-counts as one more page on which its elements vary; beside an article a branch needs a higher importance, and more
-text outside links than inside.
+the pages, in units of the logarithm of its number of pages.  A branch's importance mixes its root's with that of
+its children with text and of its own text.  A branch is cut from a page if neither it nor any text in it reaches the
+threshold, inside articles too; inline elements amid running text stay or go with it.  Markup is a prior: navigation,
+adverts, forms, comments and the like have no importance; an article counts as one more page on which its elements
+vary and is never cut down to its headings; beside an article a branch needs a higher importance, and more text outside
+links than inside.
 
 A branch is judged along the page's own styles, so that no host has to be gathered: counts are summed by
 element over all pages, copies of a page on a host as one, and each page looks up its own elements.
@@ -277,17 +278,20 @@ def main_text(html: str, host: str, importance: dict[int, tuple[float, float]])
         own, pages = importance.get(node.key, (1.0, 0.0))
         if node.inside:
             own = (own * pages + 1) / (pages + 1)
-        inner = [c for c in node.children if not isinstance(c, str) and not c.chrome]
-        share = GAMMA ** len(inner)
         me = id(node)
-        branch[me] = (1 - share) * own + share * sum(branch[id(c)] for c in inner) / len(inner) if inner else own
-        text = sum(len(x.strip()) for x in node.children if isinstance(x, str))
+        direct = text = sum(len(x.strip()) for x in node.children if isinstance(x, str))
         linked = 0
+        inner = [c for c in node.children if not isinstance(c, str) and not c.chrome]
         for c in inner:
             more = size[id(c)]
             text, linked = text + more[0], linked + more[1]
         size[me] = text, text if node.tag == "a" else linked
-        peak[me] = max([branch[me], *(peak[id(c)] for c in inner)]) if text else 0.0
+        # Line breaks, images and the like have nothing to judge; text right inside an element is a leaf of its own.
+        inner = [c for c in inner if size[id(c)][0]]
+        leaves = [branch[id(c)] for c in inner] + ([own] if direct else [])
+        share = GAMMA ** len(leaves)
+        branch[me] = (1 - share) * own + share * sum(leaves) / len(leaves) if inner else own
+        peak[me] = max(branch[me], *leaves, *(peak[id(c)] for c in inner)) if text else 0.0
         beside = articles and not node.inside
         if node.holds or node.tag in ("#page", "html", "body"):
             # Text right inside what holds the article is beside it.
@@ -295,12 +299,29 @@ def main_text(html: str, host: str, importance: dict[int, tuple[float, float]])
                 node.children = [c for c in node.children if not isinstance(c, str)]
             if not node.article:
                 continue
+        if node.tag not in BLOCK and any(isinstance(x, str) and x.strip() for x in node.parent.children):
+            continue  # amid running text, with which it stays or goes
         # So does a name that may mean chrome.
         if peak[me] < (BESIDE if beside or node.doubtful else THRESHOLD) or (beside and 2 * size[me][1] > text):
             cut.add(me)
+    if articles and cut and not _article_left(root, cut):
+        cut -= {id(node) for node in order if node.inside or node.article}
     return _read(root, cut)
 
 
+def _article_left(root: Node, cut: set[int]) -> bool:
+    """Whether the page's articles keep any text but headings; an article that repeats as a whole is no boilerplate."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.chrome or id(node) in cut or node.tag in _HEADINGS:
+            continue
+        if (node.inside or node.article) and any(isinstance(x, str) and x.strip() for x in node.children):
+            return True
+        todo += [c for c in node.children if not isinstance(c, str)]
+    return False
+
+
 def _read(root: Node, cut: set[int]) -> str:
     pieces: list[str] = []
     stack: list[Node | str | None] = [root]

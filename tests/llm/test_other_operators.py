@@ -7,6 +7,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -140,20 +141,44 @@ def plain_importance(pages):
 
 
 def test_supplied_pages_by_a_plain_tree(spark):
-    """The texts of the supplied pages, from importances counted in plain Python; without the tree some differ."""
+    """The texts of the supplied pages, from importances counted in plain Python."""
     pages = table(spark, "/root/testdata/sf0.01", "pages")
     rows = pages.collect()
     weigh = plain_importance([(r["url"], r["html"]) for r in rows if r["html"] and style_tree.host_of(r["url"])])
     host = {r["page_id"]: style_tree.host_of(r["url"]) for r in rows}
     want = {r["page_id"]: style_tree.main_text(r["html"], host[r["page_id"]], weigh) if r["html"] else "" for r in rows}
     assert {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()} == want
-    assert any(style_tree.main_text(r["html"], host[r["page_id"]], {}) != want[r["page_id"]] for r in rows if r["html"])
     site = [(i, f"http://one.example/{i}", f"<body><div class='y1'>Only on this site.</div><article><div class='z1'>Written by our staff.</div><p>Story {i}.</p></article></body>") for i in range(30)]
     weigh = plain_importance([(u, h) for _, u, h in site])
     assert {style_tree.main_text(h, "one.example", weigh) for _, _, h in site} == {f"Story {i}." for i in range(30)}
     assert all(style_tree.main_text(h, "one.example", {}) != style_tree.main_text(h, "one.example", weigh) for _, _, h in site)
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_supplied_pages_keep_their_documents(spark, sf):
+    """A supplied page's article is its title and the document that its address names; all of it stays, and nothing else."""
+    tables = f"/root/testdata/sf{sf}"
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    pages = style_tree.extract(table(spark, tables, "pages")).join(table(spark, tables, "pages").select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"), F.regexp_extract("url", r"/(\d+)(?:\.html)?/?(?:[?#].*)?$", 1).cast("long").alias("doc_id")), "page_id")
+    rows = pages.join(table(spark, tables, "documents").select("doc_id", flat("text").alias("body")), "doc_id", "left").select("text", "title", "body").collect()
+    assert rows and all(r["text"] == f"{' '.join(unescape(r['title']).split())} {r['body']}".strip() for r in rows)
+
+
+def test_line_breaks_and_unclosed_tags_lose_no_text(spark):
+    """An element without text doesn't lower the paragraph that holds it, nor a link the sentence that it stands in."""
+    def page(i):
+        return f"<body><article><div class='z1'><b>Written by<br>our staff.</b></div><h1>Head {i}</h1><p><b>Start {i}<br><p>Middle {i} <img src='/{i}.png'> end {i}<p>See <a href='/about'>our pages</a> for {i}</article></body>"
+
+    got = style_tree.extract(spark.createDataFrame([(i, f"http://one.example/{i}", page(i)) for i in range(30)], PAGES)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Head {i} Start {i} Middle {i} end {i} See our pages for {i}" for i in range(30)}
+
+
+def test_an_article_under_many_titles_stays(spark):
+    """What repeats as a whole is a copied article; only its title differs."""
+    rows = [(i, f"http://one.example/{i}", f"<body><article><h1>Copy {i}</h1><p>one</p><p>two</p></article></body>") for i in range(30)]
+    assert {r["page_id"]: r["text"] for r in style_tree.extract(spark.createDataFrame(rows, PAGES)).collect()} == {i: f"Copy {i} one two" for i in range(30)}
+
+
 def test_archives(spark):
     big = "<html>" + "y" * 200_000
     rows = [(5, "http://a/5", "<p>" + "z" * 200), (2, "http://a/2", "<p>" + "z" * 200), (9, None, "<p>" + "z" * 200), (1, "http://a/1", "short"), (3, "http://a/3", "short"), (4, "http://a/ 4", None), (6, "u", big), (None, "n", big), (2, "http://a/2", "<p>" + "z" * 200)]
