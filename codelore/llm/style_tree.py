@@ -32,7 +32,7 @@ from .common import salted_lookup
 
 #: Least importance of a branch that stays, the same beside an article, and the weight of children by depth.
 THRESHOLD, BESIDE, GAMMA = 0.2, 0.5, 0.9
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85   -     　]+")
 _PARTS = re.compile(r"[a-z0-9]+")
@@ -273,6 +273,7 @@ def main_text(html: str, host: str, importance: dict[int, tuple[float, float]])
     branch: dict[int, float] = {}
     peak: dict[int, float] = {}
     size: dict[int, tuple[int, int]] = {}
+    running: dict[int, bool] = {}
     cut: set[int] = set()
     for node in reversed(order):
         own, pages = importance.get(node.key, (1.0, 0.0))
@@ -299,8 +300,12 @@ def main_text(html: str, host: str, importance: dict[int, tuple[float, float]])
                 node.children = [c for c in node.children if not isinstance(c, str)]
             if not node.article:
                 continue
-        if node.tag not in BLOCK and any(isinstance(x, str) and x.strip() for x in node.parent.children):
-            continue  # amid running text, with which it stays or goes
+        if node.tag not in BLOCK:
+            up = id(node.parent)
+            if up not in running:
+                running[up] = any(isinstance(x, str) and x.strip() for x in node.parent.children)
+            if running[up]:
+                continue  # amid running text, with which it stays or goes
         # So does a name that may mean chrome.
         if peak[me] < (BESIDE if beside or node.doubtful else THRESHOLD) or (beside and 2 * size[me][1] > text):
             cut.add(me)

@@ -36,6 +36,7 @@ def chrome(i, body):
         ("<article>a<script>b</script><style>c</style><!-- d -->e<form>f</form></article><div class='comments'><article>g</article></div>", "ae"),
         ("plain text &lt;b&gt; &#233;&nbsp;x", "plain text <b> é x"),
         ("<p>cut <b>short", "cut short"),
+        ("<p>a<!-->b<!--->c<!-- > d --!>e<!-- f", "abce"),
         ("", ""), (None, ""), ("<", "<"),
     ],
 )
@@ -173,6 +174,12 @@ def test_line_breaks_and_unclosed_tags_lose_no_text(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"Head {i} Start {i} Middle {i} end {i} See our pages for {i}" for i in range(30)}
 
 
+def test_pages_of_many_elements(spark):
+    """Time and memory grow with the page, however many elements lie side by side."""
+    html = "<article><p>" + "<br>" * 100_000 + "<a>x</a>" * 50_000 + "</p>" + "<p>y</p>" * 50_000 + "</article>"
+    assert style_tree.extract(spark.createDataFrame([(1, "http://h/1", html)], PAGES)).first()["text"] == "x" * 50_000 + " y" * 50_000
+
+
 def test_an_article_under_many_titles_stays(spark):
     """What repeats as a whole is a copied article; only its title differs."""
     rows = [(i, f"http://one.example/{i}", f"<body><article><h1>Copy {i}</h1><p>one</p><p>two</p></article></body>") for i in range(30)]
