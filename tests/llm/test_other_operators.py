@@ -425,4 +425,4 @@ def test_pipeline_by_plain_stages(spark):
 
 
 def test_queries_are_registered():
-    assert len(queries.QUERIES) == 10 and all(n.startswith(f"op{i}_") for i, n in enumerate(queries.QUERIES, 1))
+    assert len(queries.QUERIES) == 13 and all(n.startswith(f"op{i}_") for i, n in enumerate(queries.QUERIES, 1))
