@@ -28,11 +28,11 @@ from .minhash import components
 
 SHINGLE, PERCENT = 4, 85
 #: Largest over smallest size of a band, and of how many segments one is deep.
-RATIO, DEEP = 1.6, 24
+RATIO, DEEP = 1.6, 48
 #: Members of a bucket in a block that is compared as a whole, and pairs of a hub that meet its text in one task.
 BLOCK, SPLIT = 96, 1024
-#: Keys that a task holds before it sends them.
-SENT = 1 << 18
+#: Keys that a task holds before it sends them, and rows of one key that it holds before it takes the key as shared.
+SENT, HELD = 1 << 18, 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.random.default_rng(29).integers(1 << 62, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
@@ -139,12 +139,16 @@ def folded(raw: bytes, width: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int32)
 
 
-def near(n_a: int, a: bytes, n_b: int, b: bytes) -> bool:
-    """False only for sets that are not linked: sizes are too far apart, or counts by segment differ too much."""
+def apart(n_a: int, a: bytes, n_b: int, b: bytes) -> int | None:
+    """A lower bound of the number of shingles in which two sets differ; None if they can't be linked.
+
+    Sizes too far apart can't, nor can counts by segment that differ too much.
+    """
     if 100 * min(n_a, n_b) < PERCENT * max(n_a, n_b):
-        return False
+        return None
     width = min(len(a), len(b))
-    return int(np.abs(folded(a, width) - folded(b, width)).sum()) <= most_apart(n_a + n_b)
+    least = int(np.abs(folded(a, width) - folded(b, width)).sum())
+    return least if least <= most_apart(n_a + n_b) else None
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -176,24 +180,28 @@ _SEGMENT, _SPARE, _LEFT, _GUEST, _BAND = 24, 48, 49, 50, 51
 
 
 def keys(docs: DataFrame) -> DataFrame:
-    """``key, id, info`` of every unit of every set of docs(text)."""
+    """``key, id, info`` of every unit of every set of docs(text); a task leaves out copies of sets that it has had."""
 
     def run(batches):
+        had: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        count = 0
         for batch in batches:
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            count = 0
             for _, chunk in string_chunks(batch.column("text")):
                 for s in shingle_sets(chunk):
-                    for band, guest, spare in roles(len(s)) if len(s) else ():
+                    if not len(s) or (name := set_id(s)) in had:
+                        continue
+                    had.add(name)
+                    for band, guest, spare in roles(len(s)):
                         key, segments, left_out, may = units(s, band)
                         info = (segments << _SEGMENT) | (may.astype(np.int64) << _SPARE) | (left_out.astype(np.int64) << _LEFT) | (int(guest) << _GUEST) | (band << _BAND) | spare
-                        held.append((key, np.full(len(key), set_id(s)), info))
+                        held.append((key, np.full(len(key), name), info))
                         count += len(key)
-                        if count >= SENT:
-                            yield _batch(held)
-                            held, count = [], 0
-            if held:
-                yield _batch(held)
+                    if count >= SENT:
+                        yield _batch(held)
+                        held, count = [], 0
+        if held:
+            yield _batch(held)
 
     return docs.select("text").mapInArrow(run, "key long, id long, info long")
 
@@ -206,18 +214,48 @@ def _bits(at: int, width: int = 1) -> Column:
     return F.shiftright("info", at).bitwiseAND((1 << width) - 1)
 
 
+def _shared(batches):
+    """From rows sorted by (key, id, info), those of keys that two sets hold, one at home and one whole, with the number of rows.
+
+    A key at the end of a partition may go on in the next one, and a long run is sent in pieces: both count as shared,
+    and their number as what was seen of them.
+    """
+    key, id_, info = (np.zeros(0, np.int64) for _ in range(3))
+    sure = True
+    for batch in batches:
+        key, id_, info = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((key, "key"), (id_, "id"), (info, "info")))
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        done = len(key) if len(key) - last > HELD else last
+        if done:
+            yield from _live(key[:done], id_[:done], info[:done], sure, done > last)
+            sure = done > last
+            key, id_, info = key[done:], id_[done:], info[done:]
+    if len(key):
+        yield from _live(key, id_, info, True, True)
+
+
+def _live(key, id_, info, first: bool, last: bool):
+    """Shared keys of whole runs; ``first`` and ``last`` tell whether the runs at the ends count as shared anyhow."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (id_[1:] != id_[:-1]) | (info[1:] != info[:-1])
+    key, id_, info = key[new], id_[new], info[new]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(start, len(key)))
+    several = np.minimum.reduceat(id_, start) != np.maximum.reduceat(id_, start)
+    live = several & (np.minimum.reduceat(info >> _LEFT & 1, start) == 0) & (np.minimum.reduceat(info >> _GUEST & 1, start) == 0)
+    live[0] |= first
+    live[-1] |= last
+    keep = np.repeat(live, n)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep], id_[keep], info[keep], np.repeat(n, n)[keep])], names=["key", "id", "info", "n"])
+
+
 def shared_keys(docs: DataFrame) -> DataFrame:
-    """``key, id, asks``: the keys that a set asks with and another answers, with all who hold them.
+    """``key, id, asks``: the keys that several sets hold, with all who hold them, and whether the set asks with the key.
 
-    A key counts if two sets hold it, one of them at home and one of them whole.
+    Ranges of (key, id) deal the keys out, so that one which many sets hold is spread over tasks.
     """
-    rows = keys(docs)
-    whole, home = (1 - _bits(_LEFT)).cast("int"), (1 - _bits(_GUEST)).cast("int")
-    held = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max(whole).alias("whole"), F.max(home).alias("home"))
-    live = held.where("low <> high AND whole = 1 AND home = 1").select("key", "n")
-    found = salted_lookup(rows, live, "key", F.col("id"), 4).where(F.col("n").isNotNull())
-    # Copies of a set hold the same keys.
-    found = cut(found.groupBy("key", "id", "info").agg(F.max("n").alias("n")))
+    ordered = keys(docs).repartitionByRange("key", "id").sortWithinPartitions("key", "id", "info")
+    found = cut(ordered.mapInArrow(_shared, "key long, id long, info long, n long"))
     part = F.shiftright("info", _GUEST)
     costs = found.where(_bits(_SPARE) == 1).groupBy("id", part.alias("part"), _bits(_LEFT).alias("left_out"), _bits(_SEGMENT, 24).alias("segment"), _bits(0, 24).alias("spare")).agg(F.sum("n").alias("cost"))
     rank = F.row_number().over(Window.partitionBy("id", "part").orderBy(F.desc("cost"), "left_out", "segment"))
@@ -227,30 +265,33 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     return asking.groupBy("key", "id").agg(F.max("asks").alias("asks"))
 
 
-def _near_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs(a, b, part) that the sketches of facts(id, part, n_shingles, sketch) allow; ``part`` deals a hub's pairs out."""
+def near_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``a, b, part, apart``: the pairs(a, b) that sizes and sketches of facts(id, n_shingles, sketch) allow.
+
+    ``part`` deals a hub's pairs over tasks.
+    """
+    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
     one = facts.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     two = facts.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    spread = pairs.groupBy("a").agg((F.max("part") + 1).alias("parts"))
     sides = one.join(spread, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = salted_lookup(pairs, spread, "a", F.col("b"), 4).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
 
     def run(batches):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("n_a", "sketch_a", "n_b", "sketch_b")]
-            yield batch.select(["a", "b", "part"]).filter(pa.array([near(*x) for x in zip(*columns)], pa.bool_()))
+            least = pa.array([apart(*x) for x in zip(*columns)], pa.int64())
+            both = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "part")), least], names=["a", "b", "part", "apart"])
+            yield both.filter(least.is_valid())
 
     # Sizes are compared before sketches meet.
-    few = pairs.join(two, "b").join(sides, ["a", "part"]).where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return few.select("a", "b", "part", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long, part int")
+    few = dealt.join(two, "b").join(sides, ["a", "part"]).where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    return few.select("a", "b", "part", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long, part int, apart long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among pairs(a, b); texts(id, text, n_shingles, sketch) has a row an id.  A hub's pairs are dealt over tasks."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
-    dealt = salted_lookup(pairs, parts, "a", F.col("b"), 4).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    close = cut(_near_pairs(dealt, texts))
+def verified(close: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links among close(a, b, part); texts(id, text) has a row an id."""
     sides = close.select("a", "part").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = close.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(sides, ["a", "part"])
+    both = close.select("a", "b", "part").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(sides, ["a", "part"])
 
     def run(batches):
         last, kept = None, np.zeros(0, np.uint64)
@@ -346,11 +387,18 @@ def join_sets(docs: DataFrame) -> DataFrame:
     hubs = full.groupBy("key").agg(F.min(F.when(F.col("asks"), F.col("id"))).alias("hub")).where(F.col("hub").isNotNull())
     full = cut(salted_lookup(full, hubs, "key", F.col("id"), 4).where(F.col("hub").isNotNull()))
     pairs = full.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = own.join(full.select("id").distinct(), "id", "left_semi")
-    texts = cut(docs.join(wanted, ["doc_id", "h"]).dropDuplicates(["id"]).select("id", "text", "n_shingles", "sketch"))
-    links = cut(verified(pairs, texts))
+    close = cut(near_pairs(cut(pairs), own))
+    several = full.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    wanted = close.select(F.col("a").alias("id")).union(close.select("b")).union(full.join(several, "key", "left_semi").select("id")).distinct()
+    texts = cut(docs.join(own.join(wanted, "id", "left_semi"), ["doc_id", "h"]).dropDuplicates(["id"]).select("id", "text", "n_shingles", "sketch"))
+    # The nearest hub of each set comes first; what that joins needs no other link.
+    nearest = cut(close.groupBy("b").agg(F.min(F.struct("apart", "a", "part")).alias("x")).select("x.a", "b", "x.part"))
+    links = cut(verified(nearest, texts))
     joined = components(links)
-    more = cut(_across(full.select("key", "id", "asks"), joined, texts))
+    of = joined.union(joined.select(F.col("component").alias("id"), "component").distinct())
+    sides = close.join(nearest, ["a", "b"], "left_anti").join(of.select(F.col("id").alias("a"), F.col("component").alias("c_a")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b", "left")
+    rest = sides.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "part")
+    more = cut(verified(rest, texts).union(_across(full.select("key", "id", "asks"), joined, texts)))
     if not more.isEmpty():
         joined = components(links.union(more))
     joined = joined.union(joined.select(F.col("component").alias("id"), "component").distinct())

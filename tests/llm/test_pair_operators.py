@@ -118,6 +118,7 @@ def test_ngram_join_of_common_passages(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(ngram_join, "BLOCK", 8)
         monkeypatch.setattr(ngram_join, "SPLIT", 4)
+        monkeypatch.setattr(ngram_join, "HELD", 20)
     draw = np.random.default_rng(7)
     base = [f"b{i}" for i in range(90)]
     texts = [" ".join(base + [f"x{i}y{k}" for k in range(30)]) for i in range(80)]
@@ -150,7 +151,7 @@ def test_units_meet_where_sets_are_linked():
             large, small = (a, b) if len(a) >= len(b) else (b, a)
             if not ngram_join.linked(a, b) or np.array_equal(a, b):
                 continue
-            assert ngram_join.near(len(a), ngram_join.sketch(a), len(b), ngram_join.sketch(b))
+            assert ngram_join.apart(len(a), ngram_join.sketch(a), len(b), ngram_join.sketch(b)) is not None
             met = False
             for band, guest, spare in ngram_join.roles(len(large)):
                 if (band, False) not in {r[:2] for r in ngram_join.roles(len(small))}:
