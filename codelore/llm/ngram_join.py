@@ -314,23 +314,28 @@ def verified(close: DataFrame, texts: DataFrame) -> DataFrame:
 def _across(full: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between components whose members share a key that one of them asks with.
 
-    Keys of several components and three sets or more are gathered by their largest component; its members and the others that
-    meet it are dealt over blocks, and each pair of blocks is compared as a whole in one task, sketches first; texts
-    come only for members that are near another component's there.
+    Of a key of several components and three sets or more, the largest component's members meet the others, gathered by
+    component over all keys; the others meet each other key by key, keys with the same others once.  Both are dealt over
+    blocks, and each pair of blocks is compared as a whole in one task, sketches first; texts come only for members that
+    are near another component's there.
     """
     members = full.join(joined, "id", "left").select("key", "id", "asks", F.coalesce("component", "id").alias("c"))
-    counts = members.groupBy("key", "c").agg(F.count("*").alias("n"))
-    open_ = counts.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all")).where("parts > 1 AND all > 2").select("key", "main")
-    dealt = salted_lookup(members, open_, "key", F.col("id"), 4).where(F.col("main").isNotNull())
-    dealt = cut(dealt.groupBy("main", "id", "c").agg(F.max("asks").alias("asks")))
-    is_main = F.col("c") == F.col("main")
-    blocks = dealt.groupBy("main").agg(F.ceil(F.count(F.when(is_main, 1)) / BLOCK).cast("int").alias("n_main"), F.ceil(F.count(F.when(~is_main, 1)) / BLOCK).cast("int").alias("n_rest"))
-    dealt = salted_lookup(dealt, blocks, "main", F.col("id"), 4)
-    block = F.when(is_main, F.pmod(F.xxhash64("id"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("id"), F.col("n_rest")) + F.col("n_main")).cast("int")
-    others = F.sequence(F.col("n_main"), F.col("n_main") + F.col("n_rest") - 1)
-    everything = F.sequence(F.lit(0), F.col("n_main") + F.col("n_rest") - 1)
-    rows = dealt.withColumn("block", block).join(texts.select("id", "n_shingles", "sketch"), "id").withColumn("with", F.explode(F.when(is_main, others).otherwise(everything)))
-    rows = rows.select("main", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "c", "asks", (F.col("block") == F.least("block", "with")).alias("first"), "n_shingles", "sketch")
+    counts = members.groupBy("key", "c").agg(F.count("*").alias("n"), F.max("asks").alias("asks"))
+    open_ = counts.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("asks").alias("asks")).where("parts > 1 AND all > 2 AND asks").select("key", "main")
+    dealt = cut(salted_lookup(members, open_, "key", F.col("id"), 4).where(F.col("main").isNotNull()))
+    others = dealt.where("c <> main")
+    seen = others.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("same"), F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    once = seen.groupBy("same", "n").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("once"))
+    each = salted_lookup(others, once, "key", F.col("id"), 4).where("once").select(F.xxhash64(F.lit("key"), "key").alias("g"), "id", "c", F.lit(True).alias("asks"), F.lit(False).alias("is_main"), F.lit(False).alias("by_main"))
+    gathered = dealt.select(F.xxhash64(F.lit("main"), "main").alias("g"), "id", "c", "asks", (F.col("c") == F.col("main")).alias("is_main"), F.lit(True).alias("by_main"))
+    dealt = cut(gathered.union(each).groupBy("g", "id", "c", "is_main", "by_main").agg(F.max("asks").alias("asks")))
+    blocks = dealt.groupBy("g").agg(F.ceil(F.count(F.when(F.col("is_main"), 1)) / BLOCK).cast("int").alias("n_main"), F.ceil(F.count(F.when(~F.col("is_main"), 1)) / BLOCK).cast("int").alias("n_rest"))
+    dealt = salted_lookup(dealt, blocks, "g", F.col("id"), 4)
+    block = F.when(F.col("is_main"), F.pmod(F.xxhash64("id"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("id"), F.col("n_rest")) + F.col("n_main")).cast("int")
+    rest = F.sequence(F.col("n_main"), F.col("n_main") + F.col("n_rest") - 1)
+    meets = F.when(F.col("is_main") | ~F.col("by_main"), rest).otherwise(F.sequence(F.lit(0), F.col("n_main") - 1))
+    rows = dealt.withColumn("block", block).join(texts.select("id", "n_shingles", "sketch"), "id").withColumn("with", F.explode(meets))
+    rows = rows.select("g", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "c", "asks", (F.col("block") == F.least("block", "with")).alias("first"), "n_shingles", "sketch")
 
     def candidates(part: pa.Table):
         """Each member of the second block with those of the first that it may be linked with, likeliest first."""
@@ -367,7 +372,7 @@ def _across(full: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
                     found.append((ids[i], ids[j]))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    pair = ("main", "low", "high")
+    pair = ("g", "low", "high")
     return rows.groupBy(*pair).applyInArrow(close, rows.schema).join(texts.select("id", "text"), "id").groupBy(*pair).applyInArrow(compare, "a long, b long")
 
 
@@ -385,10 +390,9 @@ def join_sets(docs: DataFrame) -> DataFrame:
     own = cut(own.select("id", "x.*"))
     full = cut(shared_keys(named))
     hubs = full.groupBy("key").agg(F.min(F.when(F.col("asks"), F.col("id"))).alias("hub")).where(F.col("hub").isNotNull())
-    full = cut(salted_lookup(full, hubs, "key", F.col("id"), 4).where(F.col("hub").isNotNull()))
-    pairs = full.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = salted_lookup(full, hubs, "key", F.col("id"), 4).where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     close = cut(near_pairs(cut(pairs), own))
-    several = full.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    several = full.groupBy("key").agg(F.count("*").alias("n"), F.max("asks").alias("asks")).where("n > 2 AND asks")
     wanted = close.select(F.col("a").alias("id")).union(close.select("b")).union(full.join(several, "key", "left_semi").select("id")).distinct()
     texts = cut(docs.join(own.join(wanted, "id", "left_semi"), ["doc_id", "h"]).dropDuplicates(["id"]).select("id", "text", "n_shingles", "sketch"))
     # The nearest hub of each set comes first; what that joins needs no other link.
@@ -398,7 +402,7 @@ def join_sets(docs: DataFrame) -> DataFrame:
     of = joined.union(joined.select(F.col("component").alias("id"), "component").distinct())
     sides = close.join(nearest, ["a", "b"], "left_anti").join(of.select(F.col("id").alias("a"), F.col("component").alias("c_a")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b", "left")
     rest = sides.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "part")
-    more = cut(verified(rest, texts).union(_across(full.select("key", "id", "asks"), joined, texts)))
+    more = cut(verified(rest, texts).union(_across(full, joined, texts)))
     if not more.isEmpty():
         joined = components(links.union(more))
     joined = joined.union(joined.select(F.col("component").alias("id"), "component").distinct())
