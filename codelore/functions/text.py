@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,16 @@ OPERATORS = r"->\*|<<=|>>=|\.\.\.|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||\+=|-=|\*
 TOKENS = "|".join([COMMENT, STRING, CHARACTER, PLACEHOLDER, NUMBER, NAME, OPERATORS, r"\S"])
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body looks at it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def single(tokens: Column, name: str) -> Column:
+    """Runs of a token as one."""
+    return bound(tokens, lambda known: F.filter(known, lambda t, i: ~((t == name) & (i > 0) & (F.get(known, i - 1) == name))))
+
+
 def canonicalize_code(code: Column, strict_lines: bool = False) -> Column:
     """Comments to newlines, blanks before a written-out newline and at the end off, placeholders to old names.
 
@@ -35,7 +47,7 @@ def tokenize_code(code: Column, literals: bool = True) -> Column:
     if not literals:
         return kept
     named = F.transform(kept, lambda t: F.when(t.rlike(r"^[\"']."), "String").when(t.rlike(r"^\.?\d"), "Number").otherwise(t))
-    return F.filter(named, lambda t, i: ~((t == "String") & (i > 0) & (F.get(named, i - 1) == "String")))
+    return single(named, "String")
 
 
 def tokenize_code_old_names(code: Column) -> Column:
@@ -64,8 +76,7 @@ def abstract_lines(code: Column) -> Column:
     def tokens(line: Column) -> Column:
         raw = F.regexp_extract_all(line, F.lit(f"({TOKENS})"), 1)
         named = F.transform(F.filter(raw, lambda t: t != "::"), lambda t: F.when(t.rlike(r"^[\"']."), "<LITERAL_STRING>").when(t.rlike(r"^\.?\d"), "<LITERAL_NUMBER>").otherwise(t))
-        single = F.filter(named, lambda t, i: ~((t == "<LITERAL_STRING>") & (i > 0) & (F.get(named, i - 1) == "<LITERAL_STRING>")))
-        return F.filter(single, lambda t, i: (i == 0) | ~(t.startswith("//") | t.startswith("/*")))
+        return F.filter(single(named, "<LITERAL_STRING>"), lambda t, i: (i == 0) | ~(t.startswith("//") | t.startswith("/*")))
 
     return F.filter(F.transform(lines, tokens), lambda x: F.size(x) > 0)
 
@@ -73,15 +84,15 @@ def abstract_lines(code: Column) -> Column:
 def hash_context(tokens: Column) -> Column:
     """Each placeholder as its digest in context: the tokens before it, chained with itself, chained with those from
     it on, other placeholders masked.  Digests are chained in hexadecimal."""
-    masked = F.transform(tokens, lambda t: F.when(t.startswith("@@"), "@@").otherwise(t))
 
-    def one(t: Column, i: Column) -> Column:
+    def one(t: Column, i: Column, masked: Column) -> Column:
         left = F.sha2(F.array_join(F.slice(masked, F.lit(1), i), " "), 256)
         own = F.sha2(F.concat(left, t), 256)
         right = F.sha2(F.concat(own, F.array_join(F.slice(masked, i + 1, F.size(masked) - i), " ")), 256)
         return F.when(t.startswith("@@"), right).otherwise(t)
 
-    return F.transform(tokens, one)
+    masked = F.transform(tokens, lambda t: F.when(t.startswith("@@"), "@@").otherwise(t))
+    return bound(masked, lambda known: F.transform(tokens, lambda t, i: one(t, i, known)))
 
 
 def rename_by_table(tokens: DataFrame, names: DataFrame, column: str) -> DataFrame:

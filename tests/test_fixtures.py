@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -35,6 +36,15 @@ def test_tokens(spark, text, want):
     assert one(spark, text, T.tokenize_code(F.col("v"))) == want
 
 
+def test_many_literals_take_linear_time(spark):
+    rows = spark.createDataFrame([("f(\"x\" y 'c' \"z\"); " * 10_000,), ("@@VAR_0@@a@@b " * 50,), (None,)], "v string")
+    began = time.time()
+    got = [r["t"] for r in rows.select(T.tokenize_code(F.col("v")).alias("t")).collect()]
+    assert got[0] == ["f", "(", "String", "y", "String", ")", ";"] * 10_000 and got[2] is None
+    lines = rows.select(T.abstract_lines(F.concat("v", F.lit("\n"))).alias("t")).collect()
+    assert len(lines[0]["t"][0]) == 70_000 and time.time() - began < 30
+
+
 def test_views_of_names(spark):
     tokens = T.tokenize_code(F.col("v"))
     text = "::g = @@VAR_1@@a1@@p;"
