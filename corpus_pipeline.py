@@ -37,9 +37,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as many times as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each row stands as many times as the mix takes it.
+
+    The mix decides by doc_id, source and size, nulls included, so that rows alike in all three stand equally often; a row
+    that it doesn't take, or one without words, goes.  Columns of any other name come along whatever they are called.
+    """
+    key = ("doc_id", "source", "size")
+    taken = mixing.mix(docs).where("copies > 0").groupBy(*key).agg(F.max("copies").cast("int").alias("copies")).select(F.struct(*key).alias("of"), "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct("doc_id", "source", mixing.word_count("text").alias("size")).alias("key"))
+    met = rows.join(taken, F.col("key").eqNullSafe(F.col("of")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
