@@ -424,5 +424,19 @@ def test_pipeline_by_plain_stages(spark):
         assert (r["n_tokens"], r["ids_sha256"]) == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest())
 
 
+def test_mixture_stage_takes_the_words_of_the_mix(spark):
+    """Repeated and missing doc_ids with texts of different sizes, sources without a name, and columns called like those of the mix."""
+    rows = [(i % 150 if i % 4 else None, "w " * (1 + i * 37 % 90), "en", [None, "a", "b", "a"][i % 4], i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.col("n_chars") for c in ("copies", "size", "of", "row", "key", "_id")})
+    got = corpus_pipeline.mixture(spark, docs, "")
+    assert got.columns == docs.columns
+    words = got.select(F.sum(mixing.word_count("text"))).first()[0]
+    mixed = mixing.mix(docs)
+    assert words == mixed.agg(F.sum("taken")).first()[0] > 0
+    want = Counter({(r["doc_id"], r["source"], r["size"]): r["n"] for r in mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n")).where("n > 0").collect()})
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in got.collect()) == want
+    assert corpus_pipeline.mixture(spark, docs.limit(0), "").count() == 0
+
+
 def test_queries_are_registered():
     assert len(queries.QUERIES) == 13 and all(n.startswith(f"op{i}_") for i, n in enumerate(queries.QUERIES, 1))
