@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelore.operators.features import numbered
+
 
 def length_stats(lengths: DataFrame, column: str) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.median(column), 6).alias("median"))
@@ -63,13 +65,15 @@ def mutual_information(rows: DataFrame, x: str, y: str, adjusted: bool = True) -
     return one.select(F.round("mi", 6).alias("mi"), F.round(F.col("mi") / middle, 6).alias("nmi"), F.round((F.col("mi") - F.col("emi")) / (middle - F.col("emi")), 6).alias("ami"))
 
 
-def shuffled(rows: DataFrame, key: str, y: str, seed: str, groups: int = 64) -> DataFrame:
-    """``y`` dealt anew by a seeded hash within groups of keys, each of which one task can order."""
-    group = F.pmod(F.col(key), F.lit(groups)).alias("_g")
-    draw = F.sha2(F.concat(F.lit(f"{seed}:"), key), 256)
-    own = rows.withColumn("_g", group).withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy(key)))
-    other = rows.select(group, F.col(y), draw.alias("_d"), F.col(key)).withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy("_d", key))).select("_g", "_i", F.col(y).alias("_y"))
-    return own.join(other, ["_g", "_i"]).drop(y, "_g", "_i").withColumnRenamed("_y", y)
+def shuffled(rows: DataFrame, key: str, y: str, seed: str) -> DataFrame:
+    """``y`` dealt anew over all rows: the n-th row by key gets that of the n-th row by a seeded hash of the key.
+
+    Both numberings go by ranges, so that no task orders everything; keys are to be unique.
+    """
+    draw = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    own = numbered(rows, key, into="_n")
+    other = numbered(rows.select(draw.alias("_d"), F.col(key).alias("_k"), F.col(y).alias("_y")), "_d", "_k", into="_n").select("_n", "_y")
+    return own.join(other, "_n").drop(y, "_n").withColumnRenamed("_y", y)
 
 
 def legacy_stats(variables: DataFrame, trees: DataFrame) -> DataFrame:

@@ -52,26 +52,32 @@ def parent_child_edges(nodes: DataFrame, both_ways: bool = False) -> DataFrame:
 
 
 def subtree_size(nodes: DataFrame) -> DataFrame:
-    """``tree, node_id, size``: every node counts for itself and for its ancestors.
+    """``tree, node_id, size``: every row of a node counts for the node and for its ancestors, of which one a level is taken.
 
-    A join a level up, of nodes that count together already, as long as any node has one above it; parents that
-    go in a circle are an error.
+    Pointers double: after k rounds a node has counted what lies less than 2**k levels below it, and points 2**k levels up.
+    A chain of n nodes takes log n rounds.  A parent that is no node of its tree counts what is below it.  Pointers that are
+    still there when they would have passed every node of the largest tree go in a circle, which is an error.
     """
     from codelore.operators.lineage import cut
 
-    up = cut(nodes.select("tree", F.col("node_id").alias("_child"), F.col("parent").alias("_up")))
-    level = up.groupBy("tree", F.col("_child").alias("node_id")).agg(F.count("*").alias("size"))
-    counted, most, levels = level, None, 0
+    own = nodes.select("tree", "node_id", F.lit(1).cast("long").alias("size"), F.col("parent").alias("up"))
+    absent = nodes.where("parent is not null").select("tree", F.col("parent").alias("node_id"), F.lit(0).cast("long").alias("size"), F.lit(None).cast(nodes.schema["parent"].dataType).alias("up"))
+    state = cut(own.union(absent).groupBy("tree", "node_id").agg(F.sum("size").alias("size"), F.max("up").alias("up")))
+    reach, most = 1, None
     while True:
-        above = level.withColumnRenamed("node_id", "_child").join(up, ["tree", "_child"]).where("_up is not null")
-        level = cut(above.groupBy("tree", F.col("_up").alias("node_id")).agg(F.sum("size").alias("size")))
-        if level.isEmpty():
-            return counted.groupBy("tree", "node_id").agg(F.sum("size").alias("size"))
-        counted, levels = counted.unionByName(level), levels + 1
-        if levels == 16:  # deep trees only are worth the count
-            most = up.groupBy("tree").count().agg(F.max("count")).first()[0]
-        if most is not None and levels >= most:
+        pointing = state.where("up is not null")
+        if pointing.isEmpty():
+            return state.select("tree", "node_id", "size")
+        if reach >= 64 and most is None:  # deep trees only are worth the count
+            most = state.groupBy("tree").count().agg(F.max("count")).first()[0]
+        if most is not None and reach > most:
             raise ValueError("parents go in a circle")
+        sums = pointing.groupBy("tree", F.col("up").alias("_u")).agg(F.sum("size").alias("_below"))
+        above = state.select(F.col("tree").alias("_t"), F.col("node_id").alias("_n"), F.col("up").alias("_next"))
+        grown = state.join(sums.withColumnRenamed("tree", "_st"), (F.col("tree") == F.col("_st")) & (F.col("node_id") == F.col("_u")), "left").drop("_st", "_u")
+        moved = grown.join(above, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_n")), "left")
+        state = cut(moved.select("tree", "node_id", (F.col("size") + F.coalesce("_below", F.lit(0))).alias("size"), F.col("_next").alias("up")))
+        reach *= 2
 
 
 def terminal_nodes(nodes: DataFrame) -> DataFrame:

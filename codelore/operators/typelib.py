@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelore.functions import ctypes as C
+from codelore.operators.features import numbered
 
 
 def build_typelib(variables: DataFrame) -> DataFrame:
@@ -61,16 +62,25 @@ def layouts(types: DataFrame) -> DataFrame:
 
 
 def layout_index(types: DataFrame, largest: int = 1024) -> DataFrame:
-    """Types by (accessible, starts); larger ones are left out."""
+    """``layout_id, accessible, starts, size`` of the distinct layouts, numbered in order; larger ones are left out.
+
+    Which types have a layout stands in ``layout_names`` alone, so that what matches a layout carries a number.
+    """
     kept = layouts(types).where(F.col("size") <= largest)
-    return kept.groupBy("accessible", "starts").agg(F.min("size").alias("size"), F.array_sort(F.collect_set("name")).alias("names"))
+    return numbered(kept.groupBy("accessible", "starts").agg(F.min("size").alias("size")), "accessible", "starts", into="layout_id")
+
+
+def layout_names(types: DataFrame, index: DataFrame) -> DataFrame:
+    """``layout_id, name``, a row a name of each layout."""
+    return layouts(types).join(index.select("layout_id", "accessible", "starts"), ["accessible", "starts"]).select("layout_id", "name").distinct()
 
 
 def next_replacements(stack: DataFrame, index: DataFrame, typelib_sizes: DataFrame) -> DataFrame:
-    """For each layout (id, accessible, starts) and library size that cuts it at a legal place: the types with just
-    that part, and what remains.  Nothing unless the first accessible byte is the first start.
+    """``id, cut, layout_id, rest_accessible, rest_starts``: for each layout (id, accessible, starts) and library size that
+    cuts it at a legal place, the layout of just that part, null if no type has it, and what remains.
 
-    Only sizes within a layout's length meet it, before any index is looked up.
+    Nothing unless the first accessible byte is the first start.  Only sizes within a layout's length meet it, before any
+    index is looked up.
     """
     span = stack.where((F.size("accessible") > 0) & (F.size("starts") > 0)).withColumn("_first", F.element_at("accessible", 1))
     span = span.where(F.col("_first") == F.element_at("starts", 1)).withColumn("_length", F.element_at("accessible", -1) - F.col("_first") + 1)
@@ -82,35 +92,62 @@ def next_replacements(stack: DataFrame, index: DataFrame, typelib_sizes: DataFra
     none, some = F.size("rest_starts") == 0, F.size("rest_starts") > 0
     parts = parts.where((none & (F.size("rest_accessible") == 0)) | (some & (F.get("rest_accessible", F.lit(0)) == F.get("rest_starts", F.lit(0)))))
     parts = parts.withColumnsRenamed({"_inner": "accessible", "_inner_starts": "starts"})
-    found = index.select("accessible", "starts", "names")
-    return parts.join(found, ["accessible", "starts"], "left").select("id", "cut", F.coalesce("names", F.array().cast("array<string>")).alias("names"), "rest_accessible", "rest_starts")
+    found = index.select("accessible", "starts", "layout_id")
+    return parts.join(found, ["accessible", "starts"], "left").select("id", "cut", "layout_id", "rest_accessible", "rest_starts")
 
 
-def valid_layout(stack: DataFrame, wanted: DataFrame, index: DataFrame, lib: DataFrame) -> DataFrame:
+def valid_layout(stack: DataFrame, wanted: DataFrame, index: DataFrame, names: DataFrame, lib: DataFrame) -> DataFrame:
     """Whether the types of wanted(id, names) can be taken in turn from each layout; bytes left over are allowed.
 
-    One join a place of the longest list.
+    ``names`` has a row a (layout_id, name).  One join a place of the longest list; a place that several cuts fit takes the
+    smallest one.
     """
     from codelore.operators.lineage import cut
 
     longest = wanted.agg(F.max(F.size("names"))).first()[0] or 0
-    state = stack.join(wanted, "id").withColumn("at", F.lit(0))
+    state = stack.join(wanted, "id")
     done = state.where(F.size("names") == 0).select("id")
     for k in range(longest):
         open_ = state.where(F.size("names") > k).select("id", "accessible", "starts", "names")
-        step = next_replacements(open_.select("id", "accessible", "starts"), index, lib.select("size").distinct())
-        hit = step.withColumnRenamed("names", "found").join(open_.select("id", "names"), "id").where(F.array_contains("found", F.get("names", F.lit(k))))
+        step = next_replacements(open_.select("id", "accessible", "starts"), index, lib.select("size").distinct()).where("layout_id is not null")
+        asked = step.join(open_.select("id", "names", F.get("names", F.lit(k)).alias("name")), "id")
+        hit = asked.join(names.select("layout_id", "name"), ["layout_id", "name"], "left_semi")
         state = hit.groupBy("id").agg(F.min_by(F.struct("rest_accessible", "rest_starts", "names"), "cut").alias("x")).select("id", F.col("x.rest_accessible").alias("accessible"), F.col("x.rest_starts").alias("starts"), F.col("x.names").alias("names"))
         state = cut(state) if k + 1 < longest else state
         done = done.union(state.where(F.size("names") == k + 1).select("id"))
     return wanted.select("id").join(done.distinct().withColumn("valid", F.lit(True)), "id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
+SHAPE = ["size", "accessible", "inaccessible", "starts"]
+
+
+def layout_classes(rows: DataFrame) -> DataFrame:
+    """Distinct shapes of layouts with the number of names that have each and the first of them."""
+    return rows.groupBy(*SHAPE).agg(F.count("*").alias("n"), F.min("name").alias("first"))
+
+
+def replaceable_classes(one: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of classes, the second one's starts, number and first name as ``other_starts``, ``other_n`` and ``other_first``.
+
+    Equal size, accessible and inaccessible bytes, and starts within the other's: the join grows with the number of distinct
+    shapes, whatever the number of types that share one.
+    """
+    b = others.select("size", "accessible", "inaccessible", *(F.col(c).alias(f"other_{c}") for c in ("starts", "n", "first")))
+    return one.join(b, SHAPE[:3]).where(F.size(F.array_except("starts", "other_starts")) == 0)
+
+
+def replaceable_counts(one: DataFrame, others: DataFrame) -> DataFrame:
+    """``name, n, first``: how many of the other layouts can stand for each, and the first of their names."""
+    pairs = replaceable_classes(layout_classes(one), layout_classes(others))
+    sums = pairs.groupBy(*SHAPE).agg(F.sum("other_n").alias("n"), F.min("other_first").alias("first"))
+    return one.join(sums, SHAPE).select("name", "n", "first")
+
+
 def replaceable_with(one: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs (name, other) of layouts: equal size, accessible and inaccessible bytes, and starts within the other's."""
-    b = others.select(F.col("name").alias("other"), "size", "accessible", "inaccessible", F.col("starts").alias("other_starts"))
-    joined = one.join(b, ["size", "accessible", "inaccessible"])
-    return joined.where(F.size(F.array_except("starts", "other_starts")) == 0).select("name", "other")
+    """Every pair (name, other) of layouts of which the second can stand for the first; as many rows as there are pairs."""
+    pairs = replaceable_classes(layout_classes(one), layout_classes(others)).select(*SHAPE, "other_starts")
+    named = one.join(pairs, SHAPE).select("name", "size", "accessible", "inaccessible", F.col("other_starts").alias("starts"))
+    return named.join(others.select(F.col("name").alias("other"), *SHAPE), SHAPE).select("name", "other")
 
 
 def stack_layout(variables: DataFrame) -> DataFrame:
@@ -146,16 +183,40 @@ def union_padding(members: DataFrame) -> DataFrame:
     return members.groupBy("id").agg((F.max("total") - F.max("size")).alias("padding"))
 
 
+#: Rounds of a closure that go one step on; what is deeper goes on in steps of doubled length.
+STEPS = 5
+
+
 def type_closure(types: DataFrame, references: DataFrame) -> DataFrame:
-    """Types (name) and all that references(name, target) lead to; cycles end because a name is new only once."""
+    """Types (name) and all that references(name, target) lead to; null targets lead nowhere, circles end.
+
+    A round goes on from what is new, and only that is written.  Few libraries are deeper than some steps; in one that is,
+    references are joined with themselves, so that each round doubles the length of the steps that all names
+    found take, and a chain of n references ends after log n rounds.
+    """
     from codelore.operators.lineage import cut
 
-    seen = new = cut(types.select("name").distinct())
-    while not new.isEmpty():
-        reached = references.join(new, "name", "left_semi").select(F.col("target").alias("name")).where("name is not null").distinct()
-        new = cut(reached.join(seen, "name", "left_anti"))
+    edges = references.where("name is not null AND target is not null").select("name", "target").distinct()
+    found = [cut(types.select("name").distinct())]
+    seen = found[0]
+
+    def fresh(reached: DataFrame) -> DataFrame:
+        return cut(reached.select(F.col("target").alias("name")).distinct().join(seen, "name", "left_anti"))
+
+    for _ in range(STEPS):
+        found.append(fresh(edges.join(found[-1], "name", "left_semi")))
+        if found[-1].isEmpty():
+            return seen
+        seen = seen.union(found[-1])
+    # Names found so far are those within STEPS steps; ``edges`` now takes 2**k steps at once from any name.
+    seen, edges = cut(seen), cut(edges)
+    while True:
+        new = fresh(edges.join(seen, "name", "left_semi"))
+        longer = edges.join(edges.select(F.col("name").alias("target"), F.col("target").alias("_to")), "target").select("name", F.col("_to").alias("target"))
+        edges = cut(longer.where("name <> target").distinct())
+        if new.isEmpty() and fresh(references.where("target is not null").join(seen, "name", "left_semi")).isEmpty():
+            return seen
         seen = cut(seen.union(new))
-    return seen
 
 
 def type_pieces(types: DataFrame) -> DataFrame:

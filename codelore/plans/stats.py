@@ -46,8 +46,8 @@ def l4(spark, d):
     return S.mutual_information(views.table(spark, d, "orders"), "o_orderpriority", "o_orderstatus")
 
 
-@query("l5_shuffled_mutual_information", mi_sql("""SELECT p.x, q.y FROM (SELECT o_orderkey % 64 AS g, row_number() OVER (PARTITION BY o_orderkey % 64 ORDER BY o_orderkey) AS i, o_orderpriority AS x FROM orders) p
-    JOIN (SELECT o_orderkey % 64 AS g, row_number() OVER (PARTITION BY o_orderkey % 64 ORDER BY sha256(concat('7:', o_orderkey)), o_orderkey) AS i, o_orderstatus AS y FROM orders) q USING (g, i)"""))
+@query("l5_shuffled_mutual_information", mi_sql("""SELECT p.x, q.y FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderpriority AS x FROM orders) p
+    JOIN (SELECT row_number() OVER (ORDER BY sha256(concat('7:', o_orderkey)), o_orderkey) AS i, o_orderstatus AS y FROM orders) q USING (i)"""))
 def l5(spark, d):
     rows = views.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     return S.mutual_information(S.shuffled(rows, "o_orderkey", "o_orderstatus", "7"), "o_orderpriority", "o_orderstatus")

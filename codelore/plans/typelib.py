@@ -86,7 +86,7 @@ def d9(spark, d):
     AND len(list_filter(a.starts, lambda x: NOT list_contains(b.starts, x))) = 0 GROUP BY a.func""", "layouts"))
 def d10(spark, d):
     rows = L.layouts(structs(spark, d).withColumn("name", F.col("func")))
-    return L.replaceable_with(rows, rows).groupBy(F.col("name").alias("func")).agg(F.count("*").alias("n"), F.min("other").alias("first"))
+    return L.replaceable_counts(rows, rows).withColumnRenamed("name", "func")
 
 
 def library(spark, d):
@@ -138,8 +138,14 @@ def d17(spark, d):
 
 @query("d18_layout_index", sql("SELECT array_to_string(accessible, ',') AS accessible, array_to_string(starts, ',') AS starts, count(*) AS names, min(func) AS first FROM layouts WHERE size <= 1024 GROUP BY ALL", "layouts"))
 def d18(spark, d):
-    index = L.layout_index(structs(spark, d).withColumn("name", F.col("func")))
-    return index.select(joined("accessible").alias("accessible"), joined("starts").alias("starts"), F.size("names").cast("long").alias("names"), F.element_at("names", 1).alias("first"))
+    types = structs(spark, d).withColumn("name", F.col("func"))
+    index = L.layout_index(types)
+    return index.join(counted(types, index), "layout_id").select(joined("accessible").alias("accessible"), joined("starts").alias("starts"), "names", "first")
+
+
+def counted(types, index):
+    """Number and first of the names of each layout."""
+    return L.layout_names(types, index).groupBy("layout_id").agg(F.count("*").alias("names"), F.min("name").alias("first"))
 
 
 def stack_rows(spark, d):
@@ -155,11 +161,10 @@ def stack_rows(spark, d):
     WHERE (len(rest) = 0 AND len(rest_starts) = 0) OR (len(rest_starts) > 0 AND rest[1] = rest_starts[1])""", "layouts", "stack"))
 def d19(spark, d):
     types = structs(spark, d).withColumn("name", F.col("func"))
-    index = L.layout_index(types).withColumn("names", F.transform("names", lambda n: n.cast("string")))
+    index = L.layout_index(types)
     lib = L.sizes(types.select(C.type_size(x()).alias("size")))
-    out = L.next_replacements(stack_rows(spark, d).withColumnRenamed("func", "id"), index, lib)
-    first = F.array_min(F.transform("names", lambda n: n.cast("long")))
-    return out.select("id", "cut", F.size("names").cast("long").alias("names"), first.alias("first"), joined("rest_accessible").alias("rest"))
+    out = L.next_replacements(stack_rows(spark, d).withColumnRenamed("func", "id"), index, lib).join(counted(types, index), "layout_id", "left")
+    return out.select("id", "cut", F.coalesce("names", F.lit(0)).cast("long").alias("names"), "first", joined("rest_accessible").alias("rest"))
 
 
 @query("d20_valid_layout", sql("""SELECT st.func AS id, st.accessible[1] = st.starts[1] AND EXISTS (SELECT 1 FROM (SELECT DISTINCT size FROM layouts) z JOIN layouts i ON i.size <= 1024
@@ -172,10 +177,10 @@ def d20(spark, d):
     types = structs(spark, d).withColumn("name", F.col("func"))
     rows = L.layouts(types)
     one = rows.where((F.col("size") == F.size("accessible")) & (F.size("starts") == 1) & (F.col("size") == 1)).agg(F.min("name").alias("name"))
-    index = L.layout_index(types).withColumn("names", F.transform("names", lambda n: n.cast("string")))
+    index = L.layout_index(types)
     stack = stack_rows(spark, d).select(F.col("func").alias("id"), "accessible", "starts")
-    wanted = stack.select("id").crossJoin(F.broadcast(one)).select("id", F.array(F.col("name").cast("string")).alias("names"))
-    return L.valid_layout(stack, wanted, index, rows.select("size"))
+    wanted = stack.select("id").crossJoin(F.broadcast(one)).select("id", F.array("name").alias("names"))
+    return L.valid_layout(stack, wanted, index, L.layout_names(types, index), rows.select("size"))
 
 
 @query("d21_stack_layout", sql("SELECT func, array_to_string(accessible, ',') AS accessible, array_to_string(starts, ',') AS starts, meets FROM stack", "stack"))
@@ -196,7 +201,8 @@ def d22(spark, d):
     UNION SELECT p_partkey * 7 % m + 1 FROM c JOIN part ON p_partkey = name, m WHERE p_size % 2 = 0) SELECT name FROM c""")
 def d23(spark, d):
     p = views.table(spark, d, "part")
-    refs = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") * 7 % F.lit(p.count()) + 1).alias("target"))
+    total = p.agg(F.count("*").alias("m"))
+    refs = p.where("p_size % 2 = 0").crossJoin(F.broadcast(total)).select(F.col("p_partkey").alias("name"), (F.col("p_partkey") * 7 % F.col("m") + 1).alias("target"))
     return L.type_closure(p.where("p_size = 4").select(F.col("p_partkey").alias("name")), refs)
 
 

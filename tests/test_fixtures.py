@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import random
 import time
 from collections import Counter
@@ -85,12 +86,58 @@ def test_types(spark, json, text, size, starts, accessible, inaccessible, tokens
     assert sorted(got[3] + got[4]) == list(range(size))
 
 
+def layout_tables(spark, rows):
+    """The dictionary and the postings of (accessible, starts, size, names)."""
+    index = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "layout_id long, accessible array<long>, starts array<long>, size long")
+    return index, spark.createDataFrame([(i, n) for i, r in enumerate(rows) for n in r[3]], "layout_id long, name string")
+
+
 def test_next_replacements(spark):
-    index = spark.createDataFrame([([0, 1, 2, 3], [0], 4, ["float", "int"]), (list(range(8)), [0], 8, ["char *", "double"])], "accessible array<long>, starts array<long>, size long, names array<string>")
+    index, names = layout_tables(spark, [([0, 1, 2, 3], [0], 4, ["float", "int"]), (list(range(8)), [0], 8, ["char *", "double"])])
     sizes = spark.createDataFrame([(4,), (8,)], "size long")
     stack = spark.createDataFrame([(1, list(range(8)), [0, 4]), (2, list(range(8)), [0]), (3, [1, 2], [2])], "id long, accessible array<long>, starts array<long>")
-    got = {(r["id"], r["cut"]): (r["names"], r["rest_accessible"], r["rest_starts"]) for r in typelib.next_replacements(stack, index, sizes).collect()}
-    assert got == {(1, 4): (["float", "int"], [4, 5, 6, 7], [4]), (1, 8): ([], [], []), (2, 8): (["char *", "double"], [], [])}
+    got = {(r["id"], r["cut"]): (r["layout_id"], r["rest_accessible"], r["rest_starts"]) for r in typelib.next_replacements(stack, index, sizes).collect()}
+    assert got == {(1, 4): (0, [4, 5, 6, 7], [4]), (1, 8): (None, [], []), (2, 8): (1, [], [])}
+
+
+def test_layout_dictionary(spark):
+    structs = ['{"T":1,"n":"int","s":4}', '{"T":1,"n":"float","s":4}', '{"T":3,"t":"char"}', STRUCT, '{"T":1,"n":"huge","s":2000}']
+    types = spark.createDataFrame(list(enumerate(structs)), "name long, j string").select("name", C.decode_type(F.col("j")).alias("type"))
+    index = typelib.layout_index(types)
+    rows = {r["layout_id"]: r["size"] for r in index.collect()}
+    assert sorted(rows.values()) == [4, 8, 24] and sorted(rows) == [0, 1, 2]
+    of = {}
+    for r in typelib.layout_names(types, index).collect():
+        of.setdefault(rows[r["layout_id"]], set()).add(r["name"])
+    assert of == {4: {0, 1}, 8: {2}, 24: {3}}
+
+
+def test_replaceable_by_classes(spark):
+    draw = random.Random(3)
+    rows = []
+    for i in range(120):
+        size = draw.choice((4, 8))
+        rows.append((i, size, list(range(size)), [], sorted({0, *draw.sample(range(size), draw.randint(0, 2))})))
+    table = spark.createDataFrame(rows, "name long, size long, accessible array<long>, inaccessible array<long>, starts array<long>")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and set(a[4]) <= set(b[4])}
+    assert {tuple(r) for r in typelib.replaceable_with(table, table).collect()} == want
+    got = {r["name"]: (r["n"], r["first"]) for r in typelib.replaceable_counts(table, table).collect()}
+    assert got == {a: (sum(x == a for x, _ in want), min(y for x, y in want if x == a)) for a in got} and len(got) == 120
+
+
+def test_closure_of_a_long_chain_and_circles(spark):
+    chain = [(f"a{i}", f"a{i + 1}") for i in range(3000)] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("c1", None), ("a5", "a5"), ("x", "y")]
+    refs = spark.createDataFrame(chain, "name string, target string")
+    got = {r["name"] for r in typelib.type_closure(spark.createDataFrame([("a0",), ("c1",), ("a0",)], "name string"), refs).collect()}
+    assert got == {f"a{i}" for i in range(3001)} | {"c0", "c1", "c2"}
+    assert typelib.type_closure(refs.select("name").limit(0), refs).count() == 0
+
+
+def test_permutation_over_all_rows(spark):
+    rows = [(i, i % 7) for i in range(500)]
+    got = [tuple(r) for r in stats.shuffled(spark.createDataFrame(rows, "k long, y long").repartition(5), "k", "y", "7").orderBy("k").select("k", "y").collect()]
+    drawn = sorted(rows, key=lambda r: hashlib.sha256(f"7:{r[0]}".encode()).hexdigest())
+    assert got == [(i, y) for (i, _), (_, y) in zip(rows, drawn)]
 
 
 def test_vocabulary(spark):
@@ -192,16 +239,19 @@ def test_deep_trees_and_circles(spark):
     got = {(r["tree"], r["node_id"]): r["size"] for r in trees.subtree_size(spark.createDataFrame(chain, "tree long, node_id long, parent long")).collect()}
     assert got == {(1, i): 30 - i for i in range(30)} | {(2, 0): 1}
     assert trees.subtree_size(spark.createDataFrame([], "tree long, node_id long, parent long")).count() == 0
+    deep = spark.createDataFrame([(1, i, i - 1 if i else None) for i in range(10_000)] + [(2, 7, 99), (2, 8, 7)], "tree long, node_id long, parent long")
+    got = {(r["tree"], r["node_id"]): r["size"] for r in trees.subtree_size(deep).collect()}
+    assert got == {(1, i): 10_000 - i for i in range(10_000)} | {(2, 7): 2, (2, 8): 1, (2, 99): 2}
     with pytest.raises(ValueError, match="circle"):
         trees.subtree_size(spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "tree long, node_id long, parent long"))
 
 
 def test_layouts_against_lists_of_any_length(spark):
-    index = spark.createDataFrame([(list(range(4)), [0], 4, ["int"]), (list(range(8)), [0], 8, ["long"])], "accessible array<long>, starts array<long>, size long, names array<string>")
+    index, named = layout_tables(spark, [(list(range(4)), [0], 4, ["int"]), (list(range(8)), [0], 8, ["long"])])
     cases = [(["int", "int", "long"], True), (["long", "int"], False), ([], True), (["int", "int"], True), (["int", "int", "long", "int"], False), (["int", "long"], False)]
     stack = spark.createDataFrame([(i, list(range(16)), [0, 4, 8]) for i in range(len(cases))], "id long, accessible array<long>, starts array<long>")
     wanted = spark.createDataFrame([(i, names) for i, (names, _) in enumerate(cases)], "id long, names array<string>")
-    got = {r["id"]: r["valid"] for r in typelib.valid_layout(stack, wanted, index, index.select("size")).collect()}
+    got = {r["id"]: r["valid"] for r in typelib.valid_layout(stack, wanted, index, named, index.select("size")).collect()}
     assert got == {i: valid for i, (_, valid) in enumerate(cases)}
 
 
