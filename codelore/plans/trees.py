@@ -12,7 +12,7 @@ from codelore.plans.vocab import vocab_sql
 from codelore.plans.views import sql
 
 EDGES = "SELECT tree, parent AS src, node_id AS dst FROM v5 WHERE parent IS NOT NULL"
-LEAVES = "SELECT tree, node_id FROM v5 ANTI JOIN (SELECT tree, parent AS node_id FROM v5 WHERE parent IS NOT NULL) USING (tree, node_id)"
+LEAVES = "SELECT v.tree, v.node_id FROM v5 v LEFT JOIN (SELECT tree, parent FROM v5 WHERE parent IS NOT NULL GROUP BY ALL) u ON u.tree = v.tree AND u.parent = v.node_id WHERE u.parent IS NULL"
 MENTIONS = "SELECT user_id AS tree, event_type AS variable, ts, event_id AS node_id FROM events"
 
 
