@@ -24,9 +24,8 @@ from .subwords import labelled_sample
 #: Words are many; with fewer buckets clean ones would share those of toxic ones.
 BITS = 22
 PREFIXES = (3, 4, 5, 6)
-#: Most labelled rows of the clean and of the toxic class that a model is fitted on, words in a training segment, and
-#: segments that a document gives at most, evenly spaced.
-SAMPLE, SEGMENT, SEGMENTS = (3000, 1500), 60, 24
+#: Most labelled rows of the clean and of the toxic class that a model is fitted on, and words in a training segment.
+SAMPLE, SEGMENT = (2000, 1500), 60
 #: How much commoner in toxic documents a feature that labels is, and the share of chance finds among such features.
 RATIO, RATE = 12, 0.01
 CHUNK = 1 << 20
@@ -168,8 +167,8 @@ def speaking(toxic: np.ndarray, both: np.ndarray, n: int, m: int, features: int)
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[int, int] = SAMPLE, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> Field:
     """Fit on at most ``most`` labelled rows, by class.  Without words that speak, every word gets odds near nought.
 
-    What reaches the driver is bounded: the sampled ids with 8 keys each, the common features, of 2**BITS at most, and
-    at most SEGMENTS segments a sampled document.
+    Whole texts of the sampled rows teach.  What reaches the driver is bounded by the number of these rows: their ids with 8
+    keys each, the common features, of 2**BITS at most, and their words in segments.
     """
     sample, _ = labelled_sample(docs, labels, label, most)
 
@@ -228,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
                 tags = speaks[own].any(axis=0) & bool(is_toxic)
                 # In toxic documents the words between labelled ones may be toxic too: only segments with a label teach.
                 at = [k for k in range(0, own.shape[1], SEGMENT) if not is_toxic or tags[k : k + SEGMENT].any()]
-                for k in at[:: -(-len(at) // SEGMENTS)] if at else ():
+                for k in at:
                     part = own[:, k : k + SEGMENT]
                     found.append((i, k, np.where(common[part], part, 0).astype("<i4").tobytes(), tags[k : k + SEGMENT].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "at", "own", "tags"])
