@@ -16,14 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, Texts, give_back, held_out, mixed, string_chunks
+from .common import Rolling, Texts, give_back, held_out, string_chunks
 
 GRAMS = (3, 4, 5)
 BITS = 17
 #: Most labelled rows of each class that a model is fitted on.
 SAMPLE = (1000, 1000)
-#: Distinct features of a sampled row that take part in the fit, those of the least hashes; scoring takes all.
-LEARNT = 8192
 #: Bytes of text that are turned into features at once; an n-gram takes some 150 bytes meanwhile.
 CHUNK = 1 << 18
 
@@ -89,7 +87,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int] = SAMPLE, dim: int = 10, epochs: int = 5, rate: float = 0.3, layer_rate: float = 0.1, seed: int = 11) -> Model:
-    """Fit on the sample.  With fewer than two classes the constant that the labels give, 0.5 without any."""
+    """Fit on the sample, whose texts teach as a whole: at most 2**BITS features a row.  With fewer than two classes the constant that the labels give, 0.5 without any."""
     sample, counts = labelled_sample(docs, labels, label, most)
 
     def run(batches):
@@ -99,9 +97,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int] =
                 buckets, texts = features(chunk)
                 for i in range(len(chunk)):
                     ids, n = np.unique(buckets[texts == i], return_counts=True)
-                    if len(ids) > LEARNT:
-                        least = np.sort(np.argsort(mixed(ids.astype(np.uint64)), kind="stable")[:LEARNT])
-                        ids, n = ids[least], n[least]
                     out.append((ids.astype("<i4").tobytes(), (n / max(n.sum(), 1)).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["doc_id", "label", "ids", "share"])
 
