@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from hashlib import sha256
 from struct import pack
 
 import ahocorasick
@@ -18,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import string_chunks
@@ -187,7 +187,19 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """A row a document: its number of tokens, and the digests of its ids and of what they decode to."""
-    both = decode(encode(df.select("doc_id", "text"), path, pattern), path, pattern)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """A row a document: its number of tokens, and the digests of its ids and of what they decode to.
 
+    One worker encodes and decodes each text, and only digests leave it.
+    """
+
+    def run(batches):
+        codec = load(path, pattern)
+        for batch in batches:
+            rows: list[tuple[int, str, str]] = []
+            for _, chunk in string_chunks(batch.column("text")):
+                for ids in codec.encode([chunk.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(chunk.at, chunk.at[1:])]):
+                    rows.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(codec.decode(ids)).hexdigest()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
