@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,9 +87,11 @@ def layout_vector(code: Column, size: Column, starts: Column) -> Column:
 
 
 #: Pairs that a round looks at, merges that it makes, at most, and merges after which the lineage is cut.
-BATCH, ROUND, CUT = 64, 8, 24
+BATCH, ROUND, CUT = 512, 32, 48
 #: Around each part of a word: code points that stand for no character and are not for interchange.
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
+#: The first ids of a subword vocabulary, and characters of words that one group of ``apply_bpe`` holds, on average.
+PIECE_SPECIALS, GROUP = ["<pad>", "<s>", "</s>", "<unk>"], 1 << 22
 
 
 def parted(word: Column) -> Column:
@@ -92,49 +99,92 @@ def parted(word: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.concat(F.lit(OPEN), c, F.lit(CLOSE))), "")
 
 
-def learn_bpe(words: DataFrame, merges: int) -> DataFrame:
+def _any_of(marked: Sequence[str]) -> str:
+    """A pattern for the marked tokens, of those that begin at one place the longest; nothing without tokens."""
+    return "|".join(re.escape(m) for m in sorted(set(marked), key=lambda m: (-len(m), m)) if m)
+
+
+def unmarked(words: DataFrame, marked: Sequence[str] = ()) -> DataFrame:
+    """``word, freq`` of what lies around the marked tokens of words(word, freq), equal parts added up."""
+    kept = words.where("word <> ''")
+    if _any_of(marked):
+        kept = kept.select(F.explode(F.split("word", _any_of(marked))).alias("word"), "freq").where("word <> ''")
+    return kept.groupBy("word").agg(F.sum("freq").alias("freq"))
+
+
+def learn_bpe(words: DataFrame, merges: int, marked: Sequence[str] = ()) -> DataFrame:
     """``rank, left, right`` of the merges learnt from words(word, freq): the commonest pair, then by text.
 
-    Each round counts the adjacent pairs in parallel, takes as many merges as are sure, and rewrites the words.
+    Marked tokens stand for themselves: no merge reaches into or across one.  Null and empty words teach nothing.  The
+    counts of pairs are a table of their own; a round corrects it by the words that its merges have changed, takes as
+    many merges as are sure, and looks at the next.  Words that are one part drop out when the lineage is cut.
     """
     spark = words.sparkSession
-    state, since = cut(words.select(parted(F.col("word")).alias("p"), "freq")), 0
+    state = cut(unmarked(words, marked).select(parted(F.col("word")).alias("p"), "freq"))
+    counts = cut(pair_counts(state))
     found: list[tuple[str, str]] = []
+    made: list[tuple[str, str]] = []  # since the last cut
     while len(found) < merges:
-        ranked = pair_counts(state).orderBy(F.desc("n"), "left", "right").limit(BATCH).collect()
+        # Of the words that the merges since then have changed, the pairs of now for those of then.
+        both = F.array(F.struct("p", "freq"), F.struct(F.col("was").alias("p"), (-F.col("freq")).alias("freq")))
+        moved = _rewritten(state, made).where("p <> was").select(F.inline(both))
+        now = counts.unionByName(pair_counts(moved)).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0") if made else counts
+        if len(made) >= CUT:
+            counts = now = cut(now)
+            state, made = cut(_rewritten(state, made).select("p", "freq").where(F.col("p").contains(CLOSE + OPEN))), []
+        ranked = now.orderBy(F.desc("n"), "left", "right").limit(BATCH).collect()
         sure = _sure(ranked, {a + b for a, b in found})[: merges - len(found)]
         if not sure:
             break
-        found, since = found + sure, since + len(sure)
-        parts = F.col("p")
-        for left, right in sure:
-            # Each part has marks of its own, so that the replacement goes on right after the last one.
-            parts = F.replace(parts, F.lit(f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}"), F.lit(f"{OPEN}{left}{right}{CLOSE}"))
-        state = state.withColumn("p", parts)
-        if since >= CUT:
-            state, since = cut(state), 0
+        found, made = found + sure, made + sure
     return spark.createDataFrame([(k, *pair) for k, pair in enumerate(found)], "rank long, left string, right string")
 
 
+def _rewritten(state: DataFrame, made: list[tuple[str, str]]) -> DataFrame:
+    """``was, p, freq`` of state(p, freq), before and after the merges."""
+    if not made:
+        return state.select(F.col("p").alias("was"), "p", "freq")
+    # Each part has marks of its own, so that a replacement goes on right after the last one.
+    steps = F.array(*[F.array(F.lit(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}"), F.lit(f"{OPEN}{a}{b}{CLOSE}")) for a, b in made])
+    after = F.reduce(steps, F.col("p"), lambda p, m: F.replace(p, m[0], m[1]))
+    # As a row of its own the text is computed once, however often it is looked at.
+    return state.select(F.col("p").alias("was"), "freq", F.explode(F.array(after)).alias("p"))
+
+
 def _sure(ranked: list, made: set[str]) -> list[tuple[str, str]]:
     """The next merges, of pairs in their order, as merging one after the other would choose them.
 
-    Pairs without a part in common leave each other's counts alone.  A pair that a merge brings about is no commoner than
-    one before it that shares a part with the merge, unless it brings about a part ``made`` before: while pairs
-    are commoner than the first of these, the order holds.
+    Merging (a, b) changes only pairs that end in a or begin with b.  The pairs that it brings about are no commoner than
+    the changed ones that they come from, unless ``made`` already holds the part ab.  So the order holds up to the first
+    changed pair, or to the first part that was made before; of pairs as common as a changed one, those before
+    all that it may turn into.
     """
     taken: list = []
-    parts: set[str] = set()
+    ends: set[str] = set()
+    starts: set[str] = set()
     for r in ranked:
-        if taken and ({r["left"], r["right"]} & parts or r["left"] + r["right"] in made or len(taken) == ROUND):
+        if r["right"] in ends or r["left"] in starts or len(taken) == ROUND:
             break
-        if r["left"] + r["right"] in made:
-            return [(r["left"], r["right"])]
-        made = made | {r["left"] + r["right"]}
         taken.append(r)
-        parts |= {r["left"], r["right"]}
-    after = ranked[len(taken)]["n"] if len(taken) < len(ranked) else ranked[-1]["n"] if len(ranked) == BATCH else 0
-    return [(r["left"], r["right"]) for i, r in enumerate(taken) if i == 0 or r["n"] > after]
+        ends.add(r["left"])
+        starts.add(r["right"])
+        if r["left"] == r["right"] or r["left"] + r["right"] in made:
+            break
+        made = made | {r["left"] + r["right"]}
+    first: dict[int, tuple[str, str]] = {}
+    for q in ranked[len(taken) :]:
+        if q["right"] in ends or q["left"] in starts:
+            lefts = [q["left"], *[t["left"] + t["right"] for t in taken if t["right"] == q["left"]]]
+            rights = [q["right"], *[t["left"] + t["right"] for t in taken if t["left"] == q["right"]]]
+            first[q["n"]] = min([(x, y) for x in lefts for y in rights] + [p for p in [first.get(q["n"])] if p])
+    least = ranked[-1]["n"] if len(ranked) == BATCH else 0
+    out: list[tuple[str, str]] = []
+    for r in taken:
+        pair = (r["left"], r["right"])
+        if out and (r["n"] <= least or r["n"] in first and first[r["n"]] < pair):
+            break
+        out.append(pair)
+    return out
 
 
 def pair_counts(state: DataFrame) -> DataFrame:
@@ -144,39 +194,76 @@ def pair_counts(state: DataFrame) -> DataFrame:
     return parts.select(F.explode(pairs).alias("x"), "freq").groupBy("x.left", "x.right").agg(F.sum("freq").alias("n"))
 
 
-def apply_bpe(rows: DataFrame, column: str, merges: list[tuple[str, str]], into: str = "pieces") -> DataFrame:
-    """The pieces of each word under a list of merges, of bounded length, in order; a null word has none.
+def bpe_vocab(words: DataFrame, merges: DataFrame, marked: Sequence[str] = ()) -> DataFrame:
+    """``id, piece, kind`` of a subword vocabulary: the specials, the marked tokens, what merges make by rank, and the
+    characters of words(word, freq) by (-freq, text).  A piece that several merges make counts once."""
+    fixed = [(w, "special") for w in PIECE_SPECIALS] + [(w, "marked") for w in dict.fromkeys(marked) if w]
+    head = words.sparkSession.createDataFrame([(i, *f) for i, f in enumerate(fixed)], "id long, piece string, kind string")
+    made = merges.groupBy(F.concat("left", "right").alias("piece")).agg(F.min("rank").alias("place")).select("piece", F.lit("merge").alias("kind"), "place")
+    chars = unmarked(words, marked).select(F.explode(F.split("word", "")).alias("piece"), "freq").where("piece <> ''").groupBy("piece").agg((-F.sum("freq")).alias("place"))
+    rest = made.unionByName(chars.select("piece", F.lit("char").alias("kind"), "place"))
+    # As many rows as there are merges and code points.
+    number = F.row_number().over(Window.orderBy(F.desc("kind"), "place", "piece")) + len(fixed) - 1
+    return head.unionByName(rest.select(number.cast("long").alias("id"), "piece", "kind"))
+
+
+def apply_bpe(rows: DataFrame, column: str, merges: DataFrame | list[tuple[str, str]], into: str = "pieces", marked: Sequence[str] = (), vocab: DataFrame | None = None) -> DataFrame:
+    """The pieces of each word under merges(rank, left, right), the lowest rank first; with ``vocab`` their ``ids`` too.
 
-    Each distinct word is merged once.
+    Marked tokens are pieces of their own; a piece that the vocabulary lacks has the unknown id; a null or empty word has no
+    pieces.  Each distinct word is merged once.  Words are dealt over groups of some millions of characters, and every
+    group gets the table of ranks and ids beside its words, which never passes through the driver.
     """
-    from pyspark.sql import types as T
-
-    order = {pair: i for i, pair in enumerate(merges)}
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pieces(words):
-        def one(word):
-            parts = list(word or "")
-            while len(parts) > 1:
-                best = min(zip(parts, parts[1:]), key=lambda p: order.get(p, len(order)))
-                if best not in order:
-                    break
-                out, i = [], 0
-                while i < len(parts):
-                    if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                        out.append(parts[i] + parts[i + 1])
-                        i += 2
-                    else:
-                        out.append(parts[i])
-                        i += 1
-                parts = out
-            return parts
-
-        return words.map(one)
-
-    words = rows.select(F.col(column).alias("_word")).where("_word is not null").distinct()
-    joined = rows.join(words.withColumn("_pieces", pieces("_word")), F.col(column) == F.col("_word"), "left")
-    return joined.withColumn(into, F.coalesce("_pieces", F.array().cast("array<string>"))).drop("_word", "_pieces")
+    spark, pattern = rows.sparkSession, _any_of(marked)
+    if isinstance(merges, list):
+        merges = spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "rank long, left string, right string")
+    words = cut(rows.select(F.col(column).alias("_word")).where("_word <> ''").distinct())
+    groups = 1 + (words.agg(F.sum(F.length("_word"))).first()[0] or 0) // GROUP
+    dealt = words.withColumn("_group", F.pmod(F.xxhash64("_word"), F.lit(groups)))
+    ranks = merges.select("left", "right", F.col("rank").alias("value"))
+    if vocab is not None:
+        ranks = ranks.unionByName(vocab.where("kind <> 'special'").select(F.col("piece").alias("left"), F.lit(None).cast("string").alias("right"), F.col("id").alias("value")))
+    ranks = ranks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_group"))
+
+    def split(words: pd.DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
+        order, ids = {}, {}
+        for left, right, value in sorted(zip(ranks["left"], ranks["right"], ranks["value"]), key=lambda r: -r[2]):
+            if right is None:
+                ids[left] = value
+            else:
+                order[left, right] = value
+        whole = re.compile(f"({pattern})") if pattern else None
+        pieces = [[p for i, part in enumerate(whole.split(w) if whole else [w]) if part for p in ([part] if i % 2 else merged(part, order))] for w in words["_word"]]
+        return pd.DataFrame({"_word": words["_word"], "_pieces": pieces, "_ids": [[int(ids.get(p, UNKNOWN)) for p in x] for x in pieces]})
+
+    found = dealt.groupBy("_group").cogroup(ranks.groupBy("_group")).applyInPandas(split, "_word string, _pieces array<string>, _ids array<long>")
+    joined = rows.join(found, F.col(column) == F.col("_word"), "left").withColumn(into, F.coalesce("_pieces", F.array().cast("array<string>")))
+    if vocab is not None:
+        joined = joined.withColumn("ids", F.coalesce("_ids", F.array().cast("array<long>")))
+    return joined.drop("_word", "_pieces", "_ids")
+
+
+def merged(word: str, order: dict[tuple[str, str], int]) -> list[str]:
+    """The parts of a word: again and again all pairs of the lowest rank from the left, by a heap of places."""
+    parts, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+    places = [(order[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in order]
+    heapq.heapify(places)
+    while places:
+        rank, joined = places[0][0], []
+        while places and places[0][0] == rank:
+            i = heapq.heappop(places)[1]
+            j = after[i]
+            if parts[i] is None or j == len(parts) or order.get((parts[i], parts[j])) != rank:
+                continue
+            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            joined.append(i)
+        for i in joined:
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < len(parts) and (parts[x], parts[y]) in order:
+                    heapq.heappush(places, (order[parts[x], parts[y]], x))
+    return [p for p in parts if p is not None]
 
 
 def truncate_wrap(pieces: Column, most: int = 510) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codelore.functions import ctypes as C
 from codelore.operators import vocab as V
+from codelore.operators.lineage import cut
 from codelore.plans import views
 from codelore.plans.register import query
 from codelore.plans.stats import WORDS, word_counts
@@ -92,19 +93,38 @@ def f11(spark, d):
     return V.pair_counts(word_counts(spark, d).select(V.parted(F.col("word")).alias("p"), "freq"))
 
 
-#: Merges that are learnt; each round of them is a job over all words.
-MERGES = 24
+#: Merges that are learnt, and texts that no merge reaches into.
+MERGES, MARKED = 64, ["License", "://", "@"]
+PIECE_MARKS = "replace(replace(replace(word, 'License', '\ufdd2License\ufdd2'), '://', '\ufdd2://\ufdd2'), '@', '\ufdd2@\ufdd2')"
+# Every state of every part of a word, merge by merge; parts stand between marks, and one that is a single piece is done.
+BPE_STEPS = f"""words AS ({WORDS}),
+    segments AS (SELECT word, freq, i, s[i] AS segment FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM (SELECT word, freq, list_filter(string_split({PIECE_MARKS}, '\ufdd2'), lambda x: x <> '') AS s FROM words))),
+    begun AS (SELECT segment, CAST(sum(freq) AS BIGINT) AS freq FROM segments WHERE segment NOT IN ('License', '://', '@') GROUP BY segment),
+    steps(rank, segment, p, freq, l, r) AS (SELECT CAST(-1 AS BIGINT), segment, '\ufdd0' || array_to_string(string_split(segment, ''), '\ufdd1\ufdd0') || '\ufdd1', freq, '', '' FROM begun
+    UNION ALL SELECT s.rank + 1, s.segment, replace(s.p, '\ufdd0' || b.l || '\ufdd1\ufdd0' || b.r || '\ufdd1', '\ufdd0' || b.l || b.r || '\ufdd1'), s.freq, b.l, b.r FROM steps s,
+    (SELECT l, r FROM (SELECT x[i] AS l, x[i + 1] AS r, freq FROM (SELECT x, freq, unnest(range(1, len(x))) AS i FROM (SELECT string_split(p[2:length(p) - 1], '\ufdd1\ufdd0') AS x, freq FROM steps))) GROUP BY l, r ORDER BY sum(freq) DESC, l, r LIMIT 1) b
+    WHERE s.rank < {MERGES - 1} AND contains(s.p, '\ufdd1\ufdd0')),
+    learnt AS (SELECT DISTINCT rank, l, r FROM steps WHERE rank >= 0)"""
 
 
-@query("f11_learn_bpe")
+@query("f11_learn_bpe", f'WITH RECURSIVE {BPE_STEPS} SELECT rank, l AS "left", r AS "right" FROM learnt')
 def f11_loop(spark, d):
-    return V.learn_bpe(word_counts(spark, d), MERGES)
+    return V.learn_bpe(word_counts(spark, d), MERGES, MARKED)
 
 
-@query("f12_apply_bpe")
+PIECES = """fixed(id, piece) AS (VALUES (4, 'License'), (5, '://'), (6, '@')),
+    vocab AS (SELECT id, piece FROM fixed UNION ALL SELECT 6 + row_number() OVER (ORDER BY kind DESC, place, piece), piece FROM (SELECT 'merge' AS kind, l || r AS piece, min(rank) AS place FROM learnt GROUP BY 2
+    UNION ALL SELECT 'char', c, -sum(freq) FROM (SELECT freq, unnest(string_split(segment, '')) AS c FROM begun) GROUP BY c)),
+    done AS (SELECT segment, arg_max(string_split(p[2:length(p) - 1], '\ufdd1\ufdd0'), rank) AS x FROM steps GROUP BY segment UNION ALL SELECT piece, [piece] FROM fixed),
+    pieces AS (SELECT word, i, unnest(x) AS piece, unnest(range(1, len(x) + 1)) AS j FROM segments JOIN done USING (segment))"""
+
+
+@query("f12_apply_bpe", f"WITH RECURSIVE {BPE_STEPS}, {PIECES} SELECT word, string_agg(piece, '|' ORDER BY i, j) AS pieces, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i, j) AS ids FROM pieces JOIN vocab USING (piece) GROUP BY word")
 def f12(spark, d):
-    merges = [(r["left"], r["right"]) for r in V.learn_bpe(word_counts(spark, d), MERGES).orderBy("rank").collect()]
-    return V.apply_bpe(word_counts(spark, d), "word", merges).select("word", F.array_join("pieces", "|").alias("pieces"))
+    words = word_counts(spark, d)
+    merges = cut(V.learn_bpe(words, MERGES, MARKED))
+    rows = V.apply_bpe(words, "word", merges, marked=MARKED, vocab=V.bpe_vocab(words, merges, MARKED))
+    return rows.select("word", F.array_join("pieces", "|").alias("pieces"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
 @query("f13_truncate_wrap", "SELECT doc_id, sha256(concat('<s> ', array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:50], ' '), ' </s>')) AS digest, least(50, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) + 2 AS n FROM documents WHERE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) > 0")

@@ -158,28 +158,94 @@ def test_bpe_merges_what_it_learnt(spark):
     assert vocab.apply_bpe(spark.createDataFrame([(None,), ("ab",), ("ab",)], "word string"), "word", merges).orderBy("word").collect()[0]["pieces"] == []
 
 
-def test_merges_are_learnt_as_one_after_the_other(spark):
-    draw = random.Random(4)
-    counts = {"".join(draw.choices("abcdef", (8, 5, 3, 2, 1, 1), k=draw.randint(1, 9))): draw.randint(1, 50) for _ in range(150)}
+def joined(parts, pair):
+    out, i = [], 0
+    while i < len(parts):
+        both = tuple(parts[i : i + 2]) == pair
+        out.append("".join(pair) if both else parts[i])
+        i += 1 + both
+    return out
+
+
+def one_by_one(counts, merges):
+    """Merges learnt one after the other, with the parts that each word has after them."""
     state, want = {w: list(w) for w in counts}, []
-    for _ in range(60):
+    for _ in range(merges):
         pairs = Counter()
         for w, parts in state.items():
             for pair in zip(parts, parts[1:]):
                 pairs[pair] += counts[w]
-        left, right = min(pairs, key=lambda p: (-pairs[p], p))
-        want.append((left, right))
-        for w, parts in state.items():
-            out, joined = [], False
-            for p in parts:
-                if out and out[-1] == left and p == right and not joined:
-                    out[-1], joined = left + right, True
-                else:
-                    out.append(p)
-                    joined = False
-            state[w] = out
+        if not pairs:
+            break
+        want.append(min(pairs, key=lambda p: (-pairs[p], p)))
+        state = {w: joined(parts, want[-1]) for w, parts in state.items()}
+    return want, state
+
+
+@pytest.mark.parametrize(("letters", "most", "merges"), [("abcdef", 50, 90), ("ab", 3, 60)])
+def test_merges_are_learnt_as_one_after_the_other(spark, letters, most, merges):
+    draw = random.Random(4)
+    weights = (8, 5, 3, 2, 1, 1)[: len(letters)]
+    counts = {"".join(draw.choices(letters, weights, k=draw.randint(1, 9))): draw.randint(1, most) for _ in range(150)}
+    want, _ = one_by_one(counts, merges)
     rows = spark.createDataFrame(list(counts.items()), "word string, freq long")
-    assert [(r["left"], r["right"]) for r in vocab.learn_bpe(rows, 60).orderBy("rank").collect()] == want
+    assert [(r["left"], r["right"]) for r in vocab.learn_bpe(rows, merges).orderBy("rank").collect()] == want
+
+
+def test_sure_merges_are_those_of_one_after_the_other():
+    """Rounds alone, without a session: many small corpora full of ties and of parts made twice."""
+    draw = random.Random(11)
+    for _ in range(400):
+        counts = {"".join(draw.choices("abc", k=draw.randint(1, 8))): draw.randint(1, 3) for _ in range(12)}
+        want, _ = one_by_one(counts, 40)
+        found, state = [], {w: list(w) for w in counts}
+        while len(found) < len(want):
+            pairs = Counter()
+            for w, parts in state.items():
+                for pair in zip(parts, parts[1:]):
+                    pairs[pair] += counts[w]
+            ranked = [{"left": p[0], "right": p[1], "n": n} for p, n in sorted(pairs.items(), key=lambda x: (-x[1], x[0]))]
+            for pair in vocab._sure(ranked, {a + b for a, b in found})[: len(want) - len(found)]:
+                found.append(pair)
+                state = {w: joined(parts, pair) for w, parts in state.items()}
+        assert found == want
+
+
+def test_merged_takes_the_lowest_rank_first():
+    draw = random.Random(5)
+    for _ in range(300):
+        made = ["a", "b", "c"]
+        pairs = {}
+        for rank in range(12):
+            pair = (draw.choice(made), draw.choice(made))
+            if pair not in pairs:
+                pairs[pair] = rank
+                made.append("".join(pair))
+        word = "".join(draw.choices("abc", k=draw.randint(0, 30)))
+        parts = list(word)
+        while open_ := [p for p in zip(parts, parts[1:]) if p in pairs]:
+            parts = joined(parts, min(open_, key=pairs.get))
+        assert vocab.merged(word, pairs) == parts
+    long = "ab" * 100_000
+    assert vocab.merged(long, {("a", "b"): 0, ("ab", "ab"): 1}) == ["abab"] * 50_000
+
+
+def test_marked_tokens_stay_whole_and_pieces_have_ids(spark):
+    words = spark.createDataFrame([("x@@aab", 3), ("@@@@aab@@", 2), ("aab@@aab@@aab", 4), ("", 7), (None, 7)], "word string, freq long")
+    marked = ["@@", "@@aab@@"]
+    merges = vocab.learn_bpe(words, 9, marked)
+    assert [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()] == [("a", "a"), ("aa", "b")]
+    table = vocab.bpe_vocab(words, merges, marked)
+    ids = {r["piece"]: r["id"] for r in table.collect()}
+    assert ids == {"<pad>": 0, "<s>": 1, "</s>": 2, "<unk>": 3, "@@": 4, "@@aab@@": 5, "aa": 6, "aab": 7, "a": 8, "b": 9, "x": 10}
+    texts = spark.createDataFrame([("aab@@aab@@aab",), ("@@@@aab@@",), ("z<s>@",), ("aab",), ("aab",), ("",), (None,)], "word string")
+    got = sorted((r["word"] or "", r["pieces"], r["ids"]) for r in vocab.apply_bpe(texts, "word", merges, marked=marked, vocab=table).collect())
+    assert got == [
+        ("", [], []), ("", [], []), ("@@@@aab@@", ["@@", "@@aab@@"], [4, 5]), ("aab", ["aab"], [7]), ("aab", ["aab"], [7]),
+        ("aab@@aab@@aab", ["aab", "@@aab@@", "aab"], [7, 5, 7]), ("z<s>@", ["z", "<", "s", ">", "@"], [3] * 5),
+    ]
+    nothing = words.where("false")
+    assert vocab.learn_bpe(nothing, 5).count() == 0 and vocab.apply_bpe(texts.where("false"), "word", merges).count() == 0
 
 
 def test_trees(spark):
