@@ -15,6 +15,7 @@ from codelore.plans.register import query
 from codelore.plans.text import DOCS, tokens_sql
 from codelore.plans.views import sql
 from codelore.sources import scans as S
+from codelore.sources import shards as P
 
 
 def folder(spark, name):
@@ -73,8 +74,11 @@ MEMBERS = 64
 
 
 def shards(spark, d):
-    lines = views.table(spark, d, "documents").select(F.floor(F.col("doc_id") / MEMBERS).alias("shard"), F.concat("doc_id", F.lit(".jsonl")).alias("member"), F.concat(F.to_json(F.struct("doc_id", "n_chars", "text")), F.lit("\n\n"), F.to_json(F.struct("lang"))).alias("text"))
-    return S.pack_shards(lines)
+    """The folder of the documents' shards."""
+    text = F.concat(F.to_json(F.struct("doc_id", "n_chars", "text")), F.lit("\n\n"), F.to_json(F.struct("lang")))
+    path = folder(spark, "shards")
+    P.write_shards(views.table(spark, d, "documents").select(F.floor(F.col("doc_id") / MEMBERS).alias("shard"), F.concat("doc_id", F.lit(".jsonl")).alias("member"), text.alias("text")), path)
+    return path
 
 
 SHARD_LINES = "SELECT CAST(doc_id AS VARCHAR) AS member, 0 AS line_no, concat('{\"doc_id\":', doc_id, ',\"n_chars\":', n_chars, ',\"text\":', to_json(text), '}') AS json FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, concat('{\"lang\":\"', lang, '\"}') FROM documents"
@@ -82,12 +86,12 @@ SHARD_LINES = "SELECT CAST(doc_id AS VARCHAR) AS member, 0 AS line_no, concat('{
 
 @query("a6_scan_shards", SHARD_LINES)
 def a6(spark, d):
-    return S.scan_shards(shards(spark, d))
+    return P.scan_shards(spark, shards(spark, d)).drop("path")
 
 
 @query("a7_group_by_binary", f"SELECT member, string_agg(json, '|' ORDER BY line_no) AS lines FROM ({SHARD_LINES}) GROUP BY member")
 def a7(spark, d):
-    return S.group_by_binary(S.scan_shards(shards(spark, d))).select("member", F.array_join("lines", "|").alias("lines"))
+    return S.group_by_binary(P.scan_shards(spark, shards(spark, d))).select("member", F.array_join("lines", "|").alias("lines"))
 
 
 @query("a8_shard_prefix", "SELECT shard FROM (SELECT source AS shard, row_number() OVER (ORDER BY source) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) WHERE rn <= floor(n * 0.35)")
@@ -100,6 +104,16 @@ def a9(spark, d):
     return S.assign_shards(views.split(views.variables(spark, d)), 7)
 
 
+@query("a9_write_shards", sql("""SELECT concat(split, '-', CASE WHEN split = 'train' THEN (rn - 1) // 7 ELSE 0 END) AS shard, v2.bin AS member, row_number() OVER (PARTITION BY v2.bin ORDER BY func, pos) - 1 AS line_no,
+    concat('{"func":', func, ',"pos":', pos, '}') AS json FROM v2 JOIN (SELECT *, row_number() OVER (PARTITION BY split ORDER BY bin) AS rn FROM parts) p ON p.bin = v2.bin""", "v2", "parts"))
+def a9_written(spark, d):
+    v, path = views.variables(spark, d), folder(spark, "shards")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("func", "pos"))), lambda x: F.to_json(x)), "\n")
+    rows = v.groupBy("bin").agg(lines.alias("text")).join(S.assign_shards(views.split(v), 7), "bin")
+    P.write_shards(rows.select(F.concat("split", F.lit("-"), "shard_id").alias("shard"), F.concat("bin", F.lit(".jsonl")).alias("member"), "text"), path)
+    return P.scan_shards(spark, path).select(F.regexp_extract("path", r"([^/]+)\.tar$", 1).alias("shard"), "member", "line_no", "json")
+
+
 def library_lines(spark, d):
     """The part library, in two halves, as lines of its format."""
     p = views.table(spark, d, "part").groupBy((F.col("p_partkey") % 2).alias("lib"), F.col("p_size").cast("long").alias("size"), "p_type").agg(F.count("*").alias("freq"))
@@ -196,7 +210,9 @@ def a22(spark, d):
 @query("a23_json_archive_to_lines", "SELECT concat(doc_id, '.json') AS member, concat('{\"id\":', doc_id, ',\"lang\":\"', lang, '\",\"text\":', to_json(text), '}') AS json FROM documents")
 def a23(spark, d):
     text = F.concat(F.lit('{ "id": '), "doc_id", F.lit(',\n  "lang": "'), "lang", F.lit('",\n  "text": '), F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1), F.lit("\n}"))
-    return S.json_archive_to_lines(S.pack_shards(views.table(spark, d, "documents").select(F.floor(F.col("doc_id") / MEMBERS).alias("shard"), F.concat("doc_id", F.lit(".json")).alias("member"), text.alias("text"))))
+    path = folder(spark, "archives")
+    P.write_shards(views.table(spark, d, "documents").select(F.floor(F.col("doc_id") / MEMBERS).alias("shard"), F.concat("doc_id", F.lit(".json")).alias("member"), text.alias("text")), path)
+    return S.json_archive_to_lines(P.scan_members(spark, path))
 
 
 @query("a24_subsample_binaries", "SELECT bin FROM (SELECT bin, row_number() OVER (ORDER BY sha256(concat('9:', bin)), bin) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT source AS bin FROM documents)) WHERE rn <= floor(n * 0.3)")

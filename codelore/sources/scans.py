@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
 import zlib
 from collections.abc import Iterator
 
@@ -87,55 +85,14 @@ def binary_key(file: Column, rule: str = "prefix") -> Column:
     return {"prefix": F.substring_index(file, "_", 1), "hash": F.substring(file, 1, 64), "name": F.regexp_replace(file, r"\.gz$", "")}[rule]
 
 
-def pack_shards(files: DataFrame) -> DataFrame:
-    """``path, content`` of tar archives, one a shard of files(shard, member, text)."""
+def json_archive_to_lines(members: DataFrame) -> DataFrame:
+    """Each member of an archive, a whole JSON document in members(member, text), as one compact line."""
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            for member, text in sorted(zip(frame["member"], frame["text"])):
-                raw = text.encode("utf-8")
-                info = tarfile.TarInfo(member)
-                info.size = len(raw)
-                tar.addfile(info, io.BytesIO(raw))
-        return pd.DataFrame({"path": [f"shard-{frame['shard'].iloc[0]}.tar"], "content": [out.getvalue()]})
-
-    return files.groupBy("shard").applyInPandas(pack, "path string, content binary")
-
-
-def scan_shards(archives: DataFrame) -> DataFrame:
-    """``member, line_no, json`` of every non-empty line of the .jsonl members of archives(path, content), as
-    ``spark.read.format("binaryFile")`` gives them."""
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for info in tar:
-                        if info.isfile() and info.name.endswith(".jsonl"):
-                            for i, line in enumerate(tar.extractfile(info).read().decode("utf-8").split("\n")):
-                                if line.strip():
-                                    rows.append((info.name[: -len(".jsonl")], i, line))
-                yield pd.DataFrame(rows, columns=["member", "line_no", "json"])
-
-    return archives.select("content").mapInPandas(scan, "member string, line_no long, json string")
+            yield pd.DataFrame({"member": frame["member"], "json": [json.dumps(json.loads(x), separators=(",", ":"), ensure_ascii=False) for x in frame["text"]]})
 
-
-def json_archive_to_lines(archives: DataFrame) -> DataFrame:
-    """Each member of the archives, a whole JSON document, as one compact line."""
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for info in tar:
-                        if info.isfile():
-                            rows.append((info.name, json.dumps(json.loads(tar.extractfile(info).read()), separators=(",", ":"), ensure_ascii=False)))
-                yield pd.DataFrame(rows, columns=["member", "json"])
-
-    return archives.select("content").mapInPandas(scan, "member string, json string")
+    return members.select("member", "text").mapInPandas(compact, "member string, json string")
 
 
 def group_by_binary(lines: DataFrame) -> DataFrame:
@@ -155,10 +112,6 @@ def assign_shards(bins: DataFrame, size: int) -> DataFrame:
     return bins.withColumn("shard_id", F.when(F.col("split") == "train", run).otherwise(0).cast("long"))
 
 
-def write_shards(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy("split", "shard_id").parquet(path)
-
-
 def read_typelib(lines: DataFrame) -> DataFrame:
     """``size, freq, type_json`` of libraries {size: [[freq, type], ...], "T": 0}; the tag is skipped."""
     sizes = lines.select(F.explode(F.from_json("json", "map<string,string>")).alias("size", "entries")).where("size <> 'T'")
