@@ -94,7 +94,7 @@ def f11(spark, d):
 
 
 #: Merges that are learnt, and texts that no merge reaches into.
-MERGES, MARKED = 64, ["License", "://", "@"]
+MERGES, MARKED = 24, ["License", "://", "@"]
 PIECE_MARKS = "replace(replace(replace(word, 'License', '\ufdd2License\ufdd2'), '://', '\ufdd2://\ufdd2'), '@', '\ufdd2@\ufdd2')"
 # Every state of every part of a word, merge by merge; parts stand between marks, and one that is a single piece is done.
 BPE_STEPS = f"""words AS ({WORDS}),
