@@ -11,8 +11,8 @@ Cost-based allocation: all keys are counted first, and each set asks with the h
 partition has more units than that; with the rest it only answers.  So an empty segment, or one that holds nothing but a
 common line, leads to few candidates.  A set asks in its own band of sizes, and in the band below where it may have partners.
 
-Sets that share a key are first compared with the smallest one that asks with it, then what lies in several components in
-blocks.  Candidates must pass a lower bound of their difference, the sum of differences of shingle counts by segment, before
+Sets that share a key are first compared with the smallest one that asks with it, then with the nearest one of another
+component by sketches, then what still lies in several components in blocks.  Candidates must pass a lower bound of their difference, the sum of differences of shingle counts by segment, before
 texts are sent; full sets confirm every link.  Nothing here loses a link but for equal 64-bit hashes of different shingles or sets.
 """
 
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import Rolling, Texts, cut, mixed, salted_lookup, string_chunks
 from .minhash import components
@@ -29,8 +30,9 @@ from .minhash import components
 SHINGLE, PERCENT = 4, 85
 #: Largest over smallest size of a band, and of how many segments one is deep.
 RATIO, DEEP = 1.6, 48
-#: Members of a bucket in a block that is compared as a whole, and pairs of a hub that meet its text in one task.
-BLOCK, SPLIT = 96, 1024
+#: Members of a block whose sketches are compared as a whole, texts of each side in one task, and pairs of a hub that meet
+#: its text in one task.
+BLOCK, TEXTS, SPLIT = 512, 96, 1024
 #: Keys that a task holds before it sends them, and rows of one key that it holds before it takes the key as shared.
 SENT, HELD = 1 << 18, 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -311,69 +313,120 @@ def verified(close: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(full: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between components whose members share a key that one of them asks with.
+def _meetings(full: DataFrame, joined: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members of different components that share a key which one of them asks with, a row for each pair of blocks (g, low, high).
 
     Of a key of several components and three sets or more, the largest component's members meet the others, gathered by
     component over all keys; the others meet each other key by key, keys with the same others once.  Both are dealt over
-    blocks, and each pair of blocks is compared as a whole in one task, sketches first; texts come only for members that
-    are near another component's there.
+    blocks, and each pair of blocks is compared as a whole in one task.
     """
     members = full.join(joined, "id", "left").select("key", "id", "asks", F.coalesce("component", "id").alias("c"))
     counts = members.groupBy("key", "c").agg(F.count("*").alias("n"), F.max("asks").alias("asks"))
     open_ = counts.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("asks").alias("asks")).where("parts > 1 AND all > 2 AND asks").select("key", "main")
     dealt = cut(salted_lookup(members, open_, "key", F.col("id"), 4).where(F.col("main").isNotNull()))
+    gathered = dealt.select(F.xxhash64(F.lit("main"), "main").alias("g"), "id", "c", "asks", (F.col("c") == F.col("main")).alias("is_main"), F.lit(True).alias("by_main"))
     others = dealt.where("c <> main")
     seen = others.groupBy("key").agg(F.bit_xor(F.xxhash64("id")).alias("same"), F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     once = seen.groupBy("same", "n").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("once"))
     each = salted_lookup(others, once, "key", F.col("id"), 4).where("once").select(F.xxhash64(F.lit("key"), "key").alias("g"), "id", "c", F.lit(True).alias("asks"), F.lit(False).alias("is_main"), F.lit(False).alias("by_main"))
-    gathered = dealt.select(F.xxhash64(F.lit("main"), "main").alias("g"), "id", "c", "asks", (F.col("c") == F.col("main")).alias("is_main"), F.lit(True).alias("by_main"))
     dealt = cut(gathered.union(each).groupBy("g", "id", "c", "is_main", "by_main").agg(F.max("asks").alias("asks")))
     blocks = dealt.groupBy("g").agg(F.ceil(F.count(F.when(F.col("is_main"), 1)) / BLOCK).cast("int").alias("n_main"), F.ceil(F.count(F.when(~F.col("is_main"), 1)) / BLOCK).cast("int").alias("n_rest"))
     dealt = salted_lookup(dealt, blocks, "g", F.col("id"), 4)
     block = F.when(F.col("is_main"), F.pmod(F.xxhash64("id"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("id"), F.col("n_rest")) + F.col("n_main")).cast("int")
     rest = F.sequence(F.col("n_main"), F.col("n_main") + F.col("n_rest") - 1)
     meets = F.when(F.col("is_main") | ~F.col("by_main"), rest).otherwise(F.sequence(F.lit(0), F.col("n_main") - 1))
-    rows = dealt.withColumn("block", block).join(texts.select("id", "n_shingles", "sketch"), "id").withColumn("with", F.explode(meets))
-    rows = rows.select("g", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "c", "asks", (F.col("block") == F.least("block", "with")).alias("first"), "n_shingles", "sketch")
-
-    def candidates(part: pa.Table):
-        """Each member of the second block with those of the first that it may be linked with, likeliest first."""
-        first, c, asks, n = (np.array(part[x].to_pylist()) for x in ("first", "c", "asks", "n_shingles"))
-        one, two = np.flatnonzero(first), np.flatnonzero(~first)
-        raw = part["sketch"].to_pylist()
-        width = min(map(len, raw))
-        counts = np.stack([folded(r, width) for r in raw])
-        for i in two if len(two) else one:
-            fits = one[(c[one] != c[i]) & (asks[one] | asks[i]) & (100 * np.minimum(n[one], n[i]) >= PERCENT * np.maximum(n[one], n[i]))]
-            apart = np.abs(counts[fits] - counts[i]).sum(axis=1)
-            close = apart <= (n[fits] + n[i]) * (100 - PERCENT) // (100 + PERCENT)
-            yield int(i), fits[close][np.argsort(apart[close], kind="stable")], c
+    rows = dealt.withColumn("block", block).join(facts, "id").withColumn("with", F.explode(meets))
+    return rows.select("g", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "c", "asks", (F.col("block") == F.least("block", "with")).alias("first"), "n_shingles", "sketch")
+
+
+def _candidates(part: pa.Table):
+    """Each member of the second block with those of the first that it may be linked with, likeliest first, and how far apart.
+
+    Members of a block that stands alone meet each other.
+    """
+    first, c, asks, n = (np.array(part[x].to_pylist()) for x in ("first", "c", "asks", "n_shingles"))
+    one, two = np.flatnonzero(first), np.flatnonzero(~first)
+    raw = part["sketch"].to_pylist()
+    widths = np.array([len(r) for r in raw])
+    counts = {}
+    for width in np.unique(widths).tolist():
+        counts[width] = np.zeros((len(raw), width), np.int32)
+        for i in np.flatnonzero(widths >= width):
+            counts[width][i] = folded(raw[i], width)
+    for i in two if len(two) else one:
+        fits = one[(c[one] != c[i]) & (asks[one] | asks[i]) & (100 * np.minimum(n[one], n[i]) >= PERCENT * np.maximum(n[one], n[i]))]
+        least = np.zeros(len(fits), np.int64)
+        for width in np.unique(widths[fits]).tolist():
+            at, both = widths[fits] == width, counts[min(width, int(widths[i]))]
+            least[at] = np.abs(both[fits[at]] - both[i]).sum(axis=1)
+        close = least <= (n[fits] + n[i]) * (100 - PERCENT) // (100 + PERCENT)
+        fits, least = fits[close], least[close]
+        order = np.argsort(least, kind="stable")
+        yield int(i), fits[order], least[order]
+
+
+def _nearest_across(full: DataFrame, joined: DataFrame, facts: DataFrame) -> DataFrame:
+    """``a, b``: for each set b the nearest one of another component by sketches, among those that it meets; unconfirmed."""
+
+    def nearest(part: pa.Table) -> pa.Table:
+        ids = part["id"].to_numpy()
+        best = [(ids[hits[0]], ids[i], least[0]) for i, hits, least in _candidates(part) if len(hits)]
+        return pa.table({k: pa.array([int(x[at]) for x in best], pa.int64()) for at, k in enumerate(("a", "b", "apart"))})
+
+    found = _meetings(full, joined, facts).groupBy("g", "low", "high").applyInArrow(nearest, "a long, b long, apart long")
+    return found.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")).select("a", "b")
+
+
+def _across(full: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links (a, b) that components still lack: sketches of whole blocks first, then texts of what is near there.
+
+    Those near are dealt over small parts by size, so that texts come only for pairs of parts with candidates, and few
+    texts are in one task.
+    """
+    rows = _meetings(full, joined, texts.select("id", "n_shingles", "sketch"))
 
     def close(part: pa.Table) -> pa.Table:
-        keep = np.zeros(part.num_rows, bool)
-        for i, hits, _ in candidates(part):
-            keep[hits] = True
-            keep[i] |= len(hits) > 0
-        return part.filter(pa.array(keep))
+        met = [(i, hits) for i, hits, _ in _candidates(part) if len(hits)]
+        first, n = np.array(part["first"].to_pylist(), bool), part["n_shingles"].to_numpy()
+        alone = bool(first.all())
+        sides = [np.unique(np.concatenate([np.zeros(0, np.int64), *x])) for x in ([hits for _, hits in met], [[i] for i, _ in met])]
+        if alone:
+            sides = [np.union1d(*sides)] * 2
+        sides = [x[np.argsort(n[x], kind="stable")] for x in sides]
+        place = [np.zeros(part.num_rows, np.int64) for _ in sides]
+        for of, side in zip(place, sides):
+            of[side] = np.arange(len(side)) // TEXTS
+        pairs = sorted({(int(p), int(place[1][i])) for i, hits in met for p in np.unique(place[0][hits])})
+        if alone:
+            pairs = sorted({(min(x), max(x)) for x in pairs})
+        at, flags, sub = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int32)]
+        for k, (p, q) in enumerate(pairs):
+            one, two = sides[0][p * TEXTS : (p + 1) * TEXTS], sides[1][q * TEXTS : (q + 1) * TEXTS]
+            two = two[:0] if alone and p == q else two
+            at += [one, two]
+            flags.append(np.arange(len(one) + len(two)) < len(one))
+            sub.append(np.full(len(one) + len(two), k, np.int32))
+        out = part.take(pa.array(np.concatenate(at)))
+        out = out.set_column(out.schema.get_field_index("first"), "first", pa.array(np.concatenate(flags)))
+        return out.append_column("sub", pa.array(np.concatenate(sub)))
 
     def compare(part: pa.Table) -> pa.Table:
-        ids, sets = part["id"].to_pylist(), []
+        ids, c, sets = part["id"].to_pylist(), part["c"].to_pylist(), []
         found: list[tuple[int, int]] = []
-        for i, hits, c in candidates(part):
+        for i, hits, _ in _candidates(part):
             met: set[int] = set()
             for j in hits.tolist():
                 # One link to each component is enough for what follows.
-                if int(c[j]) in met:
+                if c[j] in met:
                     continue
                 sets = sets or [s for _, chunk in string_chunks(part["text"]) for s in shingle_sets(chunk)]
                 if linked(sets[i], sets[j]):
-                    met.add(int(c[j]))
+                    met.add(c[j])
                     found.append((ids[i], ids[j]))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    pair = ("g", "low", "high")
-    return rows.groupBy(*pair).applyInArrow(close, rows.schema).join(texts.select("id", "text"), "id").groupBy(*pair).applyInArrow(compare, "a long, b long")
+    near = rows.groupBy("g", "low", "high").applyInArrow(close, StructType([*rows.schema.fields, StructField("sub", IntegerType())]))
+    return near.join(texts.select("id", "text"), "id").groupBy("g", "low", "high", "sub").applyInArrow(compare, "a long, b long")
 
 
 def join_sets(docs: DataFrame) -> DataFrame:
@@ -402,7 +455,11 @@ def join_sets(docs: DataFrame) -> DataFrame:
     of = joined.union(joined.select(F.col("component").alias("id"), "component").distinct())
     sides = close.join(nearest, ["a", "b"], "left_anti").join(of.select(F.col("id").alias("a"), F.col("component").alias("c_a")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b", "left")
     rest = sides.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "part")
-    more = cut(verified(rest, texts).union(_across(full, joined, texts)))
+    # Each set's nearest one of another component joins most of what is left, so that few texts meet in blocks.
+    nearest = near_pairs(cut(_nearest_across(full, joined, texts.select("id", "n_shingles", "sketch"))), own)
+    links = cut(links.union(verified(cut(rest.union(nearest.select("a", "b", "part"))), texts)))
+    joined = components(links)
+    more = cut(_across(full, joined, texts))
     if not more.isEmpty():
         joined = components(links.union(more))
     joined = joined.union(joined.select(F.col("component").alias("id"), "component").distinct())

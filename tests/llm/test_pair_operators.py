@@ -116,7 +116,8 @@ def test_ngram_join_near_the_threshold(spark, length):
 def test_ngram_join_of_common_passages(spark, monkeypatch, small):
     """A passage that all share without links, a hub with many copies, and two large groups that are near each other."""
     if small:
-        monkeypatch.setattr(ngram_join, "BLOCK", 8)
+        monkeypatch.setattr(ngram_join, "BLOCK", 16)
+        monkeypatch.setattr(ngram_join, "TEXTS", 3)
         monkeypatch.setattr(ngram_join, "SPLIT", 4)
         monkeypatch.setattr(ngram_join, "HELD", 20)
     draw = np.random.default_rng(7)
