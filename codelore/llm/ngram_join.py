@@ -451,8 +451,12 @@ def join_sets(docs: DataFrame) -> DataFrame:
     # The nearest hub of each set comes first; what that joins needs no other link.
     nearest = cut(close.groupBy("b").agg(F.min(F.struct("apart", "a", "part")).alias("x")).select("x.a", "b", "x.part"))
     links = cut(verified(nearest, texts))
-    joined = components(links)
-    of = joined.union(joined.select(F.col("component").alias("id"), "component").distinct())
+    # Where a set's hub leads in four steps stands for its component, until most links are there.
+    joined = links.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    for _ in range(2):
+        up = joined.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        joined = cut(salted_lookup(joined, up, "component", F.col("id"), 4).select("id", F.coalesce("up", "component").alias("component")))
+    of = joined.union(joined.select(F.col("component").alias("id"), "component").distinct().join(joined, "id", "left_anti"))
     sides = close.join(nearest, ["a", "b"], "left_anti").join(of.select(F.col("id").alias("a"), F.col("component").alias("c_a")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b", "left")
     rest = sides.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "part")
     # Each set's nearest one of another component joins most of what is left, so that few texts meet in blocks.
