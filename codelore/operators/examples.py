@@ -10,16 +10,10 @@ SIDE = f"struct<n:string,c:string,a:map<string,array<{VARIABLE}>>,l:map<string,a
 
 
 def flatten_variables(functions: DataFrame) -> DataFrame:
-    """A row a variable of functions(bin, func, b, c): both sides, arguments and locals."""
-    parts = []
-    for side in ("b", "c"):
-        for kind in ("a", "l"):
-            each = functions.select("bin", "func", F.explode(F.col(side)[kind]).alias("loc", "vars"))
-            parts.append(each.select("bin", "func", F.lit(side).alias("side"), F.lit(kind).alias("kind"), "loc", F.explode("vars").alias("v")).select("bin", "func", "side", "kind", "loc", F.col("v.n").alias("name"), F.col("v.t").alias("type_str"), F.col("v.u").alias("user")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """A row a variable of functions(bin, func, b, c): both sides, arguments and locals, in one pass."""
+    maps = F.array(*(F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), F.map_entries(F.col(side)[kind]).alias("at")) for side in "bc" for kind in "al"))
+    each = functions.select("bin", "func", F.inline(maps)).select("bin", "func", "side", "kind", F.inline("at").alias("loc", "vars"))
+    return each.select("bin", "func", "side", "kind", "loc", F.explode("vars").alias("v")).select("bin", "func", "side", "kind", "loc", F.col("v.n").alias("name"), F.col("v.t").alias("type_str"), F.col("v.u").alias("user"))
 
 
 def parse_location(loc: Column) -> tuple[Column, Column]:

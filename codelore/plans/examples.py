@@ -16,10 +16,12 @@ def nested(spark, d):
     v = views.variables(spark, d)
 
     def side(name, kind):
-        return F.map_from_entries(F.collect_list(F.when(F.col("pos") % 2 == (0 if kind == "a" else 1), F.struct("loc", F.array(F.struct(F.col("src_type" if name == "c" else "tgt_type").alias("t"), F.col("old_name" if name == "c" else "new_name").alias("n"), F.col("user").alias("u"))))))).alias(kind)
+        t, n = ("src_type", "old_name") if name == "c" else ("tgt_type", "new_name")
+        entry = lambda x: F.struct(x["loc"], F.array(F.struct(x[t].alias("t"), x[n].alias("n"), x["user"].alias("u"))))
+        return F.map_from_entries(F.transform(F.filter("vars", lambda x: x["pos"] % 2 == (0 if kind == "a" else 1)), entry)).alias(kind)
 
-    rows = v.groupBy("bin", "func").agg(*(side(n, k).alias(f"{n}{k}") for n in "bc" for k in "al"))
-    return rows.select("bin", "func", *(F.struct(F.col(f"{n}a").alias("a"), F.col(f"{n}l").alias("l")).alias(n) for n in "bc"))
+    rows = v.groupBy("bin", "func").agg(F.collect_list(F.struct("pos", "loc", "src_type", "tgt_type", "old_name", "new_name", "user")).alias("vars"))
+    return rows.select("bin", "func", *(F.struct(side(n, "a"), side(n, "l")).alias(n) for n in "bc"))
 
 
 @query("c1_flatten_variables", sql("""SELECT bin, func, 'c' AS side, CASE WHEN pos % 2 = 0 THEN 'a' ELSE 'l' END AS kind, loc, old_name AS name, src_type AS type_str, "user" FROM v2
@@ -36,9 +38,10 @@ def c2(spark, d):
 
 @query("c3_merge_args_over_locals", sql("SELECT func, loc, 'l' AS kind, old_name AS name FROM v2 a WHERE NOT EXISTS (SELECT 1 FROM v2 b WHERE b.func = a.func AND b.loc = a.loc AND b.pos % 3 = 0) UNION ALL SELECT func, loc, 'a', new_name FROM v2 WHERE pos % 3 = 0", "v2"))
 def c3(spark, d):
-    v = views.variables(spark, d)
-    local = v.select("func", "loc", F.lit("l").alias("kind"), F.col("old_name").alias("name"))
-    return E.merge_args_over_locals(local.unionByName(v.where("pos % 3 = 0").select("func", "loc", F.lit("a").alias("kind"), F.col("new_name").alias("name"))))
+    local = F.struct(F.lit("l").alias("kind"), F.col("old_name").alias("name"))
+    argument = F.struct(F.lit("a").alias("kind"), F.col("new_name").alias("name"))
+    both = F.when(F.col("pos") % 3 == 0, F.array(local, argument)).otherwise(F.array(local))
+    return E.merge_args_over_locals(views.variables(spark, d).select("func", "loc", F.inline(both)))
 
 
 @query("c4_drop_shared_locations", "SELECT l_orderkey AS func, l_partkey % 5 AS loc, l_partkey AS name FROM lineitem JOIN (SELECT l_orderkey AS k, l_partkey % 5 AS m FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) = 1) ON k = l_orderkey AND m = l_partkey % 5")
@@ -110,8 +113,8 @@ def c13(spark, d):
 
 @query("c14_locations", sql("SELECT DISTINCT func, loc FROM v2", "v2"))
 def c14(spark, d):
-    v = views.variables(spark, d)
-    return E.locations(v.where("pos % 2 = 0").unionByName(v))
+    twice = F.sequence(F.lit(0), F.when(F.col("pos") % 2 == 0, 1).otherwise(0))
+    return E.locations(views.variables(spark, d).select("func", "loc", F.explode(twice)))
 
 
 @query("c15_variable_name_map", sql("SELECT func, src_type AS old_name, arg_min(new_name, pos) AS new_name, min(pos) AS pos FROM v2 GROUP BY ALL", "v2"))
