@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelore.operators import lineage, trees
+from codelore.operators import lineage, trees, typelib
 from codelore.plans import examples, views
 
 DATA = "/root/testdata/sf0.001"
@@ -31,3 +31,14 @@ def test_both_sides_and_ways_in_one_pass(spark):
     assert sorted(map(tuple, edges.collect())) == [(1, 0, 1), (1, 0, 2), (1, 1, 0), (1, 2, 0)]
     for rows in (edges, examples.c1(spark, DATA), examples.c3(spark, DATA), examples.c14(spark, DATA)):
         assert "Union" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_layouts_that_many_share_are_cut_once(spark):
+    index = spark.createDataFrame([(5, [0, 1, 2, 3], [0], 4, 2, 7)], "layout_id long, accessible array<long>, starts array<long>, size long, names long, first long")
+    sizes = spark.createDataFrame([(4,), (4,), (8,), (900,), (0,)], "size long")
+    stack = spark.createDataFrame([(i, [0, 1, 2, 3, 4], [0, 4]) for i in range(40)] + [(40, [], [])], "id long, accessible array<long>, starts array<long>")
+    found = typelib.replacements_of(stack.select("accessible", "starts"), index, sizes)
+    assert [[tuple(c) for c in r["cuts"]] for r in found.collect()] == [[(4, 5, [4], [4], 2, 7)]]
+    got = typelib.next_replacements(stack, index, sizes)
+    assert got.columns == ["id", "cut", "layout_id", "rest_accessible", "rest_starts", "names", "first"]
+    assert sorted((r["id"], r["layout_id"], r["names"], r["first"]) for r in got.collect()) == [(i, 5, 2, 7) for i in range(40)]
