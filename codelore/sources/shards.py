@@ -177,16 +177,23 @@ def scan_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_members(spark: SparkSession, path: str) -> DataFrame:
-    """``path, member, text`` of the tars of a folder, a member a row."""
+    """``path, member, text`` of the tars of a folder, a member a row; small ones go on together."""
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, f = None, None
         for frame in frames:
+            rows, held = [], 0
             for path, member, at, size in frame.itertuples(index=False):
                 if path != last:
                     files, place = store(path)
                     f, last = files.open_input_file(place), path
+                if rows and held + size > TEXT:
+                    yield pd.DataFrame(rows, columns=["path", "member", "text"])
+                    rows, held = [], 0
                 f.seek(at)
-                yield pd.DataFrame([(path, member, f.read(size).decode("utf-8"))], columns=["path", "member", "text"])
+                rows.append((path, member, f.read(size).decode("utf-8")))
+                held += size
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "member", "text"])
 
     return _dealt(spark, path, shard_members(spark, path)).mapInPandas(whole, "path string, member string, text string")

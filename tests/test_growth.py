@@ -42,3 +42,26 @@ def test_layouts_that_many_share_are_cut_once(spark):
     got = typelib.next_replacements(stack, index, sizes)
     assert got.columns == ["id", "cut", "layout_id", "rest_accessible", "rest_starts", "names", "first"]
     assert sorted((r["id"], r["layout_id"], r["names"], r["first"]) for r in got.collect()) == [(i, 5, 2, 7) for i in range(40)]
+
+
+def test_small_members_go_on_together(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    from codelore.sources import shards
+
+    shards.write_shards(spark.range(300).select(F.lit("s").alias("shard"), F.concat("id", F.lit(".json")).alias("member"), F.concat(F.lit("x"), "id").alias("text")), str(tmp_path / "out"))
+    rows = shards.shard_members(spark, str(tmp_path / "out")).toPandas()
+    frames = []
+
+    class Dealt:
+        def mapInPandas(self, whole, schema):
+            frames.extend(whole(iter([rows])))
+
+    monkeypatch.setattr(shards, "_dealt", lambda *a: Dealt())
+    shards.scan_members(spark, str(tmp_path / "out"))
+    got = pd.concat(frames)
+    assert len(frames) == 1 and dict(zip(got["member"], got["text"])) == {f"{i}.json": f"x{i}" for i in range(300)}
+    frames.clear()
+    monkeypatch.setattr(shards, "TEXT", 100)
+    shards.scan_members(spark, str(tmp_path / "out"))
+    assert 10 < len(frames) < 40 and sum(map(len, frames)) == 300
