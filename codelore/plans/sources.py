@@ -108,10 +108,14 @@ def a9(spark, d):
     concat('{"func":', func, ',"pos":', pos, '}') AS json FROM v2 JOIN (SELECT *, row_number() OVER (PARTITION BY split ORDER BY bin) AS rn FROM parts) p ON p.bin = v2.bin""", "v2", "parts"))
 def a9_written(spark, d):
     v, path = views.variables(spark, d), folder(spark, "shards")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("func", "pos"))), lambda x: F.to_json(x)), "\n")
-    rows = v.groupBy("bin").agg(lines.alias("text")).join(S.assign_shards(views.split(v), 7), "bin")
-    P.write_shards(rows.select(F.concat("split", F.lit("-"), "shard_id").alias("shard"), F.concat("bin", F.lit(".jsonl")).alias("member"), "text"), path)
-    return P.scan_shards(spark, path).select(F.regexp_extract("path", r"([^/]+)\.tar$", 1).alias("shard"), "member", "line_no", "json")
+    # A function's lines are a piece of its binary's member, so that no row grows with the table; binaries are 100 at every size.
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("func", "pos"))), lambda x: F.concat(F.to_json(x), F.lit("\n"))), "")
+    pieces = v.groupBy("bin", "func").agg(lines.alias("text"))
+    rows = pieces.join(F.broadcast(S.assign_shards(views.split(v), 7)), "bin")
+    P.write_shards(rows.select(F.concat("split", F.lit("-"), "shard_id").alias("shard"), F.concat("bin", F.lit(".jsonl")).alias("member"), "text", F.col("func").alias("piece")), path)
+    # No pattern that begins anew at every character of the path, line by line.
+    shard = F.replace(F.substring_index("path", "/", -1), F.lit(".tar"))
+    return P.scan_shards(spark, path).select(shard.alias("shard"), "member", "line_no", "json")
 
 
 def library_lines(spark, d):

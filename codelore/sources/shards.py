@@ -5,19 +5,22 @@ from __future__ import annotations
 import io
 import re
 import tarfile
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 #: Bytes of a shard that one task reads, bytes of one read, and members or bytes of text in one batch.
-RANGE, STEP, MEMBERS, TEXT = 64 << 20, 1 << 20, 4096, 4 << 20
+RANGE, STEP, MEMBERS, TEXT = 16 << 20, 1 << 20, 4096, 4 << 20
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -36,16 +39,28 @@ class Written(WriterCommitMessage):
 class ShardWriter(DataSourceArrowWriter):
     """Tasks write under names of their own; the commit gives the shards of the attempts that count their names."""
 
-    def __init__(self, path: str):
-        self.path, self.begun = path, f"_temporary-{uuid4().hex}"
+    def __init__(self, path: str, pieces: bool = False):
+        self.path, self.begun, self.pieces = path, f"_temporary-{uuid4().hex}", pieces
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = store(f"{self.path}/{self.begun}")
         files.create_dir(root)
-        names, shard, out, tar = [], None, None, None
+        names, shard, out, tar, last, held = [], None, None, None, None, None
+
+        def close_member() -> None:
+            info = tarfile.TarInfo(last)
+            info.size = held.tell()
+            held.seek(0)
+            tar.addfile(info, held)
+            held.close()
+
         for batch in iterator:
             for name, member, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "member", "text"))):
-                if tar is None or name != shard:
+                new = tar is None or name != shard
+                if held is not None and (new or member != last or not self.pieces):
+                    close_member()
+                    held = None
+                if new:
                     if tar is not None:
                         tar.close()
                         out.close()
@@ -53,11 +68,12 @@ class ShardWriter(DataSourceArrowWriter):
                     names.append((attempt, f"{name}.tar"))
                     out = files.open_output_stream(f"{root}/{attempt}")
                     tar = tarfile.open(fileobj=out, mode="w|")
-                raw = (text or "").encode("utf-8")
-                info = tarfile.TarInfo(member)
-                info.size = len(raw)
-                tar.addfile(info, io.BytesIO(raw))
+                if held is None:
+                    # The header has the size, so that a long member of pieces waits in the task's own folder.
+                    last, held = member, tempfile.SpooledTemporaryFile(TEXT) if self.pieces else io.BytesIO()
+                held.write((text or "").encode("utf-8"))
         if tar is not None:
+            close_member()
             tar.close()
             out.close()
         return Written(names)
@@ -78,7 +94,10 @@ class ShardWriter(DataSourceArrowWriter):
 
 
 class TarShards(DataSource):
-    """The sink ``tar_shards`` of rows (shard, member, text), those of a shard in one task and together."""
+    """The sink ``tar_shards`` of rows (shard, member, text), those of a shard in one task and together.
+
+    With a column ``piece`` the texts of a member that follow each other are one text.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -87,18 +106,20 @@ class TarShards(DataSource):
     def writer(self, schema, overwrite: bool) -> ShardWriter:
         if overwrite:
             raise ValueError("tar_shards adds shards to a folder; it doesn't replace one")
-        return ShardWriter(self.options["path"])
+        return ShardWriter(self.options["path"], "piece" in schema.fieldNames())
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
     """A tar ``<shard>.tar`` a shard of rows(shard, member, text) in a folder, members by name.
 
     A null text is an empty member; rows without a shard or member are left out.  A shard stands there whole or not at
-    all: tasks that fail, run twice or are left behind leave nothing.  A task holds one batch of rows.
+    all: tasks that fail, run twice or are left behind leave nothing.  A task holds one batch of rows.  With a column
+    ``piece`` a member may come in any number of rows, whose texts are joined in its order; no row has to hold it whole.
     """
     rows.sparkSession.dataSource.register(TarShards)
-    kept = rows.select(F.col("shard").cast("string"), F.col("member").cast("string"), "text").where("shard is not null and member is not null")
-    kept.repartition("shard").sortWithinPartitions("shard", "member", "text").write.format("tar_shards").mode("append").save(path)
+    pieces = ["piece"] if "piece" in rows.columns else []
+    kept = rows.select(F.col("shard").cast("string"), F.col("member").cast("string"), "text", *pieces).where("shard is not null and member is not null")
+    kept.repartition("shard").sortWithinPartitions("shard", "member", *pieces, "text").write.format("tar_shards").mode("append").save(path)
 
 
 def shard_members(spark: SparkSession, path: str) -> DataFrame:
@@ -138,42 +159,49 @@ def _dealt(spark: SparkSession, path: str, members: DataFrame) -> DataFrame:
 def scan_shards(spark: SparkSession, path: str) -> DataFrame:
     """``path, member, line_no, json`` of every non-empty line of the .jsonl members in the tars of a folder.
 
-    Members are read a step at a time, whatever their size and that of their tar; a line has to fit in memory.
+    Members are read a step at a time, whatever their size and that of their tar, and their lines cut as Arrow columns; a
+    line has to fit in memory.
     """
 
-    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, f = None, None
-        for frame in frames:
-            for path, member, at, size in frame.itertuples(index=False):
+        for batch in batches:
+            parts, held = [], 0
+            for path, member, at, size in zip(*(batch.column(c).to_pylist() for c in ("path", "member", "at", "size"))):
                 if path != last:
                     files, place = store(path)
                     f, last = files.open_input_file(place), path
                 f.seek(at)
-                rows, held, n, left, rest = [], 0, 0, size, []
+                n, left, rest = 0, size, []
                 while left:
                     data = f.read(min(STEP, left))
                     if not data:
                         raise EOFError(f"{path} ends within {member}")
                     left -= len(data)
-                    *whole, tail = data.split(b"\n")
-                    if whole:
-                        whole[0], rest = b"".join([*rest, whole[0]]), []
-                    rest.append(tail)
-                    if not left:
-                        whole.append(b"".join(rest))
-                    for line in whole:
-                        if line.strip():
-                            rows.append((path, member[: -len(".jsonl")], n, line.decode("utf-8")))
-                            held += len(line)
-                        n += 1
+                    end = data.rfind(b"\n") + 1 if left else len(data)
+                    if not end:
+                        rest.append(data)
+                        continue
+                    whole, rest = b"".join([*rest, data[:end]]), [data[end:]]
+                    found = pc.split_pattern(pa.array([whole], pa.binary()), b"\n").flatten().cast(pa.string())
+                    found = found[:-1] if whole.endswith(b"\n") else found
+                    kept = pc.not_equal(pc.ascii_trim(found, " \t\n\r\v\f"), "")
+                    numbers = pa.array(np.arange(n, n + len(found)))
+                    n, found = n + len(found), found.filter(kept)
+                    parts.append([pa.repeat(path, len(found)), pa.repeat(member[: -len(".jsonl")], len(found)), numbers.filter(kept), found])
+                    held += len(whole)
                     if held > TEXT:
-                        yield pd.DataFrame(rows, columns=["path", "member", "line_no", "json"])
-                        rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "member", "line_no", "json"])
+                        yield _joined(parts)
+                        parts, held = [], 0
+            if parts:
+                yield _joined(parts)
 
     members = shard_members(spark, path).where(F.col("member").endswith(".jsonl"))
-    return _dealt(spark, path, members).mapInPandas(lines, "path string, member string, line_no long, json string")
+    return _dealt(spark, path, members).mapInArrow(lines, "path string, member string, line_no long, json string")
+
+
+def _joined(parts: list[list[pa.Array]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], names=["path", "member", "line_no", "json"])
 
 
 def scan_members(spark: SparkSession, path: str) -> DataFrame:
