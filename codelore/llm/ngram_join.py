@@ -11,8 +11,9 @@ Cost-based allocation: all keys are counted first, and each set asks with the h
 partition has more units than that; with the rest it only answers.  So an empty segment, or one that holds nothing but a
 common line, leads to few candidates.  A set asks in its own band of sizes, and in the band below where it may have partners.
 
-Sets that share a key are first compared with the smallest one that asks with it, then what lies in several components in
-blocks.  Candidates must pass a lower bound of their difference, the sum of differences of shingle counts by segment, before
+Sets that share a key are first compared with the one among them that shares its keys with the most others, the hub: in a
+group of copies that is one near their common origin, to which they are nearer than to each other.  What then lies in several
+components is compared in blocks.  Candidates must pass a lower bound of their difference, the sum of differences of shingle counts by segment, before
 texts are sent; full sets confirm every link.  Nothing here loses a link but for equal 64-bit hashes of different shingles or sets.
 """
 
@@ -252,7 +253,8 @@ def _live(key, id_, info, first: bool, last: bool):
 
 
 def shared_keys(docs: DataFrame) -> DataFrame:
-    """``key, id, asks``: the keys that several sets hold, with all who hold them, and whether the set asks with the key.
+    """``key, id, asks, n``: the keys that several sets hold, with all who hold them, whether the set asks with the key, and
+    how many rows of the key were seen together.
 
     Ranges of (key, id) deal the keys out, so that one which many sets hold is spread over tasks.
     """
@@ -262,9 +264,17 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     costs = found.where(_bits(_SPARE) == 1).groupBy("id", part.alias("part"), _bits(_LEFT).alias("left_out"), _bits(_SEGMENT, 24).alias("segment"), _bits(0, 24).alias("spare")).agg(F.sum("n").alias("cost"))
     rank = F.row_number().over(Window.partitionBy("id", "part").orderBy(F.desc("cost"), "left_out", "segment"))
     spared = costs.withColumn("rank", rank).where(F.col("rank") <= F.col("spare")).select("id", "part", "left_out", "segment", F.lit(False).alias("kept"))
-    units_ = found.select("key", "id", part.alias("part"), _bits(_LEFT).alias("left_out"), _bits(_SEGMENT, 24).alias("segment"))
-    asking = units_.join(spared, ["id", "part", "left_out", "segment"], "left").select("key", "id", F.coalesce("kept", F.lit(True)).alias("asks"))
-    return asking.groupBy("key", "id").agg(F.max("asks").alias("asks"))
+    units_ = found.select("key", "id", part.alias("part"), _bits(_LEFT).alias("left_out"), _bits(_SEGMENT, 24).alias("segment"), "n")
+    asking = units_.join(spared, ["id", "part", "left_out", "segment"], "left").select("key", "id", F.coalesce("kept", F.lit(True)).alias("asks"), "n")
+    return asking.groupBy("key", "id").agg(F.max("asks").alias("asks"), F.max("n").alias("n"))
+
+
+def hub_pairs(full: DataFrame) -> DataFrame:
+    """``a, b``: each set b that holds a key which one asks with, and the key's hub a, the set that shares its keys with the most."""
+    shares = full.groupBy("id").agg(F.sum("n").alias("shares"))
+    hubs = full.join(shares, "id").groupBy("key").agg(F.max(F.struct("shares", "id"))["id"].alias("hub"), F.max("asks").alias("open")).where("open").select("key", "hub")
+    met = salted_lookup(full, hubs, "key", F.col("id"), 4).where(F.col("id") != F.col("hub"))
+    return met.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def near_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -430,9 +440,7 @@ def join_sets(docs: DataFrame) -> DataFrame:
     own = rows.where(F.col("doc_id").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("doc_id", "h", "n_shingles", "sketch")).alias("x"))
     own = cut(own.select("id", "x.*"))
     full = cut(shared_keys(named))
-    hubs = full.groupBy("key").agg(F.min(F.when(F.col("asks"), F.col("id"))).alias("hub")).where(F.col("hub").isNotNull())
-    pairs = salted_lookup(full, hubs, "key", F.col("id"), 4).where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    close = cut(near_pairs(cut(pairs), own))
+    close = cut(near_pairs(cut(hub_pairs(full)), own))
     several = full.groupBy("key").agg(F.count("*").alias("n"), F.max("asks").alias("asks")).where("n > 2 AND asks")
     wanted = close.select(F.col("a").alias("id")).union(close.select("b")).union(full.join(several, "key", "left_semi").select("id")).distinct()
     texts = cut(docs.join(own.join(wanted, "id", "left_semi"), ["doc_id", "h"]).dropDuplicates(["id"]).select("id", "text", "n_shingles", "sketch"))

@@ -131,6 +131,29 @@ def test_ngram_join_of_common_passages(spark, monkeypatch, small):
     assert joined(spark, ids, texts) == expected(ids, texts)
 
 
+def test_ngram_join_of_a_large_near_group(spark, monkeypatch):
+    """Copies with 0 to 3 edits, few of them near each other, join by their hubs; the blocks have few links left to find."""
+    real, left = ngram_join._across, []
+
+    def across(full, joined, texts):
+        found = real(full, joined, texts)
+        left.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_across", across)
+    for n in (150, 300):
+        draw = np.random.default_rng(13)
+        base, texts = [f"w{i}" for i in range(150)], []
+        for i in range(n):
+            words = list(base)
+            for at in draw.choice(150, int(draw.choice(4, p=[0.02, 0.18, 0.4, 0.4])), replace=False):
+                words[at] = f"e{i}x{at}"
+            texts.append(" ".join(words))
+        ids = draw.permutation(n).tolist()
+        assert joined(spark, ids, texts) == expected(ids, texts)
+        assert left[-1] <= n
+
+
 def test_ngram_join_of_odd_rows(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, TEXTS[0]), (3, "a row of its own here"), (3, "a row of its own here"), (20, "A row of its own here")]
     docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("id", "key", "h", "n_shingles", "component")})
