@@ -7,6 +7,7 @@ import ctypes.util
 import re
 import sys
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +103,15 @@ def string_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[i
     give_back()
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2**31, compressed: what a fit brings to the driver stays so until its turn comes."""
+    return zlib.compress(numbers.astype("<i4").tobytes(), 1)
+
+
+def unpacked(raw: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<i4").reshape(rows, -1)
+
+
 def give_back() -> None:
     """Return freed memory to the system, which a worker that outlives many tasks would else keep."""
     pa.default_memory_pool().release_unused()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, Texts, give_back, held_out, string_chunks
+from .common import Rolling, Texts, give_back, held_out, packed, string_chunks, unpacked
 
 GRAMS = (3, 4, 5)
 BITS = 17
@@ -92,30 +92,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int] =
 
     def run(batches):
         for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
+            out: list[bytes] = []
             for _, chunk in string_chunks(batch.column("text"), CHUNK):
                 buckets, texts = features(chunk)
                 for i in range(len(chunk)):
                     ids, n = np.unique(buckets[texts == i], return_counts=True)
-                    out.append((ids.astype("<i4").tobytes(), (n / max(n.sum(), 1)).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["doc_id", "label", "ids", "share"])
+                    out.append(packed(np.stack([np.diff(ids, prepend=0), n])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "counts"])
 
-    rows = sample.mapInArrow(run, "doc_id long, label int, ids binary, share binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["ids"]))
+    rows = sample.mapInArrow(run, "doc_id long, label int, counts binary").toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy())
+    labelled, kept = ([x[i] for i in order] for x in (rows.column(c).to_pylist() for c in ("label", "counts")))
+    del rows
+    give_back()
     prior = np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))
-    kinds = {r["label"] for r in rows}
+    kinds = set(labelled)
     if len(kinds) < 2:
         return Model(np.zeros(1 << BITS), float(prior) if kinds else 0.0)
-    x = [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["share"], "<f4"), r["label"]) for r in rows]
     draw = np.random.default_rng(seed)
     vectors = draw.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     layer, bias = draw.uniform(-1, 1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
-    share = sum(r["label"] for r in rows) / len(rows)
+    share = sum(labelled) / len(labelled)
     weight = np.array([0.5 / (1 - share), 0.5 / share], np.float32)
-    step, steps = 0, epochs * len(x)
+    step, steps = 0, epochs * len(kept)
     for _ in range(epochs):
-        for i in draw.permutation(len(x)):
-            ids, part, y = x[i]
+        for i in draw.permutation(len(kept)):
+            (gaps, n), y = unpacked(kept[i], 2), labelled[i]
+            ids, part = np.cumsum(gaps), (n / max(n.sum(), 1)).astype(np.float32)
             now = (1 - step / steps) * weight[y]
             step += 1
             hidden = part @ vectors[ids]
@@ -128,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int] =
             bias -= now * layer_rate * 0.1 * p
             # A mean spreads its gradient over many vectors; scaled so that each text moves its own mean alike.
             vectors[ids] -= (now * rate / max(float(part @ part), 1e-6)) * np.outer(part, back)
-    del rows, x
+    del kept
     give_back()
     # The sample is balanced by weights: the classes' own shares shift the constant.
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0] + prior))

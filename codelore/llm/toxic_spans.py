@@ -11,6 +11,7 @@ words of at least one half are the offending spans.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, Texts, cut, give_back, mixed, string_chunks
+from .common import Rolling, Texts, cut, give_back, mixed, packed, string_chunks, unpacked
 from .subwords import labelled_sample
 
 #: Words are many; with fewer buckets clean ones would share those of toxic ones.
@@ -105,15 +106,28 @@ def marginals(logits: np.ndarray, sizes: np.ndarray, step: np.ndarray) -> np.nda
 
 @dataclass
 class Field:
+    """Weights of all buckets and, last, the constant; with ``buckets``, ascending from 0, the weights of these alone."""
+
     weights: np.ndarray
     step: np.ndarray
+    buckets: np.ndarray | None = None
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """A weight for each of 2**BITS buckets, and the constant; made where texts are scored, so that it doesn't travel."""
+        if self.buckets is None:
+            return self.weights
+        table = np.zeros((1 << BITS) + 1, self.weights.dtype)
+        table[self.buckets], table[-1] = self.weights[:-1], self.weights[-1]
+        return table
 
     def words(self, chunk: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, end, text number and marginal of every word."""
         starts, ends, of, own = word_features(chunk)
-        logits = np.full(len(of), float(self.weights[-1]))
+        weights = self.table
+        logits = np.full(len(of), float(weights[-1]))
         for buckets in own:
-            logits += self.weights[buckets]
+            logits += weights[buckets]
         return starts, ends, of, marginals(logits, np.bincount(of, minlength=len(chunk)), self.step)
 
 
@@ -168,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
     """Fit on at most ``most`` labelled rows, by class.  Without words that speak, every word gets odds near nought.
 
     Whole texts of the sampled rows teach.  What reaches the driver is bounded by the number of these rows: their ids with 8
-    keys each, the common features, of 2**BITS at most, and their words in segments.
+    keys each, the common features, of 2**BITS at most, and their words in segments.  Only common features have weights, by
+    their rank among them: the driver never holds an array over all buckets.
     """
     sample, _ = labelled_sample(docs, labels, label, most)
 
@@ -188,11 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
     alone = set(without_copies(heads))
     n = sum(r["label"] for r in heads if r["doc_id"] in alone)
     m = len(alone) - n
-    weights = np.zeros((1 << BITS) + 1, np.float32)
-    weights[-1] = -9.0
-    step = np.array([[0.98, 0.02], [0.6, 0.4]])
+    none = Field(np.array([0.0, -9.0], np.float32), np.array([[0.98, 0.02], [0.6, 0.4]]), np.zeros(1, np.int64))
     if not n or not m:
-        return Field(weights, step)
+        return none
     ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(alone)], "doc_id long")
     rows = rows.join(F.broadcast(ids), "doc_id")
 
@@ -207,43 +220,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[in
     least = min(4, 1 + 0.01 * (n + m))
     known = counts.where((F.col("both") >= least) | (F.col("toxic") > 1)).toArrow()
     bucket, toxic, both = (known.column(c).to_numpy() for c in ("bucket", "toxic", "both"))
-    speaks, common = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
-    if len(bucket):
-        speaks[bucket[speaking(toxic, both, n, m, counts.count())]] = True
-        common[bucket[both >= least]] = True
-    speaks[0] = common[0] = False
+    speaks = bucket[speaking(toxic, both, n, m, counts.count())] if len(bucket) else bucket
+    speaks = np.sort(speaks[speaks != 0])
+    common = np.union1d(bucket[both >= least], [0])  # bucket 0 has rank 0
     del known, bucket, toxic, both
     give_back()
-    if not speaks.any():
-        return Field(weights, step)
-    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(np.stack([speaks, common])))
+    if not len(speaks):
+        return none
+    marks = docs.sparkSession.sparkContext.broadcast((speaks, common))
 
     def cut_up(batches):
-        speaks, common = np.unpackbits(marks.value).reshape(2, -1).astype(bool)
+        speaks, common = marks.value
         for batch in batches:
             found: list[tuple] = []
             for i, is_toxic, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "own"))):
                 own = np.frombuffer(raw, "<i4").reshape(1 + len(PREFIXES), -1)
-                tags = speaks[own].any(axis=0) & bool(is_toxic)
+                tags = np.isin(own, speaks).any(axis=0) & bool(is_toxic)
+                rank = np.searchsorted(common, own, "right") - 1
+                both = np.vstack([np.where(common[rank] == own, rank, 0), tags])
                 # In toxic documents the words between labelled ones may be toxic too: only segments with a label teach.
                 at = [k for k in range(0, own.shape[1], SEGMENT) if not is_toxic or tags[k : k + SEGMENT].any()]
                 for k in at:
-                    part = own[:, k : k + SEGMENT]
-                    found.append((i, k, np.where(common[part], part, 0).astype("<i4").tobytes(), tags[k : k + SEGMENT].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "at", "own", "tags"])
-
-    segments = rows.select("doc_id", "label", "own").mapInArrow(cut_up, "doc_id long, at int, own binary, tags binary").collect()
-    segments.sort(key=lambda r: (r["doc_id"], r["at"]))
-    kept = [(np.frombuffer(r["own"], "<i4").reshape(1 + len(PREFIXES), -1), np.frombuffer(r["tags"], bool).astype(np.float64)) for r in segments]
-    field = trained(kept, common, epochs, rate, seed)
-    del segments, kept
+                    found.append((i, k, packed(both[:, k : k + SEGMENT])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "at", "segment"])
+
+    segments = rows.select("doc_id", "label", "own").mapInArrow(cut_up, "doc_id long, at int, segment binary").toArrow()
+    order = np.lexsort((segments.column("at").to_numpy(), segments.column("doc_id").to_numpy()))
+    kept = segments.column("segment").to_pylist()
+    del segments
+    give_back()
+    kept = [kept[i] for i in order]
+    weights, step = trained(kept, len(common), epochs, rate, seed)
+    del kept
     give_back()
-    return field
+    return Field(weights, step, common)
 
 
-def trained(kept: list[tuple[np.ndarray, np.ndarray]], common: np.ndarray, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> Field:
-    """Gradient ascent on segments (buckets, tags); only ``common`` features have a weight."""
-    weights = np.zeros((1 << BITS) + 1, np.float32)
+def trained(kept: list[bytes], n: int, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient ascent on packed segments, the ranks (below n) of features and a row of tags: the weights and the constant, and the steps."""
+    weights = np.zeros(n + 1, np.float32)
     step = np.array([[0.98, 0.02], [0.6, 0.4]])
     # What a word without known features gets stays: learnt, it would rise while the known clean words fall.
     weights[-1] = -6.0
@@ -253,16 +268,17 @@ def trained(kept: list[tuple[np.ndarray, np.ndarray]], common: np.ndarray, epoch
     for _ in range(max(epochs, -(-120 * 512 // len(kept)))):
         order = draw.permutation(len(kept))
         for k in range(0, len(order), 512):
-            part = [kept[i] for i in order[k : k + 512]]
-            sizes = np.array([p[0].shape[1] for p in part])
-            buckets, tags = np.concatenate([p[0] for p in part], axis=1), np.concatenate([p[1] for p in part])
+            part = [unpacked(kept[i], 2 + len(PREFIXES)) for i in order[k : k + 512]]
+            sizes = np.array([p.shape[1] for p in part])
+            *ranks, tags = np.concatenate(part, axis=1)
+            ranks, tags = np.stack(ranks), tags.astype(np.float64)
             of = np.repeat(np.arange(len(part)), sizes)
             step = np.exp(moved)
             step /= step.sum(axis=1, keepdims=True)
-            p = marginals(weights[-1] + weights[buckets].sum(axis=0, dtype=np.float64), sizes, step)
+            p = marginals(weights[-1] + weights[ranks].sum(axis=0, dtype=np.float64), sizes, step)
             slope = tags - p
-            used, place = np.unique(buckets, return_inverse=True)
-            change = np.bincount(place.ravel(), np.tile(slope, len(buckets)))
+            used, place = np.unique(ranks, return_inverse=True)
+            change = np.bincount(place.ravel(), np.tile(slope, len(ranks)))
             change[used == 0] = 0
             change -= 1e-3 * weights[used]
             seen[used] += change**2
@@ -273,7 +289,7 @@ def trained(kept: list[tuple[np.ndarray, np.ndarray]], common: np.ndarray, epoch
                 for j, (b, pb) in enumerate(((1 - tags, 1 - p), (tags, p))):
                     moved[i, j] += 0.02 * float(((a[:-1] * b[1:]) - (pa_[:-1] * pb[1:]))[inner].mean())
     step = np.exp(moved)
-    return Field(np.where(np.append(common, True), weights, 0), step / step.sum(axis=1, keepdims=True))
+    return weights, step / step.sum(axis=1, keepdims=True)
 
 
 def tag(df: DataFrame, field: Field, text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import pickle
 import re
 import struct
 import zlib
@@ -373,3 +374,26 @@ def test_shingles_of_chunks():
     sets = [s for _, chunk in string_chunks(pa.array(texts), 4) for s in minhash.shingle_sets(chunk)]
     together = [s for _, chunk in string_chunks(pa.array(texts)) for s in minhash.shingle_sets(chunk)]
     assert [s.tolist() for s in sets] == [s.tolist() for s in together] and len(sets[0]) == 2 and sets[0].tolist() == sets[3].tolist()
+
+
+def test_what_fits_bring_to_the_driver(spark, monkeypatch):
+    """Toxicity: weights of common features alone, to the driver and to tasks; quality: at most half of 8 bytes a feature."""
+    from codelore.llm.common import Texts
+
+    draw = np.random.default_rng(11)
+    vocab = [f"{a}{b}" for a in ("tan", "ber", "sol", "mi") for b in ("ka", "ro", "den", "lis", "po")]
+    texts, labels = labelled(spark, lambda i: " ".join(draw.choice(vocab, 40)), lambda i: " ".join([*draw.choice(vocab, 39), "grubel"]), "toxic", True)
+    field = toxic_spans.fit(texts, labels, "toxic")
+    assert len(pickle.dumps(field)) < 100_000 and len(field.weights) == len(field.buckets) + 1
+    one, all_ = (toxic_spans.tag(texts, f).select("doc_id", "score").collect() for f in (field, toxic_spans.Field(field.table, field.step)))
+    assert sorted(one) == sorted(all_) and len({r["score"] for r in one}) > 2
+
+    came = []
+    kind = type(texts)
+    for name in ("collect", "toArrow"):
+        monkeypatch.setattr(kind, name, lambda self, f=getattr(kind, name): (came.append((self.columns, out := f(self))), out)[1])
+    subwords.fit(texts, labels, "toxic")
+    sent = sum(len(b) for columns, out in came if "doc_id" in columns for r in (out.to_pylist() if hasattr(out, "to_pylist") else [x.asDict() for x in out]) for b in r.values() if isinstance(b, (bytes, bytearray)))
+    sample = subwords.labelled_sample(texts, labels, "toxic", subwords.SAMPLE)[0].select("text").collect()
+    found = sum(len(np.unique(subwords.features(Texts(np.frombuffer(r["text"].encode(), np.uint8), np.array([0, len(r["text"].encode())])))[0])) for r in sample)
+    assert 0 < sent < 4 * found
