@@ -19,7 +19,11 @@ def most_common_for_size(typelib: DataFrame, test: DataFrame, largest: int = 102
 
 def most_common_for_source(train: DataFrame, test: DataFrame) -> DataFrame:
     """The commonest target type of the source type in train; an unseen source type predicts itself."""
-    counts = train.groupBy("src_type", "tgt_type").agg(F.count("*").alias("n"))
+    return commonest_of_counts(train.groupBy("src_type", "tgt_type").agg(F.count("*").alias("n")), test)
+
+
+def commonest_of_counts(counts: DataFrame, test: DataFrame) -> DataFrame:
+    """The same from ``src_type, tgt_type, n`` of train."""
     first = F.row_number().over(Window.partitionBy("src_type").orderBy(F.desc("n"), "tgt_type"))
     best = counts.withColumn("rn", first).where("rn = 1").select("src_type", F.col("tgt_type").alias("pred_type"))
     return test.join(best, "src_type", "left").withColumn("pred_type", F.coalesce("pred_type", "src_type"))

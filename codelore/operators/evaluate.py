@@ -71,6 +71,13 @@ def conditional(rows: DataFrame) -> DataFrame:
     return rows.agg(rate(name, kind == 1).alias("rename_given_retype"), rate(kind, name == 1).alias("retype_given_rename"))
 
 
+def cross_conditional(groups: DataFrame) -> DataFrame:
+    """Accuracy of a run where another is right, and the reverse; rows are groups of ``n`` variables, on which the runs are right or not."""
+    share = lambda value, where: F.round(F.sum(F.when(where, F.when(value, F.col("n")).when(~value, 0))) / F.sum(F.when(where & value.isNotNull(), F.col("n"))), 6)
+    own, other = F.col("own"), F.col("other")
+    return groups.agg(share(own, other).alias("a_given_b"), share(other, own).alias("b_given_a"))
+
+
 def edit_distance(pred: str, gold: str) -> Column:
     return F.levenshtein(F.col(pred), F.col(gold))
 
